@@ -1,0 +1,6 @@
+"""Nothing lives here: every operator of the engine works on bounded tables.
+
+Record matching has no event time, watermark or keyed stream state to model;
+batched reads are ordinary tables with a ``batch_id`` column, see
+``pairmatch.operators.batches``.
+"""
