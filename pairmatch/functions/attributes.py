@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmatch import fixed_values as fixed
 from pairmatch.functions.text import PLAIN, fold_plain, fold_text, with_normalized
@@ -18,6 +19,7 @@ _FLAT = r"^[ \t\r\n]*\{[^{}\[\]\\]*\}[ \t\r\n]*$"
 _ODD_NUMBER = r":[ \t\r\n]*-?(?:\d+[.eE]|\d{16}|0\d|0[ \t\r\n]*[,}])"
 _OPENS_OBJECT = r"^[ \t\r\n]*\{"
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_ENTRIES = T.ArrayType(T.StructType().add("key", T.StringType()).add("value", T.StringType()))
 _ENTRY = pa.struct([("key", pa.string()), ("value", pa.string())])
 
 
@@ -48,7 +50,7 @@ def read_attributes(raw: str) -> list[dict[str, str]] | None:
     return [{"key": k, "value": v[:limit]} for k, v in pairs if k and v]
 
 
-@F.arrow_udf("array<struct<key:string,value:string>>")
+@F.arrow_udf(_ENTRIES)
 def _read_attributes(payloads: pa.Array) -> pa.Array:
     rows = [None if p is None else read_attributes(p) for p in payloads.to_pylist()]
     return pa.array(rows, pa.list_(_ENTRY))

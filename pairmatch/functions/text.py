@@ -10,6 +10,7 @@ from decimal import Decimal
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmatch import fixed_values as fixed
 
@@ -24,7 +25,7 @@ def fold_text(value: str) -> str:
     return " ".join(re.sub(r"[\x00-\x1f\x7f]", " ", folded).split())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _fold_text(values: pa.Array) -> pa.Array:
     folded = [None if v is None else fold_text(v) for v in values.to_pylist()]
     return pa.array(folded, pa.string())
@@ -100,7 +101,7 @@ def compare_text(value: str) -> str:
     return " ".join(re.sub(rf"[^{fixed.WORD_CHARACTERS}]+", " ", text).split())
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def _compare_texts(values: pa.Array) -> pa.Array:
     compared = [
         None if row is None else [None if v is None else compare_text(v) for v in row]

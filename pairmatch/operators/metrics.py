@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.operators.ranking import average_ranks, running_sums
-
-MAJORITY = "5D/9D"
+from pairmatch.functions.numeric import majority_positive, soft_cross_entropy, unanimous
+from pairmatch.operators.ranking import running_sums
 
 
 def cohort_precision(
@@ -88,3 +87,207 @@ def macro(by_category: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.sum("rows").alias("rows"),
         F.sum("positives").alias("positives"),
     )
+
+
+STRESS = ("hard_negative", "hard_positive", "identity_conflict")
+
+
+def stress_cohorts(target: Column | None = None) -> dict[str, Column]:
+    """Challenge slices from category thresholds joined onto the rows.
+
+    Each keeps one class whole and only the difficult rows of the other.
+    """
+    positive = (F.col("target") if target is None else target) == 1
+    similarity = F.col("surface_similarity")
+    return {
+        "hard_negative": positive | (similarity >= F.col("hard_negative_min_similarity")),
+        "hard_positive": ~positive | (similarity <= F.col("hard_positive_max_similarity")),
+        "identity_conflict": positive | (F.col("identity_conflicts") > 0),
+    }
+
+
+def eligible(by_category: DataFrame) -> DataFrame:
+    """Mark the categories that hold both classes; the others are excluded from a mean."""
+    return by_category.withColumn(
+        "eligible", (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
+    )
+
+
+def challenge_report(by_category: DataFrame, keys: Sequence[str] = ("cohort",)) -> DataFrame:
+    """Macro average precision over eligible categories, and the excluded ones."""
+    marked = eligible(by_category)
+    return marked.groupBy(*keys).agg(
+        F.avg(F.when(F.col("eligible"), F.col("average_precision"))).alias(
+            "macro_average_precision"
+        ),
+        F.count_if("eligible").alias("eligible_categories"),
+        F.array_join(
+            F.array_sort(F.collect_list(F.when(~F.col("eligible"), F.col("category")))), ","
+        ).alias("excluded_categories"),
+        F.sum(F.when(F.col("eligible"), F.col("rows"))).alias("rows"),
+        F.sum(F.when(F.col("eligible"), F.col("positives"))).alias("positives"),
+    )
+
+
+def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+    """Rank correlation with average ranks per group; null for a constant column.
+
+    Works on distinct (left, right) cells. The mean average-rank is (n + 1) / 2, so the
+    correlation is a ratio of three weighted sums.
+    """
+    cells = df.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_cell"))
+
+    def ranks(value: str, out: str) -> DataFrame:
+        per_value = cells.groupBy(*keys, value).agg(F.sum("_cell").alias("_n"))
+        ran = running_sums(per_value, keys, F.col(value), ["_n"])
+        return ran.select(
+            *keys,
+            value,
+            (
+                F.col("_n_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)
+                - (F.col("_n_total") + 1) / F.lit(2.0)
+            ).alias(out),
+        )
+
+    centred = cells.join(ranks(left, "_l"), [*keys, left]).join(ranks(right, "_r"), [*keys, right])
+    sums = centred.groupBy(*keys).agg(
+        F.sum("_cell").alias("rows"),
+        F.sum(F.col("_cell") * F.col("_l") * F.col("_r")).alias("_lr"),
+        F.sum(F.col("_cell") * F.col("_l") * F.col("_l")).alias("_ll"),
+        F.sum(F.col("_cell") * F.col("_r") * F.col("_r")).alias("_rr"),
+    )
+    spread = F.sqrt(F.col("_ll")) * F.sqrt(F.col("_rr"))
+    return sums.select(
+        *keys, "rows", F.when(spread > 0, F.col("_lr") / spread).alias("spearman")
+    )
+
+
+def macro_spearman(df: DataFrame, left: str, right: str, category: str = "category") -> DataFrame:
+    per_category = spearman(df, [category], left, right)
+    return per_category.agg(
+        F.avg("spearman").alias("macro_spearman"),
+        F.count(F.lit(1)).alias("categories"),
+        F.count_if(F.col("spearman").isNull()).alias("undefined_categories"),
+    )
+
+
+def soft_label_report(df: DataFrame, score: str, target: str) -> DataFrame:
+    """Majority and unanimous macro average precision, rank agreement, unanimous rows."""
+    soft = F.col(target)
+    ranked = cohort_precision(
+        df,
+        ["category"],
+        F.col(score),
+        majority_positive(soft).cast("int"),
+        {"majority": F.lit(True), "unanimous": unanimous(soft)},
+    )
+    per_cohort = ranked.groupBy().agg(
+        *[
+            F.avg(F.when(F.col("cohort") == c, F.col("average_precision"))).alias(
+                f"{c}_macro_average_precision"
+            )
+            for c in ("majority", "unanimous")
+        ],
+        F.sum(F.when(F.col("cohort") == "unanimous", F.col("rows"))).alias("unanimous_rows"),
+    )
+    agreement = macro_spearman(df, score, target).select("macro_spearman")
+    return per_cohort.select("*", agreement.scalar().alias("soft_macro_spearman"))
+
+
+def probability_report(
+    df: DataFrame, variants: Mapping[str, Column], target: str = "target"
+) -> DataFrame:
+    """Brier score, log loss, mean probability and positive rate per variant."""
+    label = F.col(target)
+    clipped = {
+        name: F.greatest(F.least(p, F.lit(1.0 - 1e-7)), F.lit(1e-7)) for name, p in variants.items()
+    }
+    row = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("variant"),
+                    F.avg((p - label) * (p - label)).alias("brier"),
+                    F.avg(-(label * F.log(p) + (1.0 - label) * F.log(1.0 - p))).alias("log_loss"),
+                    F.avg(p).alias("mean_probability"),
+                    F.avg(label).alias("positive_rate"),
+                )
+                for name, p in clipped.items()
+            ]
+        ).alias("_variants")
+    )
+    return row.select(F.inline("_variants"))
+
+
+def weighted_cross_entropy(
+    df: DataFrame,
+    logit: str,
+    target: str,
+    category_weights: DataFrame | None = None,
+    confidence_gamma: float = 0.0,
+) -> DataFrame:
+    """Soft cross-entropy weighted by category and label confidence, normalised.
+
+    A weight sum of zero or a category without a weight fails the job.
+    """
+    if confidence_gamma < 0.0:
+        raise ValueError("confidence_gamma must not be negative")
+    weight = F.lit(1.0)
+    if category_weights is not None:
+        df = df.join(category_weights.select("category", "weight"), "category", "left")
+        known = F.col("weight")
+        missing = F.raise_error(F.concat(F.lit("no weight for category "), F.col("category")))
+        weight = F.coalesce(known, missing.cast("double"))
+    if confidence_gamma:
+        weight = weight * F.pow(F.abs(2.0 * F.col(target) - 1.0), F.lit(confidence_gamma))
+    rows = df.select(
+        weight.alias("_w"), soft_cross_entropy(F.col(logit), F.col(target)).alias("_l")
+    )
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("_w").alias("weight_sum"),
+        F.sum(F.col("_l") * F.col("_w")).alias("_loss"),
+    )
+    refused = F.raise_error(F.lit("the loss weights have no positive sum")).cast("double")
+    return sums.select(
+        "rows",
+        "weight_sum",
+        F.when(F.col("weight_sum") > 0, F.col("_loss") / F.col("weight_sum"))
+        .otherwise(refused)
+        .alias("loss"),
+    )
+
+
+def agreement(
+    expected: DataFrame,
+    actual: DataFrame,
+    key: str,
+    min_spearman: float = 0.999,
+    min_sign_agreement: float = 0.99,
+    max_mean_delta: float = 0.005,
+) -> DataFrame:
+    """Rescoring agreement of two scored tables on one key, with a verdict."""
+    both = expected.select(
+        key, F.col("logit").alias("_el"), F.col("probability").alias("_ep")
+    ).join(
+        actual.select(key, F.col("logit").alias("_al"), F.col("probability").alias("_ap")),
+        key,
+        "full_outer",
+    )
+    delta = F.abs(F.col("_ep") - F.col("_ap"))
+    row = both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("_el").isNull() | F.col("_al").isNull()).alias("uncovered_rows"),
+        F.avg(((F.col("_el") >= 0) == (F.col("_al") >= 0)).cast("double")).alias("sign_agreement"),
+        F.avg(delta).alias("mean_abs_delta"),
+        F.max(delta).alias("max_abs_delta"),
+    )
+    matched = both.where("_el is not null and _al is not null").withColumn("_one", F.lit(1))
+    correlation = spearman(matched, ["_one"], "_el", "_al").select("spearman")
+    return row.select("*", correlation.scalar().alias("spearman")).withColumn(
+        "passed",
+        (F.col("uncovered_rows") == 0)
+        & (F.col("spearman") >= min_spearman)
+        & (F.col("sign_agreement") >= min_sign_agreement)
+        & (F.col("mean_abs_delta") <= max_mean_delta),
+    )

@@ -59,12 +59,9 @@ def _with_slots(
     if keys:
         joined = df.join(pivots, list(keys))
     else:
-        # One group: its pivots are a single row of at most `slots` values.
-        joined = df.join(F.broadcast(pivots.withColumn("_one", F.lit(1))), F.col("_one") == 1)
-        joined = joined.drop("_one")
-    return joined.withColumn(_SLOT, _slot_index(F.col("_pivots"), F.col(_ORDER), slots)).drop(
-        "_pivots"
-    )
+        joined = df.withColumn("_pivots", pivots.select("_pivots").scalar())
+    index = F.coalesce(_slot_index(F.col("_pivots"), F.col(_ORDER), slots), F.lit(0))
+    return joined.withColumn(_SLOT, index).drop("_pivots")
 
 
 def running_sums(
