@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.operators.metrics import cohort_precision
-from pairmatch.operators.ranking import percentile_rank
+from pairmatch.operators.ranking import percentile_ranks
 from pairmatch.session import shuffle_width
 
 # Two scores closer than this count as a tie in the weight search.
@@ -73,9 +73,7 @@ def rank_features(
     df: DataFrame, scores: Sequence[str], keys: Sequence[str], suffix: str = "_rank"
 ) -> DataFrame:
     """Percentile rank of every score column inside ``keys``."""
-    for score in scores:
-        df = percentile_rank(df, keys, score, f"{score}{suffix}")
-    return df
+    return percentile_ranks(df, keys, {score: f"{score}{suffix}" for score in scores})
 
 
 def blend_scores(

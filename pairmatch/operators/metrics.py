@@ -28,33 +28,25 @@ def cohort_precision(
     without positives scores 0.
     """
     names = list(cohorts)
-    positive = target == F.lit(1)
+    marked = df.select(
+        *keys,
+        score.cast("double").alias("_score"),
+        (target == F.lit(1)).alias("_hit"),
+        *[cohorts[name].alias(f"_m{i}") for i, name in enumerate(names)],
+    )
     counts: list[Column] = []
-    for i, name in enumerate(names):
-        member = F.coalesce(cohorts[name], F.lit(False))
-        counts.append(F.count_if(member).alias(f"_r{i}"))
-        counts.append(F.count_if(member & positive).alias(f"_p{i}"))
-    cells = df.groupBy(*keys, score.cast("double").alias("_score")).agg(*counts)
+    for i in range(len(names)):
+        counts.append(F.expr(f"count_if(_m{i})").alias(f"_r{i}"))
+        counts.append(F.expr(f"count_if(_m{i} and _hit)").alias(f"_p{i}"))
+    cells = marked.groupBy(*keys, "_score").agg(*counts)
     sums = [f"_{kind}{i}" for i in range(len(names)) for kind in "rp"]
     ran = running_sums(cells, keys, -F.col("_score"), sums, slots)
-    per_group = ran.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("cohort"),
-                    F.max(f"_r{i}_total").alias("rows"),
-                    F.max(f"_p{i}_total").alias("positives"),
-                    F.sum(
-                        F.when(
-                            F.col(f"_p{i}") > 0,
-                            F.col(f"_p{i}") * F.col(f"_p{i}_upto") / F.col(f"_r{i}_upto"),
-                        ).otherwise(F.lit(0.0))
-                    ).alias("gain"),
-                )
-                for i, name in enumerate(names)
-            ]
-        ).alias("_cohorts")
+    entries = ", ".join(
+        f"struct('{name}' as cohort, max(_r{i}_total) as rows, max(_p{i}_total) as positives, "
+        f"sum(if(_p{i} > 0, _p{i} * _p{i}_upto / _r{i}_upto, 0D)) as gain)"
+        for i, name in enumerate(names)
     )
+    per_group = ran.groupBy(*keys).agg(F.expr(f"array({entries})").alias("_cohorts"))
     return (
         per_group.select(*keys, F.inline("_cohorts"))
         .where("rows > 0")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import seeded_hash
 from pairmatch.functions.numeric import corrected_target, target_stratum
-from pairmatch.operators.ranking import ordinal, percentile_rank
+from pairmatch.operators.ranking import ordinal, percentile_ranks
+from pairmatch.session import settle
 
 
 def category_quotas(
@@ -92,7 +93,7 @@ def candidate_pool(
     )
     labelled = joined.withColumn("candidate_stratum", target_stratum(F.col("target")))
     in_stratum = ordinal(
-        labelled,
+        settle(labelled),
         ["category", "candidate_stratum"],
         [urgency.isNull(), F.coalesce(urgency, F.lit(0.0)), pair_hash(0), F.col("id1"), F.col("id2")],
         "stratum_row",
@@ -108,15 +109,16 @@ def candidate_pool(
     eligible = in_stratum.join(quotas.select("category", "quota"), "category").where(
         F.col("stratum_row") <= F.col("quota")
     )
-    return take_quota(eligible.drop("quota"), quotas, order).drop("stratum_row")
+    return take_quota(settle(eligible.drop("quota")), quotas, order).drop("stratum_row")
 
 
 def with_disagreement(df: DataFrame, first: str, second: str) -> DataFrame:
     """Mean and difference of two models' category ranks, priority and suspected error."""
-    for score in (first, second):
-        df = percentile_rank(df, ["category"], score, f"{score}_rank", zero_one=True)
     a, b = F.col(f"{first}_rank"), F.col(f"{second}_rank")
-    ranked = df.withColumn("model_mean_rank", (a + b) * 0.5).withColumn(
+    both = percentile_ranks(
+        df, ["category"], {s: f"{s}_rank" for s in (first, second)}, zero_one=True
+    )
+    ranked = both.withColumn("model_mean_rank", (a + b) * 0.5).withColumn(
         "model_disagreement", F.abs(a - b)
     )
     missed = (1.0 - F.col("target")) * F.col("model_mean_rank")
@@ -141,7 +143,8 @@ def disagreement_subset(
         F.col("id1"),
         F.col("id2"),
     ]
-    return take_quota(with_disagreement(df, first, second), quotas, order)
+    # The quota cut reads the ranked table several times: publish it once.
+    return take_quota(settle(with_disagreement(df, first, second)), quotas, order)
 
 
 def corrected_replay(

@@ -10,7 +10,7 @@ runs per (group, slot) and the totals of the preceding slots, a table of at most
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,28 +77,24 @@ def running_sums(
     """
     slotted = _with_slots(df.withColumn(_ORDER, order), keys, slots, sums)
     totals = slotted.groupBy(*keys, _SLOT).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
-    earlier = (
-        Window.partitionBy(*keys).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *keys,
+    # Window clauses as SQL text: one parse per column instead of a chain of calls.
+    group = f"partition by {', '.join(f'`{k}`' for k in keys)}" if keys else ""
+    earlier = f"{group} order by {_SLOT} rows between unbounded preceding and 1 preceding"
+    offsets = totals.selectExpr(
+        *[f"`{k}`" for k in keys],
         _SLOT,
-        *[
-            F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_before_{s}")
-            for s in sums
-        ],
-        *[F.sum(f"_sum_{s}").over(Window.partitionBy(*keys)).alias(f"{s}_total") for s in sums],
+        *[f"coalesce(sum(`_sum_{s}`) over ({earlier}), 0) as `_before_{s}`" for s in sums],
+        *[f"sum(`_sum_{s}`) over ({group}) as `{s}_total`" for s in sums],
     )
+    cell = ", ".join([*[f"`{k}`" for k in keys], _SLOT])
     local = (
-        Window.partitionBy(*keys, _SLOT)
-        .orderBy(_ORDER)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        f"partition by {cell} order by {_ORDER} rows between unbounded preceding and current row"
     )
-    ran = slotted.select("*", *[F.sum(s).over(local).alias(f"_local_{s}") for s in sums])
-    return ran.join(offsets, [*keys, _SLOT]).select(
-        *df.columns,
-        *[(F.col(f"_before_{s}") + F.col(f"_local_{s}")).alias(f"{s}_upto") for s in sums],
-        *[F.col(f"{s}_total") for s in sums],
+    ran = slotted.selectExpr("*", *[f"sum(`{s}`) over ({local}) as `_local_{s}`" for s in sums])
+    return ran.join(offsets, [*keys, _SLOT]).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"`_before_{s}` + `_local_{s}` as `{s}_upto`" for s in sums],
+        *[f"`{s}_total`" for s in sums],
     )
 
 
@@ -135,30 +131,43 @@ def ordinal(
     )
 
 
-def average_ranks(
+def rank_table(
     df: DataFrame, keys: Sequence[str], value: str, rank: str, rows: str | None = None
 ) -> DataFrame:
-    """Add the average-method rank of ``value`` in its group, and the group size.
+    """``keys, value`` with the average-method rank, one row per distinct value.
 
-    Ranks are computed once per distinct value, so heavy ties cost nothing.
+    Heavy ties collapse before anything is ranked.
     """
     cells = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(cells, keys, F.col(value), ["_n"]).select(
+    return running_sums(cells, keys, F.col(value), ["_n"]).select(
         *keys,
         value,
         (F.col("_n_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias(rank),
         *([F.col("_n_total").alias(rows)] if rows else []),
     )
-    return df.join(ranked, [*keys, value])
 
 
-def percentile_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, zero_one: bool = False
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, rank: str, rows: str | None = None
+) -> DataFrame:
+    """Add the average-method rank of ``value`` in its group, and the group size."""
+    return df.join(rank_table(df, keys, value, rank, rows), [*keys, value])
+
+
+def percentile_ranks(
+    df: DataFrame, keys: Sequence[str], outs: Mapping[str, str], zero_one: bool = False
 ) -> DataFrame:
-    """``rank / (n + 1)``, or ``(rank - 1) / max(n - 1, 1)`` when ``zero_one``."""
-    ranked = average_ranks(df, keys, value, "_rank", "_size")
-    if zero_one:
-        share = (F.col("_rank") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))
-    else:
-        share = F.col("_rank") / (F.col("_size") + F.lit(1.0))
-    return ranked.select(*df.columns, share.alias(out))
+    """``rank / (n + 1)``, or ``(rank - 1) / max(n - 1, 1)`` when ``zero_one``.
+
+    ``outs`` maps value columns to rank columns. All rank tables come straight from
+    ``df``: ranking a table that already carries a rank join would redo that join.
+    """
+    ranked = df
+    for value, out in outs.items():
+        table = rank_table(df, keys, value, "_rank", "_size")
+        if zero_one:
+            share = (F.col("_rank") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))
+        else:
+            share = F.col("_rank") / (F.col("_size") + F.lit(1.0))
+        ranked = ranked.join(table.select(*keys, value, share.alias(out)), [*keys, value])
+    return ranked.select(*df.columns, *outs.values())
