@@ -52,8 +52,8 @@ def pair_category(spark, sf_dir):
 @query(
     views.with_views(
         ["scored"],
-        "a AS (SELECT id1, id2, target, category, fold, score_a AS base FROM scored)",
-        "b AS (SELECT id1, id2, score_b AS small FROM scored)",
+        f"""a AS (SELECT id1, id2, target, category, fold, {real('score_a', 'base')} FROM scored)""",
+        f"b AS (SELECT id1, id2, {real('score_b', 'small')} FROM scored)",
         query="SELECT a.*, b.small FROM a LEFT JOIN b USING (id1, id2)",
     )
 )
@@ -69,7 +69,7 @@ def _similar_sql(pairs: str) -> str:
   a.name AS left_name, b.name AS right_name,
   lower(coalesce(a.name, '')) AS ln, lower(coalesce(b.name, '')) AS rn
   FROM {pairs} p JOIN items a ON a.id = p.id1 JOIN items b ON b.id = p.id2),
-similar AS (SELECT id1, id2, target, category, right_category, left_name, right_name,
+alike AS (SELECT id1, id2, target, category, right_category, left_name, right_name,
   {_SIMILARITY_SQL} AS surface_similarity FROM named)"""
 
 
@@ -77,7 +77,7 @@ similar AS (SELECT id1, id2, target, category, right_category, left_name, right_
     views.with_views(
         ["human_pairs"],
         _similar_sql("human_pairs"),
-        query=f"SELECT id1, id2, {real('surface_similarity', 'surface_similarity')} FROM similar",
+        query=f"SELECT id1, id2, {real('surface_similarity', 'surface_similarity')} FROM alike",
     )
 )
 def surface_similarity(spark, sf_dir):
@@ -201,7 +201,7 @@ def pair_table_manifest(spark, sf_dir):
         {real('avg(CAST(surface_similarity AS DOUBLE))', 'mean_surface_similarity')},
         {real('max(surface_similarity)', 'max_surface_similarity')},
         count(*) FILTER (WHERE NOT (surface_similarity BETWEEN 0 AND 1))
-          AS invalid_surface_similarity_rows FROM similar""",
+          AS invalid_surface_similarity_rows FROM alike""",
     )
 )
 def dataset_summary(spark, sf_dir):
@@ -288,7 +288,7 @@ def _fold_columns(spark, sf_dir):
 @query(
     views.with_views(
         ["scored"],
-        query="SELECT id1, id2, target, category, fold, score_a AS predict FROM scored",
+        query=f"SELECT id1, id2, target, category, fold, {real('score_a', 'predict')} FROM scored",
     )
 )
 def fold_union(spark, sf_dir):
