@@ -30,12 +30,17 @@ def target_stratum(target: Column) -> Column:
     )
 
 
+def clip(value: Column, low: float, high: float) -> Column:
+    """Limit to [low, high]; null and NaN stay what they are (``greatest`` skips nulls)."""
+    inside = F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    return F.when(value.isNull() | F.isnan(value), value).otherwise(inside)
+
+
 def logistic(logit: Column, slope: Column | float = 1.0, intercept: Column | float = 0.0) -> Column:
     """``1 / (1 + exp(-x))`` of the affine logit, clipped to +-40."""
     slope = slope if isinstance(slope, Column) else F.lit(slope)
     intercept = intercept if isinstance(intercept, Column) else F.lit(intercept)
-    clipped = F.greatest(F.least(slope * logit + intercept, F.lit(40.0)), F.lit(-40.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-clipped))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-clip(slope * logit + intercept, -40.0, 40.0)))
 
 
 def corrected_target(organizer: Column, teacher: Column, teacher_weight: float) -> Column:

@@ -7,7 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.functions.numeric import majority_positive, soft_cross_entropy, unanimous
+from pairmatch.functions.numeric import (
+    clip,
+    majority_positive,
+    soft_cross_entropy,
+    unanimous,
+)
 from pairmatch.operators.ranking import running_sums
 
 
@@ -192,7 +197,7 @@ def probability_report(
     """Brier score, log loss, mean probability and positive rate per variant."""
     label = F.col(target)
     clipped = {
-        name: F.greatest(F.least(p, F.lit(1.0 - 1e-7)), F.lit(1e-7)) for name, p in variants.items()
+        name: clip(p, 1e-7, 1.0 - 1e-7) for name, p in variants.items()
     }
     row = df.agg(
         F.array(

@@ -12,6 +12,9 @@ from pairmatch.operators.metrics import STRESS, cohort_precision, spearman, stre
 from pairmatch.sources.tables import PAIR_KEYS
 
 ALL = "all"
+# Sums of the same numbers in another order differ in the last digits; a difference below
+# this many decimals is none.
+DELTA_DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,10 @@ def variant_report(
     )
 
 
+def _difference(left: Column, right: Column) -> Column:
+    return F.round(left - right, DELTA_DIGITS)
+
+
 def compare_variants(report: DataFrame, base: str) -> DataFrame:
     """Per category and cohort: every variant next to the base, and the difference."""
     reference = report.where(F.col("variant") == base).select(
@@ -81,7 +88,7 @@ def compare_variants(report: DataFrame, base: str) -> DataFrame:
             "variant", "category", "cohort", "rows",
             F.col("average_precision").alias("candidate"),
             "reference",
-            (F.col("average_precision") - F.col("reference")).alias("delta"),
+            _difference(F.col("average_precision"), F.col("reference")).alias("delta"),
         )
     )
 
@@ -91,7 +98,7 @@ def cohort_means(compared: DataFrame, keys: Sequence[str] = ("variant",)) -> Dat
     return compared.groupBy(*keys, "cohort").agg(
         F.avg("candidate").alias("candidate"),
         F.avg("reference").alias("reference"),
-        (F.avg("candidate") - F.avg("reference")).alias("delta"),
+        _difference(F.avg("candidate"), F.avg("reference")).alias("delta"),
     )
 
 
@@ -286,7 +293,7 @@ def paired_arms(report: DataFrame, arms: Sequence[str]) -> DataFrame:
         report.groupBy("category", "cohort")
         .pivot("variant", list(arms))
         .agg(F.first("average_precision"))
-        .withColumn("delta", F.col(second) - F.col(first))
+        .withColumn("delta", _difference(F.col(second), F.col(first)))
     )
 
 

@@ -227,10 +227,16 @@ def category_route_report(
     candidate: str,
     minimum_uplift: float = 0.003,
     gates: R.Gates = R.Gates(),
+    training_positive_folds: int = 3,
+    deployment_positive_folds: int = 4,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cross-fitted route between two variants: cells, routed rows, comparison."""
     deltas = R.training_deltas(scored, folds, F.col(base), F.col(candidate))
-    route = settle(R.select_route(deltas, minimum_uplift))
+    route = settle(
+        R.select_route(
+            deltas, minimum_uplift, training_positive_folds, deployment_positive_folds
+        )
+    )
     routed = settle(R.apply_route(scored, route, F.col(base), F.col(candidate)))
     rows = with_thresholds(routed, thresholds)
     report = R.variant_report(
