@@ -251,10 +251,10 @@ def evidence_ctes(pairs: str) -> tuple[str, ...]:
 def pair_evidence(spark, sf_dir):
     cards = E.item_cards(views.items(spark, sf_dir))
     joined = pair_cards(views.human_pairs(spark, sf_dir), cards, E.CARD_FIELDS)
-    found = joined.withColumn("e", E.pair_evidence(F.col("left_card"), F.col("right_card")))
+    found = E.with_evidence(joined)
 
     def listed(field: str, glue: str):
-        text = F.array_join(F.col("e")[field], glue)
+        text = F.array_join(F.col(field), glue)
         return F.when(text == "", F.lit("none")).otherwise(text).alias(field)
 
     return found.select(
@@ -263,9 +263,9 @@ def pair_evidence(spark, sf_dir):
         listed("matches", "; "),
         listed("conflicts", "; "),
         listed("missing", ","),
-        F.size("e.matches").alias("identity_matches"),
-        F.size("e.conflicts").alias("identity_conflicts"),
-        F.size("e.missing").alias("missing_identity_fields"),
+        F.size("matches").alias("identity_matches"),
+        F.size("conflicts").alias("identity_conflicts"),
+        F.size("missing").alias("missing_identity_fields"),
     )
 
 

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmatch import fixed_values as fixed
-from pairmatch.functions.text import PLAIN, fold_plain, fold_text, with_normalized
+from pairmatch.functions.text import fold_plain, fold_text, is_plain, with_normalized
 
-# One object without nesting, escapes or unusual characters; and no number whose text a
-# JSON reader might change (fractions, exponents, very long integers, minus zero).
-_FLAT = r"^[ \t\r\n]*\{[^{}\[\]\\]*\}[ \t\r\n]*$"
+# A number whose text a JSON reader might change: fractions, exponents, very long
+# integers, minus zero.
 _ODD_NUMBER = r":[ \t\r\n]*-?(?:\d+[.eE]|\d{16}|0\d|0[ \t\r\n]*[,}])"
-_OPENS_OBJECT = r"^[ \t\r\n]*\{"
+_JSON_SPACE = " \t\r\n"
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _ENTRIES = T.ArrayType(T.StructType().add("key", T.StringType()).add("value", T.StringType()))
 _ENTRY = pa.struct([("key", pa.string()), ("value", pa.string())])
@@ -56,18 +55,14 @@ def _read_attributes(payloads: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(_ENTRY))
 
 
-def _flat_attributes(raw: Column) -> Column:
-    """Entries of a flat payload, the last value of a repeated key wins."""
-    entries = F.map_entries(F.from_json(raw, "map<string,string>", _STRICT_JSON))
-    keys = F.transform(entries, lambda e: e.key)
+def _last_values(entries: Column, keys: Column) -> Column:
+    """Normalised entries of a flat payload; the last value of a repeated key wins."""
     last = F.filter(
         entries,
-        lambda e, i: ~F.exists(
-            F.slice(keys, i + 2, F.size(keys)), lambda later: later == e.key
-        ),
+        lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e.key) == 0,
     )
     folded = F.transform(
-        last,
+        F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries),
         lambda e: F.struct(
             fold_plain(e.key).alias("key"),
             F.left(
@@ -79,6 +74,18 @@ def _flat_attributes(raw: Column) -> Column:
     return F.filter(folded, lambda e: (e.key != "") & (e.value != ""))
 
 
+def _is_flat(raw: Column) -> Column:
+    """One object without nesting, escapes, odd numbers or unusual characters."""
+    body = F.btrim(raw, F.lit(_JSON_SPACE))
+    single = (
+        body.startswith("{")
+        & (F.instr(body, "}") == F.length(body))
+        & (F.locate("{", body, 2) == 0)
+    )
+    simple = ~(raw.contains("[") | raw.contains("]") | raw.contains("\\"))
+    return single & simple & is_plain(raw) & ~raw.rlike(_ODD_NUMBER)
+
+
 def _priority(key: Column, fragments: Sequence[str]) -> Column:
     rank = F.lit(len(fragments))
     for position in range(len(fragments) - 1, -1, -1):
@@ -104,14 +111,25 @@ def with_attributes(
     """
     source = df.withColumn("_raw", raw)
     given = F.col("_raw")
-    sorted_out = source.withColumn(
-        "_flat",
-        given.rlike(_FLAT) & ~given.rlike(_ODD_NUMBER) & ~given.rlike(f"[^{PLAIN}]"),
-    ).withColumn("_nested", ~F.col("_flat") & given.rlike(_OPENS_OBJECT))
-    read = sorted_out.withColumn("_read", _read_attributes(F.when(F.col("_nested"), given)))
+    sorted_out = source.withColumn("_flat", _is_flat(given)).withColumn(
+        "_nested", ~F.col("_flat") & F.btrim(given, F.lit(_JSON_SPACE)).startswith("{")
+    )
+    # Each step is its own column: an expression used several times is then computed once.
+    read = (
+        sorted_out.withColumn("_read", _read_attributes(F.when(F.col("_nested"), given)))
+        .withColumn(
+            "_pairs",
+            F.map_entries(
+                F.from_json(F.when(F.col("_flat"), given), "map<string,string>", _STRICT_JSON)
+            ),
+        )
+        .withColumn("_keys", F.transform("_pairs", lambda e: e.key))
+    )
     entries = read.withColumn(
         "_entries",
-        F.when(F.col("_flat"), _flat_attributes(given)).when(F.col("_nested"), F.col("_read")),
+        F.when(F.col("_flat"), _last_values(F.col("_pairs"), F.col("_keys"))).when(
+            F.col("_nested"), F.col("_read")
+        ),
     )
     ranked = F.array_sort(
         F.transform(

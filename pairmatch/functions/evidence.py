@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ Groups = Mapping[str, Sequence[str]]
 def _group_index(key: Column, groups: Groups) -> Column:
     index = F.lit(-1)
     for position, fragments in reversed(list(enumerate(groups.values()))):
-        index = F.when(key.rlike("|".join(fragments)), F.lit(position)).otherwise(index)
+        found = reduce(or_, [key.contains(fragment) for fragment in fragments])
+        index = F.when(found, F.lit(position)).otherwise(index)
     return index
 
 
@@ -111,34 +114,44 @@ def _compare(name: Column, left: Column, right: Column, shown: int) -> Column:
     )
 
 
-def pair_evidence(
-    left: Column, right: Column, groups: Groups = fixed.IDENTITY_GROUPS
-) -> Column:
-    """``struct(matches, conflicts, missing)``: arrays of texts from two item cards."""
+def with_evidence(
+    df: DataFrame,
+    left: str = "left_card",
+    right: str = "right_card",
+    groups: Groups = fixed.IDENTITY_GROUPS,
+) -> DataFrame:
+    """Add the text arrays ``matches``, ``conflicts`` and ``missing`` from two item cards."""
+    a, b = F.col(left), F.col(right)
     names = F.array(*[F.lit(name) for name in groups])
     sides = F.zip_with(
-        left["identity"], right["identity"], lambda a, b: F.struct(a.alias("l"), b.alias("r"))
+        a["identity"], b["identity"], lambda x, y: F.struct(x.alias("l"), y.alias("r"))
     )
     per_group = F.zip_with(
         names, sides, lambda n, s: _compare(n, s.l, s.r, fixed.IDENTITY_VALUES)
     )
-    by_title = _compare(
-        F.lit("title_id"), left["title_ids"], right["title_ids"], fixed.TITLE_IDENTIFIERS
-    )
-    everything = F.concat(per_group, F.array(by_title))
+    by_title = _compare(F.lit("title_id"), a["title_ids"], b["title_ids"], fixed.TITLE_IDENTIFIERS)
+    compared = df.withColumn("_compared", F.concat(per_group, F.array(by_title)))
 
     def texts(source: Column, field: str) -> Column:
-        return F.filter(F.transform(source, lambda e: e[field]), lambda t: t.isNotNull())
-
-    return F.struct(
-        texts(everything, "match").alias("matches"),
-        texts(everything, "conflict").alias("conflicts"),
-        texts(per_group, "missing").alias("missing"),
+        found = F.transform(source, lambda e: e[field])
+        return F.filter(found, lambda t: t.isNotNull()).alias(field_names[field])
+
+    field_names = {"match": "matches", "conflict": "conflicts", "missing": "missing"}
+    every = F.col("_compared")
+    # A title without identifiers is not a missing identity field.
+    return compared.select(
+        *df.columns,
+        texts(every, "match"),
+        texts(every, "conflict"),
+        texts(F.slice(every, 1, len(groups)), "missing"),
     )
 
 
-def pair_text(category: Column, left: Column, right: Column, evidence: Column) -> Column:
-    """Canonical text of a pair, the same for (a, b) and (b, a); category normalised."""
+def pair_text(category: Column, left: Column, right: Column) -> Column:
+    """Canonical text of a pair, the same for (a, b) and (b, a).
+
+    Reads the evidence columns next to the cards; ``category`` is normalised already.
+    """
     swap = right["sort_key"] < left["sort_key"]
 
     def side(field: str, first: bool) -> Column:
@@ -148,7 +161,7 @@ def pair_text(category: Column, left: Column, right: Column, evidence: Column) -
         )
 
     def listed(field: str, glue: str) -> Column:
-        joined = F.array_join(evidence[field], glue)
+        joined = F.array_join(F.col(field), glue)
         return F.when(joined == "", F.lit("none")).otherwise(joined)
 
     head = F.array(

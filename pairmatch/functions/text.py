@@ -38,7 +38,8 @@ def fold_plain(value: Column) -> Column:
 
 
 def is_plain(value: Column) -> Column:
-    return ~value.rlike(f"[^{PLAIN}]")
+    """As many bytes as characters means ASCII; only other strings are searched."""
+    return (F.octet_length(value) == F.length(value)) | ~value.rlike(f"[^{PLAIN}]")
 
 
 # Marked nondeterministic so that the optimizer runs it once per row instead of copying
@@ -110,8 +111,9 @@ def _compare_texts(values: pa.Array) -> pa.Array:
     return pa.array(compared, pa.list_(pa.string()))
 
 
-# A digit, a unit word or an unusual character: the value may hold a measurement.
-_MEASURED = rf"(?U)\d|{_UNIT_WORD}|[^{PLAIN}]"
+def _may_measure(value: Column) -> Column:
+    """A digit, a unit word or an unusual character."""
+    return value.rlike("[0-9]") | ~is_plain(value) | value.rlike(f"(?U){_UNIT_WORD}")
 
 
 _compare_texts = _compare_texts.asNondeterministic()
@@ -124,7 +126,7 @@ def with_comparison_values(df: DataFrame, out: str, values: Column) -> DataFrame
     the JVM; arrays holding a measurement go through the Arrow helper.
     """
     staged = df.withColumn("_values", values).withColumn(
-        "_measured", F.exists("_values", lambda v: v.rlike(_MEASURED))
+        "_measured", F.exists("_values", _may_measure)
     )
     compared = staged.withColumn(
         "_compared", _compare_texts(F.when(F.col("_measured"), F.col("_values")))

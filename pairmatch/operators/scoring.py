@@ -15,12 +15,13 @@ from pairmatch.functions.evidence import (
     CARD_FIELDS,
     Groups,
     item_cards,
-    pair_evidence,
     pair_text,
+    with_evidence,
 )
 from pairmatch.functions.numeric import logistic
 from pairmatch.functions.text import surface_similarity, with_normalized
 from pairmatch.operators.joins import pair_cards
+from pairmatch.session import settle
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -44,14 +45,13 @@ def evidence_table(
     """Model texts and label-free diagnostics of every pair.
 
     Mode ``item`` gives one text per side, mode ``pair`` one canonical text (and an empty
-    right text). Items are parsed once each, before the joins.
+    right text).
     """
     if mode not in ("item", "pair"):
         raise ValueError(f"unknown serialization mode: {mode}")
-    cards = item_cards(items, groups, budget)
     fields = [*CARD_FIELDS, "name"]
     named = with_normalized(
-        cards, {"_category": F.col("category"), "_name": F.col("name")}
+        item_cards(items, groups, budget), {"_category": F.col("category"), "_name": F.col("name")}
     )
     if mode == "item":
         named = with_attributes(named, F.col("attributes"), "_state", "_attributes")
@@ -62,13 +62,14 @@ def evidence_table(
     else:
         named = named.withColumnRenamed("_category", "shown_category")
         fields.append("shown_category")
-    joined = pair_cards(pairs, named, fields)
+    # Both sides of every pair read the cards: parse the items once.
+    cards = settle(named.select("id", "category", *fields))
+    evident = with_evidence(pair_cards(pairs, cards, fields), groups=groups)
     left, right = F.col("left_card"), F.col("right_card")
-    evident = joined.withColumn("_evidence", pair_evidence(left, right, groups))
     if mode == "item":
         texts = [left["text"].alias("left_text"), right["text"].alias("right_text")]
     else:
-        canonical = pair_text(left["shown_category"], left, right, F.col("_evidence"))
+        canonical = pair_text(left["shown_category"], left, right)
         texts = [canonical.alias("left_text"), F.lit("").alias("right_text")]
     rest = [c for c in pairs.columns if c not in ("id1", "id2", "category")]
     return evident.select(
@@ -78,9 +79,9 @@ def evidence_table(
         "category",
         *texts,
         surface_similarity(left["name"], right["name"]).cast("float").alias("surface_similarity"),
-        F.size("_evidence.matches").alias("identity_matches"),
-        F.size("_evidence.conflicts").alias("identity_conflicts"),
-        F.size("_evidence.missing").alias("missing_identity_fields"),
+        F.size("matches").alias("identity_matches"),
+        F.size("conflicts").alias("identity_conflicts"),
+        F.size("missing").alias("missing_identity_fields"),
     )
 
 
