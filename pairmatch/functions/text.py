@@ -150,23 +150,39 @@ def title_identifiers(normalized: Column) -> Column:
     return F.array_sort(F.array_distinct(long_enough))
 
 
-def surface_similarity(left: Column, right: Column) -> Column:
-    """Jaccard of the UTF-8 byte sets of two lower-cased names.
+def byte_set(text: Column) -> Column:
+    """Distinct UTF-8 bytes of the lower-cased text, one Latin-1 character each."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_distinct(F.split(F.decode(F.encode(lowered, "UTF-8"), "ISO-8859-1"), ""))
 
-    0 when a name is empty, equality when one has a single character.
-    """
-    a, b = (F.lower(F.coalesce(side, F.lit(""))) for side in (left, right))
-
-    def byte_set(text: Column) -> Column:
-        return F.array_distinct(
-            F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-        )
 
-    left_bytes, right_bytes = byte_set(a), byte_set(b)
-    shared = F.size(F.array_intersect(left_bytes, right_bytes)).cast("double")
-    either = F.size(F.array_union(left_bytes, right_bytes))
+def byte_similarity(left: Column, right: Column, left_set: Column, right_set: Column) -> Column:
+    """Jaccard of two byte sets; 0 for an empty name, equality for a single character."""
+    a, b = (F.lower(F.coalesce(side, F.lit(""))) for side in (left, right))
+    shared = F.size(F.array_intersect(left_set, right_set))
+    either = F.size(left_set) + F.size(right_set) - shared
     return (
         F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
         .when((F.length(a) < 2) | (F.length(b) < 2), (a == b).cast("double"))
-        .otherwise(shared / either)
+        .otherwise(shared.cast("double") / either)
+    )
+
+
+def with_byte_similarity(df: DataFrame, out: str, left: Column, right: Column) -> DataFrame:
+    """Add the byte-set similarity of two texts.
+
+    The sets are columns of their own, so each is built once per row.
+    """
+    sets = df.select(
+        "*",
+        left.alias("_left"),
+        right.alias("_right"),
+        byte_set(left).alias("_left_set"),
+        byte_set(right).alias("_right_set"),
+    )
+    return sets.select(
+        *[c for c in df.columns if c != out],
+        byte_similarity(
+            F.col("_left"), F.col("_right"), F.col("_left_set"), F.col("_right_set")
+        ).alias(out),
     )

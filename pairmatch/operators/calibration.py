@@ -12,6 +12,9 @@ from pairmatch.functions.numeric import logistic
 from pairmatch.operators.metrics import probability_report
 from pairmatch.session import settle
 
+# Two parameters per group pass through the driver each round.
+MAXIMUM_FITS = 100_000
+
 VARIANTS = ("raw", "global_platt", "category_platt")
 
 
@@ -48,10 +51,10 @@ def platt_fit(
     )
     sizes = cells.groupBy(*keys).agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))
     needed = max(1, minimum_class_rows)
-    groups = [
-        tuple(r[k] for k in keys)
-        for r in sizes.where((F.col("p") >= needed) & (F.col("n") >= needed)).collect()
-    ]
+    kept = sizes.where((F.col("p") >= needed) & (F.col("n") >= needed))
+    groups = [tuple(r[k] for k in keys) for r in kept.limit(MAXIMUM_FITS + 1).collect()]
+    if len(groups) > MAXIMUM_FITS:
+        raise ValueError(f"calibration is meant for up to {MAXIMUM_FITS} groups")
     spark = df.sparkSession
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     head = [f"{k} {types[k]}" for k in keys]

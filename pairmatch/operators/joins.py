@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.functions.text import surface_similarity
+from pairmatch.functions.text import with_byte_similarity
 from pairmatch.sources.tables import PAIR_KEYS
 
 ITEM_FIELDS = ("name", "attributes")
@@ -42,9 +42,8 @@ def pair_join(
 
 def with_surface_similarity(joined: DataFrame, out: str = "surface_similarity") -> DataFrame:
     """Byte-set similarity of the two names, stored as a float."""
-    return joined.withColumn(
-        out, surface_similarity(F.col("left_name"), F.col("right_name")).cast("float")
-    )
+    compared = with_byte_similarity(joined, out, F.col("left_name"), F.col("right_name"))
+    return compared.withColumn(out, F.col(out).cast("float"))
 
 
 def pair_cards(pairs: DataFrame, cards: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.operators.metrics import STRESS, cohort_precision, spearman, stress_cohorts
+from pairmatch.session import settle
 from pairmatch.sources.tables import PAIR_KEYS
 
 ALL = "all"
@@ -223,11 +224,14 @@ def top_k_routers(
         "validation_fold is not null"
     )
     by_fold = Window.partitionBy("category").orderBy("position", "validation_fold")
-    switch = ranked.select(
-        "category",
-        F.col("validation_fold").alias("fold"),
-        "position",
-        F.row_number().over(by_fold).alias("switch"),
+    # One row per category and fold, read by three branches below.
+    switch = settle(
+        ranked.select(
+            "category",
+            F.col("validation_fold").alias("fold"),
+            "position",
+            F.row_number().over(by_fold).alias("switch"),
+        )
     )
     states = F.sequence(F.lit(0), F.lit(len(folds)))
     named = df.withColumn("_base", base).withColumn("_candidate", candidate)

@@ -19,7 +19,12 @@ from pairmatch.functions.evidence import (
     with_evidence,
 )
 from pairmatch.functions.numeric import logistic
-from pairmatch.functions.text import surface_similarity, with_normalized
+from pairmatch.functions.text import (
+    byte_set,
+    byte_similarity,
+    with_byte_similarity,
+    with_normalized,
+)
 from pairmatch.operators.joins import pair_cards
 from pairmatch.session import settle
 
@@ -49,7 +54,7 @@ def evidence_table(
     """
     if mode not in ("item", "pair"):
         raise ValueError(f"unknown serialization mode: {mode}")
-    fields = [*CARD_FIELDS, "name"]
+    fields = [*CARD_FIELDS, "name", "name_bytes"]
     named = with_normalized(
         item_cards(items, groups, budget), {"_category": F.col("category"), "_name": F.col("name")}
     )
@@ -63,7 +68,9 @@ def evidence_table(
         named = named.withColumnRenamed("_category", "shown_category")
         fields.append("shown_category")
     # Both sides of every pair read the cards: parse the items once.
-    cards = settle(named.select("id", "category", *fields))
+    cards = settle(
+        named.withColumn("name_bytes", byte_set(F.col("name"))).select("id", "category", *fields)
+    )
     evident = with_evidence(pair_cards(pairs, cards, fields), groups=groups)
     left, right = F.col("left_card"), F.col("right_card")
     if mode == "item":
@@ -78,7 +85,9 @@ def evidence_table(
         *rest,
         "category",
         *texts,
-        surface_similarity(left["name"], right["name"]).cast("float").alias("surface_similarity"),
+        byte_similarity(left["name"], right["name"], left["name_bytes"], right["name_bytes"])
+        .cast("float")
+        .alias("surface_similarity"),
         F.size("matches").alias("identity_matches"),
         F.size("conflicts").alias("identity_conflicts"),
         F.size("missing").alias("missing_identity_fields"),
@@ -102,8 +111,10 @@ def text_scorer(slope: float = 8.0, intercept: float = -4.0) -> Scorer:
     """Logit of the byte-set similarity of the two texts, as a plain expression."""
 
     def score(df: DataFrame) -> DataFrame:
-        similarity = surface_similarity(F.col("left_text"), F.col("right_text"))
-        return df.withColumn("logit", F.lit(intercept) + F.lit(slope) * similarity)
+        compared = with_byte_similarity(df, "_similar", F.col("left_text"), F.col("right_text"))
+        return compared.withColumn(
+            "logit", F.lit(intercept) + F.lit(slope) * F.col("_similar")
+        ).drop("_similar")
 
     return score
 

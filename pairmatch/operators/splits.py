@@ -11,7 +11,7 @@ from pairmatch.functions.hashing import hash_slot, seeded_hash
 from pairmatch.operators.graph import component_ids
 from pairmatch.operators.joins import with_category
 from pairmatch.operators.ranking import ordinal
-from pairmatch.session import shuffle_width
+from pairmatch.session import settle, shuffle_width
 
 
 def hash_split(modulus: int = 5, bucket: int = 0, method: str = "md5") -> Column:
@@ -108,7 +108,7 @@ def build_folds(
     pairs: DataFrame, items: DataFrame, folds: int = 5, seed: int = 2026, method: str = "md5"
 ) -> DataFrame:
     """Pairs with category, component and fold, ready for the leakage audit."""
-    labelled = component_ids(with_category(pairs, items))
+    labelled = settle(component_ids(with_category(pairs, items)))
     return component_folds(labelled, folds, seed, method=method).select(
         "id1", "id2", "target", "category", "component_id", "fold"
     )

@@ -135,12 +135,23 @@ def test_title_identifiers(spark):
 def test_surface_similarity_edges(spark):
     rows = [("", "A"), ("A", "a"), ("A", "B"), (None, None), ("ACME X100", "ACME X200"), ("яа", "аб")]
     df = spark.createDataFrame(rows, "l string, r string")
-    got = [r.s for r in df.select(X.surface_similarity(F.col("l"), F.col("r")).alias("s")).collect()]
+    got = [r.s for r in X.with_byte_similarity(df, "s", F.col("l"), F.col("r")).collect()]
     assert got[:4] == [0.0, 1.0, 0.0, 0.0]
     assert 0.0 < got[4] < 1.0
     assert got[5] == pytest.approx(0.4)  # byte sets, not letters
 
 
+def test_byte_sets_match_python(spark):
+    values = ["", "a", "Hello World", "яабв Яё", "日本語", "straße 5€", "\u0000x", "aa bb"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = df.select("i", X.byte_set(F.col("v")).alias("b")).orderBy("i").collect()
+    for row, value in zip(got, values, strict=True):
+        want = set(value.lower().encode("utf-8")) if value else set()
+        assert {ord(c) for c in row.b if c} == want
+        if value:
+            assert len(row.b) == len(want)
+
+
 def test_pair_text_is_symmetric_and_marks_evidence(spark):
     rows = [
         (1, "Электроника", "Смартфон ACME X100 500 мл", '{"Бренд":"ACME","Модель":"X100","Объём":"0.5 л"}'),
