@@ -176,8 +176,11 @@ def weight_grid(
             for i, v in enumerate(candidates)
         ]
     )
-    spread = df.select(*keys, "category", "fold", "target", *features, F.inline(vectors))
-    slots = max(2, shuffle_width(df.sparkSession) // len(candidates))
+    # Every row becomes many: deal the rows evenly first, input files rarely do.
+    width = shuffle_width(df.sparkSession)
+    rows = df.select(*keys, "category", "fold", "target", *features).repartition(width)
+    spread = rows.select("*", F.inline(vectors))
+    slots = max(2, width // len(candidates))
     return cohort_precision(
         spread.withColumn("_blend", weighted_sum(F.col("w"), features)),
         [*keys, "category", "candidate"],

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.operators.metrics import STRESS, cohort_precision, spearman, stress_cohorts
-from pairmatch.session import settle
+from pairmatch.session import settle, shuffle_width
 from pairmatch.sources.tables import PAIR_KEYS
 
 ALL = "all"
@@ -235,6 +235,7 @@ def top_k_routers(
     )
     states = F.sequence(F.lit(0), F.lit(len(folds)))
     named = df.withColumn("_base", base).withColumn("_candidate", candidate)
+    named = named.repartition(shuffle_width(df.sparkSession))
     spread = named.join(switch.select("category", "fold", "switch"), ["category", "fold"]).select(
         "*", F.explode(states).alias("state")
     )

@@ -16,11 +16,10 @@ from pairmatch.operators import blending as B
 from pairmatch.operators import routing as R
 from pairmatch.operators.joins import with_category_parameters
 from pairmatch.operators.metrics import cohort_precision
-from pairmatch.session import settle
+from pairmatch.session import settle, shuffle_width
 
 THRESHOLDS = ("hard_negative_min_similarity", "hard_positive_max_similarity")
 REPRESENTATIONS = ("raw_logit", "category_rank")
-SCOPES = ("global", "category")
 
 
 def with_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -42,13 +41,25 @@ def long_features(df: DataFrame, models: Sequence[str]) -> DataFrame:
     return ranked.select(*df.columns, F.inline(forms))
 
 
-def _subset(candidates: Sequence[Sequence[float]], used: Sequence[int]) -> Column:
-    """Candidates that give weight to the used models only."""
-    kept = [
-        i for i, v in enumerate(candidates)
-        if all(w == 0.0 for at, w in enumerate(v) if at not in used)
+def _subsets_of(
+    candidates: Sequence[Sequence[float]], models: Sequence[str], sizes: Sequence[int]
+) -> Column:
+    """Names of the model subsets a candidate belongs to: zero weight outside of them."""
+    subsets = {
+        "+".join(models[i] for i in used): used
+        for size in sizes
+        for used in combinations(range(len(models)), size)
+    }
+    named = [
+        [
+            name
+            for name, used in subsets.items()
+            if all(w == 0.0 for at, w in enumerate(vector) if at not in used)
+        ]
+        for vector in candidates
     ]
-    return F.col("candidate").isin(kept)
+    table = F.array(*[F.array(*[F.lit(n) for n in row]).cast("array<string>") for row in named])
+    return F.element_at(table, F.col("candidate") + 1)
 
 
 def search_weights(
@@ -68,37 +79,36 @@ def search_weights(
     candidates = B.simplex(len(models), step)
     features = [f"f{i}" for i in range(len(models))]
     grid = settle(B.weight_grid(long, features, candidates, folds, ["representation"]))
-    fitted, final = [], []
-    for size in subset_sizes:
-        for used in combinations(range(len(models)), size):
-            allowed = _subset(candidates, used)
-            label = "+".join(models[i] for i in used)
-            for scope in SCOPES:
-                keys = ["representation", "cohort", *(["category"] if scope == "category" else [])]
-                source = grid if scope == "category" else B.macro_grid(grid, ["representation"])
-                picked = B.best_candidates(source, keys, candidates, allowed)
-                category = (
-                    F.col("category") if scope == "category" else F.lit(None).cast("string")
-                )
-                named = picked.select(
-                    F.concat(F.lit(f"{label}__"), "representation", F.lit(f"__{scope}")).alias("variant"),
-                    "representation", "cohort", category.alias("category"), "weights", "training_score",
-                )
-                fitted.append(
-                    named.where(F.col("cohort") != B.ALL).select(
-                        "variant", "representation",
-                        F.substring_index("cohort", "_", -1).cast("int").alias("fold"),
-                        "category", "weights", "training_score",
-                    )
-                )
-                final.append(named.where(F.col("cohort") == B.ALL).drop("cohort", "representation"))
-    union = fitted[0]
-    for part in fitted[1:]:
-        union = union.unionByName(part)
-    deployed = final[0]
-    for part in final[1:]:
-        deployed = deployed.unionByName(part)
-    return union, deployed
+    spread = grid.withColumn("subset", F.explode(_subsets_of(candidates, models, subset_sizes)))
+    keys = ["representation", "subset"]
+    picked = {
+        "global": B.best_candidates(
+            B.macro_grid(spread, keys), [*keys, "cohort"], candidates
+        ).withColumn("category", F.lit(None).cast("string")),
+        "category": B.best_candidates(spread, [*keys, "cohort", "category"], candidates),
+    }
+    named = [
+        table.select(
+            F.concat_ws("__", "subset", "representation", F.lit(scope)).alias("variant"),
+            "representation",
+            "cohort",
+            "category",
+            "weights",
+            "training_score",
+        )
+        for scope, table in picked.items()
+    ]
+    methods = settle(named[0].unionByName(named[1]))
+    whole = F.col("cohort") == B.ALL
+    fitted = methods.where(~whole).select(
+        "variant",
+        "representation",
+        F.substring_index("cohort", "_", -1).cast("int").alias("fold"),
+        "category",
+        "weights",
+        "training_score",
+    )
+    return fitted, methods.where(whole).drop("cohort", "representation")
 
 
 def method_predictions(long: DataFrame, models: Sequence[str], weights: DataFrame) -> DataFrame:
@@ -113,7 +123,9 @@ def method_predictions(long: DataFrame, models: Sequence[str], weights: DataFram
     )
     own = per_cell.where("category is not null")
     empty = F.array().cast("array<struct<variant:string,weights:array<double>>>")
-    joined = long.join(shared, ["representation", "fold"], "left").join(
+    # Each row is copied once per method: deal the rows evenly before that.
+    even = long.repartition(shuffle_width(long.sparkSession))
+    joined = even.join(shared, ["representation", "fold"], "left").join(
         own, ["representation", "fold", "category"], "left"
     )
     spread = joined.select(
@@ -138,7 +150,7 @@ def ensemble_search(
     """Evidence and verdict per method, against the first model alone."""
     long = settle(long_features(scored, models))
     weights, _ = search_weights(long, models, folds, step, subset_sizes)
-    methods = method_predictions(long, models, settle(weights))
+    methods = method_predictions(long, models, weights)
     base = scored.withColumn("variant", F.lit("base")).withColumn(
         "predict", F.col(models[0]).cast("double")
     )
@@ -164,7 +176,7 @@ def two_model_report(
     models = [base, candidate]
     long = settle(long_features(scored, models))
     weights, final = search_weights(long, models, folds, step, (2,))
-    weights = settle(weights.where("category is null"))
+    weights = weights.where("category is null")
     spread = weights.groupBy("variant").agg(
         (F.max(F.col("weights")[1]) - F.min(F.col("weights")[1])).alias("weight_range")
     )
