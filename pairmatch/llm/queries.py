@@ -1,4 +1,4 @@
 """All registered queries of this folder, and their SQL."""
 
-from pairmatch.llm import neighbours, sharding, url_filter  # noqa: F401
+from pairmatch.llm import neighbours, secrets, sharding, url_filter  # noqa: F401
 from pairmatch.llm.common import RUN, SQL  # noqa: F401
