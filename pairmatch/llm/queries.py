@@ -1,4 +1,4 @@
 """All registered queries of this folder, and their SQL."""
 
-from pairmatch.llm import bpe, neighbours, packing, secrets, sharding, toxicity, url_filter  # noqa: F401
+from pairmatch.llm import bpe, neighbours, packing, quality, secrets, sharding, toxicity, url_filter  # noqa: F401
 from pairmatch.llm.common import RUN, SQL  # noqa: F401
