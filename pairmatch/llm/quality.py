@@ -9,10 +9,13 @@ Only built-in expressions are used; nothing leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmatch.llm.common import fresh, publish, query, quoted, table, whole
+from pairmatch.session import settle
 
 # White space between words, and the characters that count as symbols.
 GAP = r"[\x20\x09-\x0D]+"
@@ -91,9 +94,10 @@ def measure(docs: DataFrame, text: str) -> DataFrame:
         F.lit(0),
         lambda total, n: total + n,
     )
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select(
-        *map(quoted, docs.columns), *METRICS
-    )
+    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    # The generator keeps later filters on the metrics above it: pushed below, they would put
+    # the splitting of the text inside the functions that run once per word.
+    return df.select(*map(quoted, docs.columns), F.inline(F.array(F.struct(*METRICS))))
 
 
 def base_failed() -> Column:
@@ -148,23 +152,32 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, text: str, host: str) -> DataFrame:
+def judge(docs: DataFrame, text: str, host: str, carried: Sequence[str] | None = None) -> DataFrame:
     """Add the metrics, ``base_failed``, ``host_rate`` and ``kept`` to every document.
 
-    The measured rows are published once; the hosts' rates are joined back on the host, where
-    the big side of a hot host is split by the adaptive skew join and a small table of hosts
-    is broadcast by the planner. Null texts fail as empty ones, null hosts are one host,
-    repeated rows each count, empty tables stay empty; a clash with a new name raises.
+    ``carried`` are the columns that go along (default all). Without the text among them the
+    measured rows are published once for both uses; with it they are measured a second time,
+    as writing the texts again would cost more disk. Hosts' rates are joined back on the
+    host, where the big side of a hot host is split by the adaptive skew join and a small
+    table of hosts is broadcast by the planner. Null texts fail as empty ones, null hosts are
+    one host, repeated rows each count, empty tables stay empty; a clash with a new name raises.
     """
+    carried = list(carried if carried is not None else docs.columns)
     added = [*METRICS, "base_failed", "host_rate", "kept"]
-    if clash := set(added) & {c.lower() for c in docs.columns}:
+    if clash := set(added) & {c.lower() for c in carried}:
         raise ValueError(f"the documents already have {sorted(clash)}")
-    return with_hosts(publish(measure(docs, text)), host)
+    measured = measure(docs, text).select(*map(quoted, carried), *METRICS)
+    if text in carried:
+        rates = settle(host_rates(measured, host))
+    else:
+        measured = publish(measured)
+        rates = host_rates(measured, host)
+    return with_hosts(measured, rates, host)
 
 
-def with_hosts(measured: DataFrame, host: str) -> DataFrame:
+def with_hosts(measured: DataFrame, rates: DataFrame, host: str) -> DataFrame:
     mark = fresh(measured.columns, "_host")
-    rates = host_rates(measured, host).select(F.col("host").alias(mark), F.col("rate").alias("host_rate"))
+    rates = rates.select(F.col("host").alias(mark), F.col("rate").alias("host_rate"))
     return (
         measured.join(rates, quoted(host).eqNullSafe(F.col(mark)), "left")
         .drop(mark)
@@ -204,8 +217,7 @@ FROM g JOIN rates ON g.source IS NOT DISTINCT FROM rates.source"""
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base metrics and the verdict for every document; ``source`` is the host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    measured = publish(measure(docs, "text").drop("text"))
-    return with_hosts(measured, "source").select(
+    return judge(docs, "text", "source", carried=["doc_id", "source"]).select(
         "doc_id",
         "n_words",
         "word_chars",
