@@ -46,7 +46,7 @@ class PrefixEncoder:
 
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
-        self.born, self.parts, self.rank = {}, {}, {}
+        self.born, self.parts, self.rank, self.known_whole = {}, {}, {}, {}
         for order, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pair, made = (vocab[left], vocab[right]), vocab[left + right]
@@ -65,11 +65,14 @@ class PrefixEncoder:
         self.matches.make_automaton()
 
     def _whole(self, number: int) -> bool:
-        """Whether the token's own text encodes to the token: at each of its merges, nothing
-        across the border comes first. (A token made of whole parts is checked once.)"""
-        if self.born[number] < 0:
-            return True
-        return self.fits(*self.parts[number], before=self.born[number])
+        """Whether the token's own text encodes to the token: both parts are whole, and nothing
+        across their border comes before the merge that makes the token."""
+        if number not in self.known_whole:
+            self.known_whole[number] = self.born[number] < 0 or (
+                all(map(self._whole, self.parts[number]))
+                and self.fits(*self.parts[number], before=self.born[number])
+            )
+        return self.known_whole[number]
 
     def fits(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether ``left`` followed by ``right`` stays two tokens.
