@@ -64,12 +64,13 @@ def _classes():
     return code
 
 
-def transition_counts(docs: DataFrame, text: str, least_word: int = 6, batch_chars: int = 1 << 22) -> DataFrame:
+def transition_counts(docs: DataFrame, text: str, least_word: int = 6) -> DataFrame:
     """``label, before, after, n``: character pairs of the labelled strings of all documents.
 
     Label 1 are the values of the base matches, label 0 the runs of at least ``least_word``
-    ASCII letters outside them. ``before`` is the start state at the first character. A task
-    hands on one row per pair of states, however many texts it reads.
+    ASCII letters outside them that no digit or key sign touches. ``before`` is the start state
+    at the first character. A task hands on one row per pair of states, however many texts it
+    reads.
     """
 
     def count(batches: Iterator) -> Iterator:
@@ -77,7 +78,7 @@ def transition_counts(docs: DataFrame, text: str, least_word: int = 6, batch_cha
         import pyarrow as pa
 
         patterns, code = compiled(), _classes()
-        letters = re.compile(rb"[A-Za-z]{%d,}" % least_word)
+        letters = re.compile(rb"(?<![A-Za-z0-9+/=])[A-Za-z]{%d,}+(?![0-9+/=])" % least_word)
         total = np.zeros((2, STATES + 1, STATES + 1), np.int64)
 
         def add(label: int, joined: bytes) -> None:
@@ -163,7 +164,7 @@ def scan(
     docs: DataFrame,
     text: str,
     least_run: int = 20,
-    threshold: float = 0.5,
+    threshold: float = 0.25,
     smoothing: float = 1.0,
 ) -> DataFrame:
     """Add ``secrets``: an array of (kind, start, end, value) in order of start, then kind.
