@@ -3,6 +3,7 @@
 from pairmatch.catalogue import (  # noqa: F401
     audit,
     blend,
+    contracts,
     pairs,
     quality,
     sampling,

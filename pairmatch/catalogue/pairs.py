@@ -12,7 +12,7 @@ from pairmatch.plans.pair_tables import PairTableConfig, manifest, pair_tables
 from pairmatch.session import settle
 from pairmatch.sources import tables, views
 
-CONFIG = PairTableConfig(train_sample_modulus=2, sample_seed=2026)
+CONFIG = PairTableConfig(sample_seed=2026)
 
 _JOINED_SQL = """SELECT p.id1, p.id2, p.target, a.category, b.category AS right_category,
   a.name AS left_name, b.name AS right_name,
@@ -92,7 +92,7 @@ SPLIT_SQL = f"""CASE WHEN {_LEFT} AND {_RIGHT} THEN 'validation'
   WHEN NOT {_LEFT} AND NOT {_RIGHT} THEN 'train' ELSE 'dropped_cross' END"""
 _DATASETS_SQL = f"""dataset_pairs AS (
   SELECT 'soft_train' AS dataset, id1, id2, target FROM soft_pairs
-  WHERE {SPLIT_SQL} = 'train' AND {hash_sql(2026, 'id1', 'id2')} % 2 = 0
+  WHERE {SPLIT_SQL} = 'train'
   UNION ALL SELECT 'soft_validation', id1, id2, target FROM soft_pairs
   WHERE {SPLIT_SQL} = 'validation'
   UNION ALL SELECT 'human_all', id1, id2, target FROM human_pairs)"""

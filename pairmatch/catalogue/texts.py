@@ -168,7 +168,7 @@ _GROUP_SQL = (
 # The fixture's measures are whole millimetres, already in base form.
 IDENTITY_SQL = f"""compared AS (SELECT id, {_GROUP_SQL} AS grp,
   trim(regexp_replace(value, '[^{fixed.WORD_CHARACTERS}]+', ' ', 'g')) AS value FROM ordered),
-identity AS (SELECT id, grp, list_sort(list_distinct(list(left(value, 96))))[1:3] AS vals
+identity AS (SELECT id, grp, list_sort(list_distinct(list(value))) AS vals
   FROM compared WHERE grp IS NOT NULL AND value <> '' GROUP BY id, grp)"""
 
 
@@ -270,9 +270,9 @@ def pair_evidence(spark, sf_dir):
 
 
 _CARD_SQL = f"""{lines_sql(' [VALUE] ', fixed.ATTRIBUTE_BUDGET, 'marked')},
-cards AS (SELECT p.id, p.category, left(lower(p.name), 384) AS title, p.state,
+cards AS (SELECT p.id, p.category, lower(p.name) AS title, p.state,
   coalesce(m.lines, []) AS lines, array_to_string(list_concat(
-    [left(lower(p.name), 384), p.state], coalesce(m.lines, [])), chr(10)) AS sort_key
+    [lower(p.name), p.state], coalesce(m.lines, [])), chr(10)) AS sort_key
   FROM present p LEFT JOIN marked m ON m.id = p.id),
 sided AS (SELECT e.*, l.category, r.sort_key < l.sort_key AS swap, l, r FROM evidence e
   JOIN cards l ON l.id = e.id1 JOIN cards r ON r.id = e.id2),

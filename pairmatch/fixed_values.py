@@ -70,14 +70,9 @@ BASE_UNITS = {
 WORD_CHARACTERS = "0-9a-zа-я"
 IDENTIFIER_CHARACTERS = "0-9a-zа-я._/-"
 
-# Length limits, in characters.
-ATTRIBUTE_VALUE_CHARACTERS = 512
+# Budgets of the model texts, in characters, and the least length of a title identifier.
 ATTRIBUTE_BUDGET = 4096
 PROMPT_ATTRIBUTE_BUDGET = 1600
-IDENTITY_VALUE_CHARACTERS = 96
-IDENTITY_VALUES = 3
-TITLE_CHARACTERS = 384
-TITLE_IDENTIFIERS = 8
 IDENTIFIER_MINIMUM = 3
 
 # Labels of the item and pair texts.

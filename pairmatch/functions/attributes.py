@@ -45,8 +45,7 @@ def read_attributes(raw: str) -> list[dict[str, str]] | None:
         json.dumps(pairs, ensure_ascii=False).encode("utf-8")
     except (ValueError, RecursionError):
         return None
-    limit = fixed.ATTRIBUTE_VALUE_CHARACTERS
-    return [{"key": k, "value": v[:limit]} for k, v in pairs if k and v]
+    return [{"key": k, "value": v} for k, v in pairs if k and v]
 
 
 @F.arrow_udf(_ENTRIES)
@@ -65,10 +64,7 @@ def _last_values(entries: Column, keys: Column) -> Column:
         F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(entries),
         lambda e: F.struct(
             fold_plain(e.key).alias("key"),
-            F.left(
-                fold_plain(F.coalesce(e.value, F.lit(""))),
-                F.lit(fixed.ATTRIBUTE_VALUE_CHARACTERS),
-            ).alias("value"),
+            fold_plain(F.coalesce(e.value, F.lit(""))).alias("value"),
         ),
     )
     return F.filter(folded, lambda e: (e.key != "") & (e.value != ""))
@@ -102,8 +98,9 @@ def with_attributes(
     state: str = "state",
     attributes: str = "attributes_sorted",
     fragments: Sequence[str] = fixed.PRIORITY_FRAGMENTS,
+    value_characters: int | None = None,
 ) -> DataFrame:
-    """Parse a JSON attribute string.
+    """Parse a JSON attribute string. Values are whole unless ``value_characters`` cuts them.
 
     ``state`` is missing, malformed, empty or present; ``attributes`` is an array of
     (key, value) by key priority, key, value. Flat payloads are read by the JVM, nested
@@ -137,7 +134,7 @@ def with_attributes(
             lambda e: F.struct(
                 _priority(e.key, fragments).alias("priority"),
                 e.key.alias("key"),
-                e.value.alias("value"),
+                (e.value if value_characters is None else F.left(e.value, F.lit(value_characters))).alias("value"),
             ),
         )
     )

@@ -29,12 +29,11 @@ def _group_index(key: Column, groups: Groups) -> Column:
 
 
 def _identity(grouped: Column, groups: Groups) -> Column:
-    """Per group: the first distinct comparison values in order."""
+    """Per group: all distinct whole comparison values in order."""
 
     def values_of(position: int) -> Column:
         mine = F.filter(grouped, lambda e: (e.group == position) & (e.value != ""))
-        cut = F.transform(mine, lambda e: F.left(e.value, F.lit(fixed.IDENTITY_VALUE_CHARACTERS)))
-        return F.slice(F.array_sort(F.array_distinct(cut)), 1, fixed.IDENTITY_VALUES)
+        return F.array_sort(F.array_distinct(F.transform(mine, lambda e: e.value)))
 
     return F.array(*[values_of(position) for position in range(len(groups))])
 
@@ -43,13 +42,23 @@ def item_cards(
     items: DataFrame,
     groups: Groups = fixed.IDENTITY_GROUPS,
     budget: int = fixed.ATTRIBUTE_BUDGET,
+    title_characters: int | None = None,
+    value_characters: int | None = None,
 ) -> DataFrame:
     """Everything a pair needs from one item, derived once per item before any join.
 
-    Adds ``title, state, lines, sort_key, identity`` and ``title_ids``.
+    Adds ``title, state, lines, sort_key, identity`` and ``title_ids``. Titles, attribute
+    values and identity values are whole unless a limit is given; ``budget`` bounds the
+    attribute lines of the model text alone.
     """
+    name = F.col("_name")
+    title = F.when(name == "", F.lit(fixed.MISSING_MARK)).otherwise(name)
+    if title_characters is not None:
+        title = F.left(title, F.lit(title_characters))
     named = with_normalized(items, {"_name": F.col("name")})
-    parsed = with_attributes(named, F.col("attributes"), "_state", "_attributes")
+    parsed = with_attributes(
+        named, F.col("attributes"), "_state", "_attributes", value_characters=value_characters
+    )
     marked = parsed.withColumn(
         "_marked",
         F.filter(
@@ -74,10 +83,7 @@ def item_cards(
     )
     carded = compared.select(
         *items.columns,
-        F.left(
-            F.when(F.col("_name") == "", F.lit(fixed.MISSING_MARK)).otherwise(F.col("_name")),
-            F.lit(fixed.TITLE_CHARACTERS),
-        ).alias("title"),
+        title.alias("title"),
         F.col("_state").alias("state"),
         budgeted_lines(F.col("_attributes"), " [VALUE] ", budget).alias("lines"),
         _identity(F.col("_grouped"), groups).alias("identity"),
@@ -97,15 +103,19 @@ def _conflict(left: Column, right: Column) -> Column:
     return F.concat(F.least(a, b), F.lit("<>"), F.greatest(a, b))
 
 
-def _compare(name: Column, left: Column, right: Column, shown: int) -> Column:
-    """``struct(match, conflict, missing)`` of two value sets, null where not the case."""
+def _compare(name: Column, left: Column, right: Column, shown: int | None) -> Column:
+    """``struct(match, conflict, missing)`` of two value sets, null where not the case.
+
+    The verdict reads the whole sets; ``shown`` bounds the shared values listed.
+    """
     shared = F.array_sort(F.array_intersect(left, right))
     both = (F.size(left) > 0) & (F.size(right) > 0)
     either = (F.size(left) > 0) | (F.size(right) > 0)
     label = F.concat(name, F.lit("="))
+    listed = shared if shown is None else F.slice(shared, 1, shown)
     return F.struct(
         F.when(
-            F.size(shared) > 0, F.concat(label, F.array_join(F.slice(shared, 1, shown), "|"))
+            F.size(shared) > 0, F.concat(label, F.array_join(listed, "|"))
         ).alias("match"),
         F.when(both & (F.size(shared) == 0), F.concat(label, _conflict(left, right))).alias(
             "conflict"
@@ -119,17 +129,22 @@ def with_evidence(
     left: str = "left_card",
     right: str = "right_card",
     groups: Groups = fixed.IDENTITY_GROUPS,
+    shown_values: int | None = None,
+    shown_identifiers: int | None = None,
 ) -> DataFrame:
-    """Add the text arrays ``matches``, ``conflicts`` and ``missing`` from two item cards."""
+    """Add the text arrays ``matches``, ``conflicts`` and ``missing`` from two item cards.
+
+    All shared values are listed unless a number to show is given.
+    """
     a, b = F.col(left), F.col(right)
     names = F.array(*[F.lit(name) for name in groups])
     sides = F.zip_with(
         a["identity"], b["identity"], lambda x, y: F.struct(x.alias("l"), y.alias("r"))
     )
     per_group = F.zip_with(
-        names, sides, lambda n, s: _compare(n, s.l, s.r, fixed.IDENTITY_VALUES)
+        names, sides, lambda n, s: _compare(n, s.l, s.r, shown_values)
     )
-    by_title = _compare(F.lit("title_id"), a["title_ids"], b["title_ids"], fixed.TITLE_IDENTIFIERS)
+    by_title = _compare(F.lit("title_id"), a["title_ids"], b["title_ids"], shown_identifiers)
     compared = df.withColumn("_compared", F.concat(per_group, F.array(by_title)))
 
     def texts(source: Column, field: str) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +67,24 @@ def joined_pairs(joined: DataFrame) -> DataFrame:
     )
 
 
+def rank_inputs(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """Rows that a ranking by ``keys`` refuses: null keys, null and NaN scores."""
+    lost = [F.col(k).isNull() for k in keys]
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        _how_many(reduce(or_, lost), "null_key_rows"),
+        *[_how_many(F.col(s).isNull(), f"null_{s}_rows") for s in scores],
+        *[_how_many(F.isnan(F.col(s)), f"nan_{s}_rows") for s in scores],
+    )
+
+
+def uncovered_categories(df: DataFrame, parameters: DataFrame) -> DataFrame:
+    """``category, rows`` of the rows whose category has no parameters."""
+    known = parameters.select(F.col("category").alias("_known")).distinct()
+    absent = df.join(known, F.col("category").eqNullSafe(F.col("_known")), "left_anti")
+    return absent.groupBy("category").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def duplicate_pairs(df: DataFrame, keys: Sequence[str] = PAIR_KEYS) -> DataFrame:
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(

@@ -12,9 +12,6 @@ from pairmatch.functions.numeric import logistic
 from pairmatch.operators.metrics import probability_report
 from pairmatch.session import settle
 
-# Two parameters per group pass through the driver each round.
-MAXIMUM_FITS = 100_000
-
 VARIANTS = ("raw", "global_platt", "category_platt")
 
 
@@ -34,9 +31,13 @@ def platt_fit(
     minimum_class_rows: int = 0,
     regularisation: float = 1.0,
     rounds: int = 60,
+    maximum_groups: int = 1_000_000,
 ) -> DataFrame:
     """Logistic slope and intercept per group by Newton steps, all groups together.
 
+    Raises if a group has not converged after ``rounds``, or if there are more than
+    ``maximum_groups``: two parameters of each pass through the driver per round.
+
     Minimises ``slope^2 / 2 + regularisation * sum(log loss)``. Equal (group, logit,
     label) rows are merged once; a round is one aggregation over those cells, and only
     the two parameters per group travel to the driver and back. A step that raises the
@@ -52,9 +53,9 @@ def platt_fit(
     sizes = cells.groupBy(*keys).agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))
     needed = max(1, minimum_class_rows)
     kept = sizes.where((F.col("p") >= needed) & (F.col("n") >= needed))
-    groups = [tuple(r[k] for k in keys) for r in kept.limit(MAXIMUM_FITS + 1).collect()]
-    if len(groups) > MAXIMUM_FITS:
-        raise ValueError(f"calibration is meant for up to {MAXIMUM_FITS} groups")
+    groups = [tuple(r[k] for k in keys) for r in kept.limit(maximum_groups + 1).collect()]
+    if len(groups) > maximum_groups:
+        raise ValueError(f"more than maximum_groups={maximum_groups} groups to calibrate")
     spark = df.sparkSession
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     head = [f"{k} {types[k]}" for k in keys]
@@ -109,6 +110,9 @@ def platt_fit(
                 one["done"] = True
                 continue
             one["at"] = (w - (hbb * gw - hwb * gb) / det, b - (hww * gb - hwb * gw) / det)
+    open_groups = [g for g, s in state.items() if not s["done"]]
+    if open_groups:
+        raise RuntimeError(f"{len(open_groups)} calibrations did not converge in {rounds} rounds")
     fitted = [(*g, *(s["best"] or {"at": s["at"]})["at"]) for g, s in state.items()]
     if any(not math.isfinite(v) for row in fitted for v in row[len(keys):]):
         raise RuntimeError("calibration produced a non-finite parameter")

@@ -76,13 +76,22 @@ def join_scores(
 
 
 def with_category_parameters(
-    df: DataFrame, parameters: DataFrame, fields: Sequence[str], how: str = "left"
+    df: DataFrame, parameters: DataFrame, fields: Sequence[str], how: str = "required"
 ) -> DataFrame:
     """Per-category parameters (weights, quotas, thresholds) on every row.
 
-    Left without a hint: the planner broadcasts the table while its measured size allows
-    it and shuffles otherwise.
+    A row whose category has no parameters fails the job; pass ``how="left"`` where nulls
+    are wanted. Left without a hint: the planner broadcasts the table while its measured
+    size allows it and shuffles otherwise.
     """
-    return df.join(parameters.select("category", *fields), "category", how).select(
-        *df.columns, *fields
+    if how != "required":
+        return df.join(parameters.select("category", *fields), "category", how).select(
+            *df.columns, *fields
+        )
+    known = parameters.select("category", *fields, F.lit(True).alias("_known"))
+    category = F.coalesce(F.col("category").cast("string"), F.lit("null"))
+    refused = F.raise_error(F.concat(F.lit("no parameters for category "), category))
+    return df.join(known, "category", "left").select(
+        *df.columns,
+        *[F.when(F.col("_known").isNull(), refused).otherwise(F.col(f)).alias(f) for f in fields],
     )

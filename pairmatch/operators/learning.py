@@ -62,12 +62,19 @@ def train_matcher(
     features: Sequence[str] = FEATURES,
     confidence_gamma: float = 0.0,
     regularisation: float = 1e-4,
+    rounds: int = 200,
 ) -> LogisticRegressionModel:
-    """Weighted logistic matcher; only its coefficients reach the driver."""
+    """Weighted logistic matcher; only its coefficients reach the driver.
+
+    Raises if the fit is still moving after ``rounds``.
+    """
     learner = LogisticRegression(
-        weightCol="row_weight", regParam=regularisation, maxIter=50, standardization=True
+        weightCol="row_weight", regParam=regularisation, maxIter=rounds, standardization=True
     )
-    return learner.fit(training_rows(df, features, confidence_gamma))
+    model = learner.fit(training_rows(df, features, confidence_gamma))
+    if model.summary.totalIterations >= rounds:
+        raise RuntimeError(f"the matcher did not converge in {rounds} rounds")
+    return model
 
 
 def apply_matcher(

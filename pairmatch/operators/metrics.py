@@ -13,7 +13,7 @@ from pairmatch.functions.numeric import (
     soft_cross_entropy,
     unanimous,
 )
-from pairmatch.operators.ranking import running_sums
+from pairmatch.operators.ranking import running_sums, with_required
 
 
 def cohort_precision(
@@ -30,7 +30,7 @@ def cohort_precision(
     conditional counts per distinct score, so rows are neither copied per cohort nor
     ranked more than once, and tied scores collapse to one threshold. Returns
     ``keys, cohort, rows, positives, average_precision`` for non-empty cohorts; a cohort
-    without positives scores 0.
+    without positives scores 0. A null key, and a null or NaN score, fail the job.
     """
     names = list(cohorts)
     marked = df.select(
@@ -39,6 +39,7 @@ def cohort_precision(
         (target == F.lit(1)).alias("_hit"),
         *[cohorts[name].alias(f"_m{i}") for i, name in enumerate(names)],
     )
+    marked = with_required(marked, keys, ["_score"])
     counts: list[Column] = []
     for i in range(len(names)):
         counts.append(F.expr(f"count_if(_m{i})").alias(f"_r{i}"))
@@ -132,7 +133,11 @@ def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str) -> DataF
     Works on distinct (left, right) cells. The mean average-rank is (n + 1) / 2, so the
     correlation is a ratio of three weighted sums.
     """
-    cells = df.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_cell"))
+    cells = (
+        with_required(df.select(*keys, left, right), keys, [left, right])
+        .groupBy(*keys, left, right)
+        .agg(F.count(F.lit(1)).alias("_cell"))
+    )
 
     def ranks(value: str, out: str) -> DataFrame:
         per_value = cells.groupBy(*keys, value).agg(F.sum("_cell").alias("_n"))

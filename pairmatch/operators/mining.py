@@ -34,15 +34,52 @@ def category_quotas(
     return marked.select("category", "_weak", quota.cast("bigint").alias("quota")).drop("_weak")
 
 
+def quota_shortfall(df: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``category, quota, available, missing`` of every category named on either side.
+
+    A category of the rows without a quota has a null quota.
+    """
+    rows = df.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
+    both = quotas.select("category", "quota").join(rows, "category", "full_outer")
+    available = F.coalesce("available", F.lit(0))
+    return both.select(
+        "category",
+        "quota",
+        available.alias("available"),
+        F.greatest(F.coalesce("quota", F.lit(0)) - available, F.lit(0)).alias("missing"),
+    )
+
+
+def _complete(df: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The quotas; the job fails if one can't be filled or a category of the rows has none."""
+    short = F.concat(
+        F.lit("category "), F.coalesce("category", F.lit("null")), F.lit(" has "),
+        F.col("available").cast("string"), F.lit(" rows for a quota of "),
+        F.coalesce(F.col("quota").cast("string"), F.lit("none")),
+    )
+    bad = F.col("quota").isNull() | (F.col("missing") > 0)
+    return quota_shortfall(df, quotas).select(
+        "category", F.when(bad, F.raise_error(short)).otherwise(F.col("quota")).alias("quota")
+    )
+
+
 def take_quota(
     df: DataFrame,
     quotas: DataFrame,
     order: Sequence[Column],
     out: str | None = None,
+    short: str = "raise",
 ) -> DataFrame:
-    """The first ``quota`` rows of every category in the given order."""
+    """The first ``quota`` rows of every category in the given order.
+
+    A quota that the rows can't fill, and rows of a category without a quota, fail the job;
+    ``short="allow"`` takes what there is.
+    """
+    if short not in ("raise", "allow"):
+        raise ValueError(f"unknown way with short quotas: {short}")
+    asked = _complete(df, quotas) if short == "raise" else quotas.select("category", "quota")
     numbered = ordinal(df, ["category"], order, "_position")
-    kept = numbered.join(quotas.select("category", "quota"), "category").where(
+    kept = numbered.join(asked, "category").where(
         F.col("_position") <= F.col("quota")
     )
     return kept.select(*df.columns, *([F.col("_position").alias(out)] if out else []))
@@ -51,18 +88,10 @@ def take_quota(
 def first_per_group(
     df: DataFrame, keys: Sequence[str], rows: int, order: Sequence[Column]
 ) -> DataFrame:
-    """A fixed number of rows per group.
-
-    The literal bound lets every task keep only its own first rows before the shuffle,
-    as long as it stays under the planner's group-limit threshold.
-    """
+    """A fixed number of rows per group, numbered in value ranges whatever the number."""
     if rows < 1:
         raise ValueError("rows must be positive")
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if rows > threshold:
-        return ordinal(df, keys, order, "_at").where(F.col("_at") <= rows).select(*df.columns)
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_at", at).where(F.col("_at") <= rows).select(*df.columns)
+    return ordinal(df, keys, order, "_at").where(F.col("_at") <= rows).select(*df.columns)
 
 
 def balanced_sample(
@@ -74,9 +103,13 @@ def balanced_sample(
 
 
 def candidate_pool(
-    joined: DataFrame, quotas: DataFrame, seed: int = 2026, method: str = "md5"
+    joined: DataFrame,
+    quotas: DataFrame,
+    seed: int = 2026,
+    method: str = "md5",
+    short: str = "raise",
 ) -> DataFrame:
-    """Round-robin over label strata inside each category, up to its quota.
+    """Round-robin over label strata inside each category, up to its quota (see take_quota).
 
     Confident negatives come most similar first, confident positives least similar first
     and ambiguous pairs by closeness to one half.
@@ -105,11 +138,13 @@ def candidate_pool(
         F.col("id1"),
         F.col("id2"),
     ]
+    asked = _complete(joined, quotas) if short == "raise" else quotas.select("category", "quota")
     # A row behind its quota inside one stratum cannot make the category's quota.
-    eligible = in_stratum.join(quotas.select("category", "quota"), "category").where(
+    eligible = in_stratum.join(asked, "category").where(
         F.col("stratum_row") <= F.col("quota")
     )
-    return take_quota(settle(eligible.drop("quota")), quotas, order).drop("stratum_row")
+    pool = take_quota(settle(eligible.drop("quota")), quotas, order, short="allow")
+    return pool.drop("stratum_row")
 
 
 def with_disagreement(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -134,7 +169,13 @@ def with_disagreement(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def disagreement_subset(
-    df: DataFrame, first: str, second: str, quotas: DataFrame, seed: int, method: str = "md5"
+    df: DataFrame,
+    first: str,
+    second: str,
+    quotas: DataFrame,
+    seed: int,
+    method: str = "md5",
+    short: str = "raise",
 ) -> DataFrame:
     """The pairs per category where two models and the label disagree most."""
     order = [
@@ -144,7 +185,7 @@ def disagreement_subset(
         F.col("id2"),
     ]
     # The quota cut reads the ranked table several times: publish it once.
-    return take_quota(settle(with_disagreement(df, first, second)), quotas, order)
+    return take_quota(settle(with_disagreement(df, first, second)), quotas, order, short=short)
 
 
 def corrected_replay(
@@ -154,6 +195,7 @@ def corrected_replay(
     seed: int,
     teacher_weight: float = 0.8,
     method: str = "md5",
+    short: str = "raise",
 ) -> DataFrame:
     """Pairs a confident teacher corrects most, with the corrected target."""
     teacher = F.col(probability)
@@ -173,7 +215,7 @@ def corrected_replay(
         F.col("id1"),
         F.col("id2"),
     ]
-    selected = take_quota(prepared, quotas, order)
+    selected = take_quota(prepared, quotas, order, short=short)
     return selected.withColumn(
         "target",
         corrected_target(

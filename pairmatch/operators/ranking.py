@@ -21,6 +21,25 @@ _SLOT = "_slot"
 _ORDER = "_order"
 
 
+def with_required(df: DataFrame, names: Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
+    """Fail the job on a row with a null among ``names``, or a null or NaN among ``numbers``.
+
+    The check is part of the columns themselves, so it costs no pass of its own, and rows
+    that a join on these columns would lose can't go unnoticed.
+    """
+    told = {n: F.col(f"`{n}`").isNull() for n in names}
+    for n in numbers:
+        value = F.col(f"`{n}`")
+        kind = df.schema[n].dataType.typeName()
+        told[n] = value.isNull() | F.isnan(value) if kind in ("float", "double") else value.isNull()
+    return df.withColumns(
+        {
+            n: F.when(bad, F.raise_error(F.lit(f"{n} is missing in a ranked row"))).otherwise(F.col(f"`{n}`"))
+            for n, bad in told.items()
+        }
+    )
+
+
 def _pivots(df: DataFrame, keys: Sequence[str], slots: int, sums: Sequence[str]) -> DataFrame:
     """Up to ``slots`` order values per group, picked by hash and sorted."""
     cell = F.pmod(F.xxhash64(_ORDER), F.lit(slots)).alias("_cell")
@@ -112,7 +131,7 @@ def ordinal(
     ``slot`` when the order starts with a uniform hash: its leading bits already cut a
     group into even ranges, and no pivots are needed.
     """
-    prepared = df.withColumn(_ORDER, F.struct(*order))
+    prepared = with_required(df.withColumn(_ORDER, F.struct(*order)), keys)
     if slot is None:
         slotted = _with_slots(prepared, keys, slots)
     else:
@@ -136,8 +155,9 @@ def rank_table(
 ) -> DataFrame:
     """``keys, value`` with the average-method rank, one row per distinct value.
 
-    Heavy ties collapse before anything is ranked.
+    Heavy ties collapse before anything is ranked. A null key, and a null or NaN value, fail.
     """
+    df = with_required(df, keys, [value])
     cells = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     return running_sums(cells, keys, F.col(value), ["_n"]).select(
         *keys,

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmatch.operators import audits
 from pairmatch.operators.blending import blend_scores, rank_residual, with_length_route
 from pairmatch.operators.scoring import Scorer, evidence_table, score_pairs
 from pairmatch.session import settle
@@ -89,13 +90,43 @@ def _scores(texts: DataFrame, model: Model, active: Column) -> DataFrame:
     return table
 
 
+def request_contract(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row of counts: what a prediction request must not hold, and its size."""
+    ids = audits.item_table(items).select("null_ids", "duplicate_ids")
+    known = items.where("id is not null").groupBy("id").agg(F.min("category").alias("category"))
+    ends = pairs.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"))
+    joined = ends.join(
+        known.select(F.col("id").alias("id1"), F.lit(1).alias("l"), F.col("category").alias("cl")), "id1", "left"
+    ).join(known.select(F.col("id").alias("id2"), F.lit(1).alias("r"), F.col("category").alias("cr")), "id2", "left")
+    unknown = F.col("l").isNull() | F.col("r").isNull()
+    rows = joined.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("requested_rows"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"),
+        F.coalesce(F.sum(F.when(unknown, F.col("n"))), F.lit(0)).alias("unknown_item_rows"),
+        F.coalesce(
+            F.sum(F.when(~unknown & ~F.col("cl").eqNullSafe(F.col("cr")), F.col("n"))), F.lit(0)
+        ).alias("cross_category_rows"),
+    )
+    return rows.select(
+        "*", *[ids.select(n).scalar().alias(n) for n in ("null_ids", "duplicate_ids")]
+    )
+
+
 def predict(pairs: DataFrame, items: DataFrame, ensemble: Ensemble) -> DataFrame:
-    """``id1, id2, predict`` for every pair.
+    """``id1, id2, predict``: one row for every requested row, repeated ones included.
 
-    Item texts are derived once per item and settled with the joined pairs, then each
-    model scores only the rows its weight reaches; an inactive row counts as 0.
+    An empty request, null or repeated item ids, unknown items and pairs across categories
+    are refused. Distinct pairs are scored once and joined back to the request. Item texts
+    are derived once per item and settled with the joined pairs, then each model scores only
+    the rows its weight reaches; an inactive row counts as 0.
     """
-    texts = settle(evidence_table(pairs.select("id1", "id2"), items))
+    found = request_contract(pairs, items)
+    found = settle(found)
+    audits.enforce(found, "null_ids", "duplicate_ids", "unknown_item_rows", "cross_category_rows")
+    if not found.first()["requested_rows"]:
+        raise ValueError("the request has no rows")
+    request = pairs.select("id1", "id2")
+    texts = settle(evidence_table(request.distinct(), items))
     table = texts.select("id1", "id2", "category")
     for at, model in enumerate(ensemble.models):
         table = table.join(_scores(texts, model, _active(ensemble, at)), ["id1", "id2"], "left")
@@ -131,4 +162,4 @@ def predict(pairs: DataFrame, items: DataFrame, ensemble: Ensemble) -> DataFrame
             _weight_rows(table, ensemble.post_blend_weights or {}),
             "category_rank",
         )
-    return blended.select("id1", "id2", "predict")
+    return request.join(blended.select("id1", "id2", "predict"), ["id1", "id2"])

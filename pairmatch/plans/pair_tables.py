@@ -16,7 +16,8 @@ from pairmatch.sources.tables import write_parquet
 class PairTableConfig:
     validation_modulus: int = 5
     validation_bucket: int = 0
-    train_sample_modulus: int = 4
+    #: 1 keeps every training pair; a larger number keeps one of so many.
+    train_sample_modulus: int = 1
     sample_seed: int = 2026
     row_group_bytes: int | None = None
     hash_method: str = "md5"

@@ -44,6 +44,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_width(spark: SparkSession, limit: int = 4096) -> int:
+def shuffle_width(spark: SparkSession) -> int:
     """How many tasks one shuffle of this session fans out to."""
-    return max(1, min(limit, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
