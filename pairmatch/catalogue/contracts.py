@@ -8,6 +8,7 @@ from pairmatch import fixed_values as fixed
 from pairmatch.catalogue.registry import query
 from pairmatch.catalogue.sampling import quotas
 from pairmatch.functions.evidence import item_cards
+from pairmatch.functions.text import with_comparison_values, with_normalized
 from pairmatch.operators import audits, mining, summaries
 from pairmatch.plans.ensemble import request_contract
 from pairmatch.sources import views
@@ -54,6 +55,38 @@ def identity_groups_full(spark, sf_dir):
     )
 
 
+# Measures in several spellings, and what each is in its base unit.
+_MEASURES = {
+    "p_size || 'мл'": "p_size || ' ml'",
+    "p_size || ',5 л'": "(p_size * 1000 + 500) || ' ml'",
+    "p_size || ' миллилитров'": "p_size || ' ml'",
+    "p_size || '.50 см'": "(p_size * 10 + 5) || ' mm'",
+    "'0,' || (p_size % 9 + 1) || ' метра'": "(p_size % 9 + 1) * 100 || ' mm'",
+    "p_size || 'шт'": "p_size || ' pcs'",
+    "p_size || ' штук'": "p_size || ' pcs'",
+    "'00' || p_size || ' кг'": "p_size * 1000 || ' g'",
+    "'x' || p_size || 'мл'": "'x' || p_size || 'мл'",
+    "'A-' || p_size": "'a ' || p_size",
+}
+
+
+@query(
+    "SELECT p_partkey AS id, unnest(range("
+    + f"{len(_MEASURES)})) AS spelling, unnest(["
+    + ", ".join(_MEASURES.values())
+    + "]) AS compared FROM part"
+)
+def unit_values(spark, sf_dir):
+    """Litres, grams, lengths and pieces in base units, and what is no measure left alone."""
+    rows = views.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", f"array({', '.join(_MEASURES)}) AS spelt"
+    )
+    folded = rows.select("id", F.posexplode("spelt").alias("spelling", "value"))
+    normal = with_normalized(folded, {"value": F.col("value")})
+    compared = with_comparison_values(normal, "values", F.array("value"))
+    return compared.select("id", "spelling", F.element_at("values", 1).alias("compared"))
+
+
 _GAPS = """CASE WHEN id1 % 13 = 0 THEN NULL ELSE category END AS category,
 CASE WHEN id1 % 11 = 0 THEN NULL WHEN id1 % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE score_a END AS score_a"""
 

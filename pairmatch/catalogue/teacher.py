@@ -310,7 +310,37 @@ def _labelled_teacher(spark, sf_dir):
     )
 
 
-@query()
+def _newton_sql(steps: int = 12) -> list[str]:
+    """CTEs ``s0 .. s<steps>``: full Newton steps for every category over (logit, label) cells."""
+    ctes = ["s0 AS (SELECT category, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b FROM fitted)"]
+    for k in range(1, steps + 1):
+        ctes.append(
+            f"""g{k} AS (SELECT category, any_value(w) AS w, any_value(b) AS b,
+  any_value(w) + sum(r * x) AS gw, sum(r) AS gb, 1 + sum(c * x * x) AS hww, sum(c * x) AS hwb, sum(c) AS hbb
+  FROM (SELECT category, w, b, x, (p + n) * q - p AS r, (p + n) * q * (1 - q) AS c
+    FROM (SELECT *, 1 / (1 + exp(-(w * x + b))) AS q FROM s{k - 1} JOIN cells USING (category)))
+  GROUP BY category),
+s{k} AS (SELECT category, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb) AS w,
+  b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) AS b FROM g{k})"""
+        )
+    return ctes
+
+
+@query(
+    views.with_views(
+        ["teacher"],
+        COMBINED_SQL,
+        """labelled AS (SELECT category, teacher_logit AS x,
+  CASE WHEN target >= CAST(5 AS DOUBLE) / 9 THEN 1 ELSE 0 END AS y FROM combined),
+grouped AS (SELECT category, x, y, 10 AS least FROM labelled UNION ALL SELECT 'all', x, y, 1 FROM labelled),
+cells AS (SELECT category, x, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS p,
+  CAST(count(*) FILTER (y = 0) AS DOUBLE) AS n FROM grouped GROUP BY category, x),
+fitted AS (SELECT category FROM grouped GROUP BY category
+  HAVING count(*) FILTER (y = 1) >= any_value(least) AND count(*) FILTER (y = 0) >= any_value(least))""",
+        *_newton_sql(),
+        query=f"SELECT category, {real('w', 'coefficient')}, {real('b', 'intercept')} FROM s12",
+    )
+)
 def platt_fit(spark, sf_dir):
     """Slope and intercept per category and overall."""
     table = settle(_labelled_teacher(spark, sf_dir))

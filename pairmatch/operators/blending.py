@@ -290,16 +290,3 @@ def cross_fitted_predictions(
     keys = [c for c in ("fold", "category") if c in weights.columns]
     joined = df.join(weights.select(*keys, "weights"), keys)
     return joined.select(*df.columns, weighted_sum(F.col("weights"), features).alias(out))
-
-
-def forecast(
-    score: Column, weights: Sequence[float], corrections: Mapping[str, float], margin: float
-) -> list[Column]:
-    """Point, lower and upper forecast: the score less the weighted correction."""
-    shift = sum(w * c for w, c in zip(weights, corrections.values(), strict=True))
-    point = score - F.lit(float(shift))
-    return [
-        point.alias("forecast"),
-        (point - F.lit(margin)).alias("forecast_low"),
-        (point + F.lit(margin)).alias("forecast_high"),
-    ]
