@@ -33,9 +33,14 @@ GATES = R.Gates(minimum_uplift=0.002, positive_folds=4, nonnegative_categories=5
 THREE_STEP, TWO_STEP, SEARCH_STEP = 0.1, 0.05, 0.2
 
 
-def oof(spark, sf_dir):
-    """The scored view as a published out-of-fold table: every plan below rereads it."""
-    return settle(views.scored(spark, sf_dir))
+def oof(spark, sf_dir, *columns):
+    """The scored view, or the columns named, as a published out-of-fold table: every plan
+    below rereads it."""
+    scored = views.scored(spark, sf_dir)
+    return settle(scored.select(*columns) if columns else scored)
+
+
+GRID_FIELDS = ("category", "fold", "target", *MODELS)
 
 
 def _weight_table(spark):
@@ -205,7 +210,7 @@ _MACRO_SQL = """cells AS (SELECT cohort, candidate, avg(average_precision) AS s,
 
 def _grid(spark, sf_dir, models=MODELS, step=THREE_STEP):
     candidates = B.simplex(len(models), step)
-    return B.weight_grid(oof(spark, sf_dir), models, candidates, FOLDS), candidates
+    return B.weight_grid(oof(spark, sf_dir, *GRID_FIELDS), models, candidates, FOLDS), candidates
 
 
 @query(
@@ -263,7 +268,7 @@ def final_weights(spark, sf_dir):
 
 
 def _crossed(spark, sf_dir, models, step, scope):
-    scored = oof(spark, sf_dir)
+    scored = oof(spark, sf_dir, "id1", "id2", *GRID_FIELDS)
     candidates = B.simplex(len(models), step)
     grid = B.weight_grid(scored, models, candidates, FOLDS)
     weights = settle(B.cross_fitted_weights(grid, candidates, scope))
@@ -471,7 +476,7 @@ _DEPLOY_STEP = 0.25
     )
 )
 def forecast_corrections(spark, sf_dir):
-    long = settle(search.long_features(oof(spark, sf_dir), MODELS))
+    long = settle(search.long_features(oof(spark, sf_dir, "id1", "id2", *GRID_FIELDS), MODELS))
     _, final = search.search_weights(long, MODELS, FOLDS, _DEPLOY_STEP, (3,))
     gaps = {"score_a": 0.25, "score_b": 0.26, "score_c": 0.28}
     return search.weighted_corrections(final, MODELS, gaps)
