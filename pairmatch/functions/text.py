@@ -111,32 +111,66 @@ def _compare_texts(values: pa.Array) -> pa.Array:
     return pa.array(compared, pa.list_(pa.string()))
 
 
-def _may_measure(value: Column) -> Column:
-    """A digit, a unit word or an unusual character."""
-    return value.rlike("[0-9]") | ~is_plain(value) | value.rlike(f"(?U){_UNIT_WORD}")
-
-
 _compare_texts = _compare_texts.asNondeterministic()
 
+# Attached units by how many places their factor moves the decimal point.
+_PLACES = {
+    unit: (fixed.BASE_UNITS[name][0], len(str(fixed.BASE_UNITS[name][1])) - 1)
+    for unit, name in fixed.ATTACHED_UNITS.items()
+}
+
+
+def _moved(number: Column, places: int) -> Column:
+    """A decimal number as text, its point moved to the right, without idle zeros."""
+    fraction = F.concat(F.regexp_extract(number, r"\.(\d+)$", 1), F.lit("0" * places))
+    digits = F.concat(F.regexp_extract(number, r"^\d+", 0), F.substring(fraction, 1, places))
+    head = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    tail = F.regexp_replace(F.substring(fraction, places + 1, 1 << 30), r"0+$", "")
+    return F.when(tail == "", head).otherwise(F.concat(head, F.lit("."), tail))
+
+
+def _based(number: Column, unit: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for base, places in sorted(set(_PLACES.values())):
+        units = [u for u, target in _PLACES.items() if target == (base, places)]
+        out = F.when(unit.isin(units), F.concat(_moved(number, places), F.lit(f" {base}"))).otherwise(out)
+    return out
+
+
+def compare_plain(value: Column) -> Column:
+    """``compare_text`` for normalised strings of PLAIN characters, as a built-in expression."""
+    text = F.regexp_replace(value, r"(?<=\d),(?=\d)", ".")
+    for unit, words in fixed.UNIT_WORDS.items():
+        text = F.regexp_replace(text, rf"(?U)\b(?:{_alternatives(words)})\b", unit)
+    measure = f"(?U){_MEASURE}"
+    based = F.zip_with(
+        F.regexp_extract_all(text, F.lit(measure), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(measure), F.lit(2)),
+        _based,
+    )
+    # Text between the measures and the measures in turn; the last piece has none behind it.
+    pieces = F.zip_with(
+        F.split(text, measure, -1), based, lambda piece, b: F.concat(piece, F.coalesce(b, F.lit("")))
+    )
+    measured = F.when(text.rlike("[0-9]"), F.array_join(pieces, "")).otherwise(text)
+    return F.trim(F.regexp_replace(measured, rf"[^{fixed.WORD_CHARACTERS}]+", " "))
+
 
 def with_comparison_values(df: DataFrame, out: str, values: Column) -> DataFrame:
     """Add the comparison forms of an array of normalised values.
 
-    Values without digits and unit words only need punctuation removed, which stays in
-    the JVM; arrays holding a measurement go through the Arrow helper.
+    Plain values stay in the JVM, measurements included; arrays that hold an unusual
+    character go through the Arrow helper.
     """
     staged = df.withColumn("_values", values).withColumn(
-        "_measured", F.exists("_values", _may_measure)
-    )
-    compared = staged.withColumn(
-        "_compared", _compare_texts(F.when(F.col("_measured"), F.col("_values")))
-    )
-    bare = F.transform(
-        "_values", lambda v: F.trim(F.regexp_replace(v, rf"[^{fixed.WORD_CHARACTERS}]+", " "))
+        "_odd", F.exists("_values", lambda v: ~is_plain(v))
     )
+    compared = staged.withColumn("_compared", _compare_texts(F.when(F.col("_odd"), F.col("_values"))))
     return compared.select(
         *df.columns,
-        F.when(F.col("_measured"), F.col("_compared")).otherwise(bare).alias(out),
+        F.when(F.col("_odd"), F.col("_compared"))
+        .otherwise(F.transform("_values", compare_plain))
+        .alias(out),
     )
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +130,16 @@ def test_comparison_paths_agree(spark):
     assert [r.c[0] for r in out] == [X.compare_text(v) for v in values]
 
 
+def test_measures_are_converted_alike_in_the_jvm(spark):
+    rng = random.Random(12)
+    bits = ["0", "5", "12", "007", "1.50", "3,25", ",", ".", " ", "x", "л", "мл", "литра", "кг", "г", "гр",
+            "см", "m", "mm", "штук", "pcs", "-", "_", "é", "м2", "a-b"]
+    values = [X.fold_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 8)))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    out = df.select("i", X.compare_plain(F.col("v")).alias("c")).orderBy("i").collect()
+    assert [r.c for r in out] == [X.compare_text(v) for v in values]
+
+
 def test_title_identifiers(spark):
     df = spark.createDataFrame([("acme x100 a-200/b 12 7 foo x100 модель_5",)], "t string")
     assert df.select(X.title_identifiers(F.col("t")).alias("i")).first().i == [
