@@ -44,10 +44,12 @@ def item_cards(
     budget: int = fixed.ATTRIBUTE_BUDGET,
     title_characters: int | None = None,
     value_characters: int | None = None,
+    parsed_too: bool = False,
 ) -> DataFrame:
     """Everything a pair needs from one item, derived once per item before any join.
 
-    Adds ``title, state, lines, sort_key, identity`` and ``title_ids``. Titles, attribute
+    Adds ``title, state, lines, sort_key, identity`` and ``title_ids``; with ``parsed_too``
+    also ``normal_name`` and ``entries``, so that no one parses the item again. Titles, attribute
     values and identity values are whole unless a limit is given; ``budget`` bounds the
     attribute lines of the model text alone.
     """
@@ -88,6 +90,7 @@ def item_cards(
         budgeted_lines(F.col("_attributes"), " [VALUE] ", budget).alias("lines"),
         _identity(F.col("_grouped"), groups).alias("identity"),
         title_identifiers(F.col("_name")).alias("title_ids"),
+        *([F.col("_name").alias("normal_name"), F.col("_attributes").alias("entries")] if parsed_too else []),
     )
     return carded.withColumn(
         "sort_key",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmatch import fixed_values as fixed
-from pairmatch.functions.attributes import item_text, with_attributes
+from pairmatch.functions.attributes import item_text
 from pairmatch.functions.evidence import (
     CARD_FIELDS,
     Groups,
@@ -54,19 +54,15 @@ def evidence_table(
     """
     if mode not in ("item", "pair"):
         raise ValueError(f"unknown serialization mode: {mode}")
-    fields = [*CARD_FIELDS, "name", "name_bytes"]
-    named = with_normalized(
-        item_cards(items, groups, budget), {"_category": F.col("category"), "_name": F.col("name")}
-    )
+    cards = item_cards(items, groups, budget, parsed_too=mode == "item")
+    named = with_normalized(cards, {"shown_category": F.col("category")})
+    # A pair carries only what its mode shows.
     if mode == "item":
-        named = with_attributes(named, F.col("attributes"), "_state", "_attributes")
-        named = named.withColumn(
-            "text", item_text(F.col("_category"), F.col("_name"), F.col("_attributes"), budget)
-        )
-        fields.append("text")
+        text = item_text(F.col("shown_category"), F.col("normal_name"), F.col("entries"), budget)
+        named = named.withColumn("text", text)
+        fields = ["identity", "title_ids", "name", "name_bytes", "text"]
     else:
-        named = named.withColumnRenamed("_category", "shown_category")
-        fields.append("shown_category")
+        fields = [*CARD_FIELDS, "name", "name_bytes", "shown_category"]
     # Both sides of every pair read the cards: parse the items once.
     cards = settle(
         named.withColumn("name_bytes", byte_set(F.col("name"))).select("id", "category", *fields)
