@@ -92,8 +92,22 @@ def _encoder(path: str):
     import public_tokenizers
 
     made = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
-    return lambda text: made.encode(text, allowed_special=allowed, disallowed_special=())
+    allowed, slower = set(special), []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return made.encode(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:
+            # Very long runs of white space exceed the splitter's stack; the other library takes them.
+            if not slower:
+                from tokenizers import Tokenizer
+
+                slower.append(Tokenizer.from_file(path))
+                slower[0].no_truncation()
+                slower[0].no_padding()
+            return slower[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def pack(

@@ -68,7 +68,7 @@ def test_round_trip_and_padding(spark):
     rng = random.Random(6)
     words = "alpha beta gamma delta épée <|endoftext|> 12 ,".split()
     texts = {i: " ".join(rng.choices(words, k=rng.randint(0, 900))) for i in range(400)}
-    texts |= {1000: None, 1001: "", 1002: "word " * 9000}
+    texts |= {1000: None, 1001: "", 1002: "word " * 9000, 1003: " " * 300_000 + "x"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("task", F.lit(1))
     for partitions in (1, 40):
         tokens, sequences = check(pack(df.repartition(partitions), "doc_id", "text", PATH).collect(), texts)
