@@ -122,8 +122,11 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     moments): no spread beyond chance gives a strong prior, and every host the mean. Hosts
     are summed map-side, the prior is one row. A null host is a host of its own.
     """
-    hosts = measured.groupBy(quoted(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if(any_failed()).alias("failures")
+    # Read for the prior and for the rates: summed up once.
+    hosts = settle(
+        measured.groupBy(quoted(host).alias("host")).agg(
+            F.count(F.lit(1)).alias("documents"), F.count_if(any_failed()).alias("failures")
+        )
     )
     n, k = F.col("documents"), F.col("failures")
     sums = hosts.agg(
@@ -167,12 +170,9 @@ def judge(docs: DataFrame, text: str, host: str, carried: Sequence[str] | None =
     if clash := set(added) & {c.lower() for c in carried}:
         raise ValueError(f"the documents already have {sorted(clash)}")
     measured = measure(docs, text).select(*map(quoted, carried), *METRICS)
-    if text in carried:
-        rates = settle(host_rates(measured, host))
-    else:
+    if text not in carried:
         measured = publish(measured)
-        rates = host_rates(measured, host)
-    return with_hosts(measured, rates, host)
+    return with_hosts(measured, host_rates(measured, host), host)
 
 
 def with_hosts(measured: DataFrame, rates: DataFrame, host: str) -> DataFrame:

@@ -8,7 +8,6 @@ log-likelihood ratio per character between the two models, and reported above a
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -145,10 +144,14 @@ def fit(counts, smoothing: float = 1.0, flat: float = 500.0) -> list[list[float]
 
 def markov_spans(text: str, candidates, ratio, threshold: float, taken) -> list[tuple[int, int, int, str]]:
     """Candidate runs that no base span touches and whose mean log ratio reaches the threshold."""
-    found = []
+    found, at, reached = [], 0, 0
     for m in candidates.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, _, e, _ in taken):
+        # Both go up through the text: the furthest end of the base spans that start before here.
+        while at < len(taken) and taken[at][0] < end:
+            reached = max(reached, taken[at][2])
+            at += 1
+        if reached > start:
             continue
         before, score = START, 0.0
         for c in m[0]:
