@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pairmatch import fixed_values as fixed
 from pairmatch.catalogue.registry import query
-from pairmatch.catalogue.sampling import quotas
 from pairmatch.functions.evidence import item_cards
 from pairmatch.functions.text import with_comparison_values, with_normalized
 from pairmatch.operators import audits, mining, summaries

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairmatch.functions import attributes as A
-from pairmatch.functions import evidence as E
 from pairmatch.functions import text as X
 from pairmatch.operators import scoring
 from pairmatch.operators.prompts import teacher_prompts
