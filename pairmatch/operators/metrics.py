@@ -134,7 +134,7 @@ def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str) -> DataF
     correlation is a ratio of three weighted sums.
     """
     cells = (
-        with_required(df.select(*keys, left, right), keys, [left, right])
+        with_required(df.select(*keys, *dict.fromkeys((left, right))), keys, [left, right])
         .groupBy(*keys, left, right)
         .agg(F.count(F.lit(1)).alias("_cell"))
     )
