@@ -5,7 +5,9 @@ confirms (octets, Luhn digits, number of digits) is always redacted. All candida
 corpus, confirmed or not, are counted by their form and context; boosted trees learn from
 these counts which forms are confirmed, without seeing the checks, and a threshold per kind,
 calibrated on counts kept aside, selects further candidates: a card number with a slip in one
-digit looks like the confirmed ones around it. Texts are worked on with built-in expressions
+digit looks like the confirmed ones around it. The method's own kinds, which no base check
+confirms, have evidence of their own: a written-out address that reads as an address with its
+signs put back, and a number of a phone's length after a word for one. Texts are worked on with built-in expressions
 only; the trees are fitted to one small table of counts and applied as expressions.
 """
 
@@ -36,10 +38,13 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "spelt": SPE
 BASE = ("email", "ip", "card", "phone")
 OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})(?:\.|$)){4}$"
 HINTS = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ssn|address|\bip\b|host)[^0-9A-Za-z]*$"
+CALLS = r"(?i)(?:tel|telephone|phone|call|fax|mobile?|cell)[^0-9A-Za-z]*$"
+#: A written-out address whose dots are written out too or stand without spaces, under a domain of letters.
+WRITTEN = rf"^{LOCAL}++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\.)[A-Za-z0-9-]++)*(?<=[)\]\x20.][A-Za-z]{{2,24}})$"
 CONTEXT = 16
 
 #: Features of a candidate and their number of values.
-FEATURES = {"kind": len(PATTERNS), "digits": 7, "breaks": 6, "left": 5, "right": 5, "hint": 2, "lead": 4, "other": 4}
+FEATURES = {"kind": len(PATTERNS), "digits": 7, "breaks": 6, "left": 5, "right": 5, "hint": 2, "lead": 4, "other": 4, "dots": 4}
 
 
 def _sums_before(numbers: Column, block: int = 256) -> Column:
@@ -106,8 +111,17 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(False)
 
 
+def evident(kind: str, value: Column, before: Column) -> Column:
+    """Evidence for the method's own kinds, from the whole value or the words before it."""
+    if kind == "spelt":
+        return value.rlike(WRITTEN)
+    if kind == "number":
+        return F.length(_digits(value)).between(9, 15) & before.rlike(CALLS)
+    return F.lit(False)
+
+
 def candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: every candidate as (start, rank, end, kind, sure, value, features).
+    """Add ``out``: every candidate as (start, rank, end, kind, sure, value, seen, features).
 
     Positions are code points, the end exclusive. A pattern's matches and the gaps between
     them come from the same pattern, so their lengths add up to the positions; all work is
@@ -171,6 +185,7 @@ def _described(rank: int, kind: str, values: Column, gaps: Column, starts: Colum
             F.lit(kind).alias("name"),
             confirmed(kind, value).alias("sure"),
             value.alias("value"),
+            evident(kind, value, before).alias("seen"),
             F.struct(
                 F.lit(rank).alias("kind"),
                 _bucket(digits, (0, 5, 8, 11, 15, 19)).alias("digits"),
@@ -184,6 +199,11 @@ def _described(rank: int, kind: str, values: Column, gaps: Column, starts: Colum
                 .otherwise(3)
                 .alias("lead"),
                 _bucket(F.length(value) - digits - breaks, (0, 4, 16)).alias("other"),
+                F.when(value.rlike(r"\.\x20|\x20\."), 3)
+                .when(value.rlike(r"[(\[]dot[)\]]"), 2)
+                .when(F.instr(value, ".") > 0, 1)
+                .otherwise(0)
+                .alias("dots"),
             ).alias("f"),
         )
 
@@ -197,7 +217,8 @@ def _overlaps(spans: Column, start: Column, end: Column) -> Column:
 def counts(found: DataFrame, spans: str) -> list[tuple[tuple[int, ...], int, int, int]]:
     """(features, label, fold, n) over all candidates of the corpus.
 
-    A candidate counts as confirmed if it is or if it lies over a confirmed one. A quarter
+    A candidate counts as confirmed if it is, if it lies over a confirmed one, or if there is
+    evidence for its kind (``evident``). A quarter
     of the candidates, by a hash of the value, is the fold kept aside. The rows are bounded
     by the feature values (``FEATURES``) and summed before they are shuffled.
     """
@@ -208,7 +229,7 @@ def counts(found: DataFrame, spans: str) -> list[tuple[tuple[int, ...], int, int
             every,
             lambda s: F.struct(
                 s["f"].alias("f"),
-                (s["sure"] | _overlaps(sure, s["start"], s["end"])).cast("int").alias("label"),
+                (s["sure"] | s["seen"] | _overlaps(sure, s["start"], s["end"])).cast("int").alias("label"),
                 (F.pmod(F.xxhash64(s["value"]), F.lit(4)) == 0).cast("int").alias("fold"),
             ),
         )

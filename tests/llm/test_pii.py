@@ -100,3 +100,18 @@ def test_empty_table_and_clash(spark):
     assert summary(detect(df, "text", "pii", ["doc_id"]), "doc_id").count() == 0
     with pytest.raises(ValueError):
         detect(df.withColumn("PII", F.lit(1)), "text", "pii")
+
+
+def test_written_out_addresses_and_national_phones_are_selected(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choices("abcdefghij", k=7))
+    phone = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(i, f"write to {name()} (at) {name()} (dot) com today") for i in range(300)]
+    rows += [(1000 + i, f"meet {name()} (at) {name()}. Then {name()}") for i in range(100)]
+    rows += [(2000 + i, f"please call {phone()} today") for i in range(300)]
+    rows += [(3000 + i, f"order {rng.randint(10**11, 10**12)} came") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.name for s in r.pii] for r in detect(df, "text", "pii", ["doc_id"]).collect()}
+    assert sum(got[i] == ["likely_spelt"] for i in range(300)) == 300
+    assert sum(got[2000 + i] == ["likely_number"] for i in range(300)) == 300
+    assert sum(bool(got[1000 + i]) for i in range(100)) + sum("likely_number" in got[3000 + i] for i in range(200)) < 10
