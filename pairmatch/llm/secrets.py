@@ -2,8 +2,9 @@
 
 Two first-order character models are trained on the corpus itself. The samples are labelled
 by form: values that the base patterns find are random strings, runs of ASCII letters are
-ordinary identifiers and words. Every long run of key characters is then scored by the mean
-log-likelihood ratio per character between the two models, and reported above a threshold.
+ordinary identifiers and words. Every long run of key characters, outside the base spans, is
+then scored by the mean log-likelihood ratio per character between the two models, and reported
+above a threshold: the whole run, or else its best parts, such as a value behind a long name.
 """
 
 from __future__ import annotations
@@ -142,24 +143,79 @@ def fit(counts, smoothing: float = 1.0, flat: float = 500.0) -> list[list[float]
     return ratio
 
 
-def markov_spans(text: str, candidates, ratio, threshold: float, taken) -> list[tuple[int, int, int, str]]:
-    """Candidate runs that no base span touches and whose mean log ratio reaches the threshold."""
+def _free(start: int, end: int, taken, at: int) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no base span from ``taken[at]`` on covers."""
+    while at < len(taken) and taken[at][0] < end:
+        if taken[at][0] > start:
+            yield start, taken[at][0]
+        start = max(start, taken[at][2])
+        at += 1
+    if start < end:
+        yield start, end
+
+
+def best_parts(run: str, scores, least: int) -> list[tuple[int, int]]:
+    """Parts of at least ``least`` characters whose ``scores`` (over the threshold) sum to 0 or more.
+
+    One pass holds the best part that ends at each character and its peak, which is cut off
+    once it is ``least`` characters behind or the sum fell under 0; so it is linear in the run.
+    A part grows to the signs around it while its sum stays, and parts that meet are one.
+    """
+    sums = [0.0]
+    for x in scores:
+        sums.append(sums[-1] + x)
+    found, first, right = [], 0, 0
+    while first + least <= len(run):
+        low, peak = first, None
+        for end in range(first + least, len(run) + 1):
+            if sums[end - least] < sums[low]:
+                low = end - least
+            got = sums[end] - sums[low]
+            if got >= 0 and (peak is None or got >= peak[0]):
+                peak = (got, low, end)
+            elif peak and (got < 0 or end - peak[2] >= least):
+                break
+        if peak is None:
+            break
+        _, start, end = peak
+        first = end
+        floor = found[-1][1] if found else 0
+        left, right = start, max(right, end)
+        while left > floor and run[left - 1] not in "+/_=-":
+            left -= 1
+        while right < len(run) and run[right] not in "+/_=-":
+            right += 1
+        if right > end and sums[right] >= sums[start]:
+            end = right
+        if left < start and sums[end] >= sums[left]:
+            start = left
+        while end - start > least and run[start] in "+/_=-":
+            start += 1
+        if found and found[-1][1] >= start:
+            start = found.pop()[0]
+        found.append((start, end))
+        first = max(first, end)
+    return found
+
+
+def markov_spans(text: str, candidates, ratio, threshold: float, taken, least: int = 20) -> list[tuple[int, int, int, str]]:
+    """Runs outside the base spans whose mean log ratio reaches the threshold, or their parts that do."""
     found, at, reached = [], 0, 0
     for m in candidates.finditer(text):
-        start, end = m.span()
         # Both go up through the text: the furthest end of the base spans that start before here.
-        while at < len(taken) and taken[at][0] < end:
+        while at < len(taken) and taken[at][0] <= m.start():
             reached = max(reached, taken[at][2])
             at += 1
-        if reached > start:
-            continue
-        before, score = START, 0.0
-        for c in m[0]:
-            after = ALPHABET.index(c)
-            score += ratio[before][after]
-            before = after
-        if score >= threshold * (end - start):
-            found.append((start, 3, end, m[0]))
+        for start, end in _free(max(m.start(), reached), m.end(), taken, at):
+            if end - start < least:
+                continue
+            run, before, scores = text[start:end], START, []
+            for c in run:
+                after = ALPHABET.index(c)
+                scores.append(ratio[before][after] - threshold)
+                before = after
+            parts = [(0, len(run))] if sum(scores) >= 0 else best_parts(run, scores, least)
+            found += [(start + a, 3, start + b, run[a:b]) for a, b in parts]
     return found
 
 
@@ -206,7 +262,7 @@ def scan(
             for value in batch.column(at):
                 body = value.as_py() or ""
                 spans = base_spans(body, patterns)
-                spans = sorted(spans + markov_spans(body, candidates, ratio, threshold, spans))
+                spans = sorted(spans + markov_spans(body, candidates, ratio, threshold, spans, least_run))
                 rows.append([{"kind": KINDS[k], "start": s, "end": e, "value": v} for s, k, e, v in spans])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(rows, arrow)], names=[*batch.schema.names, name]

@@ -69,3 +69,18 @@ def test_empty_table_and_clash(spark):
     assert scan(empty, "text").count() == 0
     with pytest.raises(ValueError):
         scan(empty.withColumn("Secrets", F.lit(1)), "text")
+
+
+def test_secrets_behind_long_names_and_paths(spark):
+    rng = random.Random(9)
+    words = ["customer", "session", "handler", "default", "response", "message", "connection", "internal", "service"]
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows = [(i, " ".join(rng.choices(words, k=60)) + f' token = "{key(30)}"') for i in range(200)]
+    keys = [key(24) for _ in range(60)]
+    heads = ["internal_customer_service_message_connection=", "/service/internal/customer/connection/", "token=abcdef:"]
+    rows += [(1000 + i, f"see {heads[i % 3]}{k} there") for i, k in enumerate(keys)]
+    rows += [(2000 + i, "see " + "/".join(rng.choices(words, k=8)) + " there") for i in range(60)]
+    got = {r.doc_id: r.secrets for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()}
+    assert sum(any(s.kind == "markov" and k in s.value for s in got[1000 + i]) for i, k in enumerate(keys)) >= 55
+    assert all(len(s.value) < 40 for i in range(60) for s in got[1000 + i])
+    assert not any(got[2000 + i] for i in range(60))
