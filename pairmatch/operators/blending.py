@@ -180,14 +180,12 @@ def weight_grid(
     width = shuffle_width(df.sparkSession)
     rows = df.select(*keys, "category", "fold", "target", *features).repartition(width)
     spread = rows.select("*", F.inline(vectors))
-    slots = max(2, width // len(candidates))
     return cohort_precision(
         spread.withColumn("_blend", weighted_sum(F.col("w"), features)),
         [*keys, "category", "candidate"],
         F.col("_blend"),
         F.col("target"),
         fold_cohorts(folds),
-        slots,
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmatch.functions.numeric import (
     clip,
@@ -13,7 +15,8 @@ from pairmatch.functions.numeric import (
     soft_cross_entropy,
     unanimous,
 )
-from pairmatch.operators.ranking import running_sums, with_required
+from pairmatch.operators.ranking import range_sorted, running_sums, with_required
+from pairmatch.session import settle
 
 
 def cohort_precision(
@@ -26,48 +29,174 @@ def cohort_precision(
 ) -> DataFrame:
     """Average precision of every cohort of every group, in one pass over the ranking.
 
-    A cohort is a row mask (a fold, all other folds, a stress slice). Masks become
-    conditional counts per distinct score, so rows are neither copied per cohort nor
-    ranked more than once, and tied scores collapse to one threshold. Returns
-    ``keys, cohort, rows, positives, average_precision`` for non-empty cohorts; a cohort
-    without positives scores 0. A null key, and a null or NaN score, fail the job.
+    A cohort is a row mask (a fold, all other folds, a stress slice). Rows of one group,
+    score and set of cohorts are two counters, so rows are neither copied per cohort nor
+    ranked more than once, and tied scores collapse to one threshold. The counters are dealt
+    by one range shuffle and sorted; a task runs through them once and hands on three sums per
+    group and cohort. Returns ``keys, cohort, rows, positives, average_precision`` for
+    non-empty cohorts; a cohort without positives scores 0. A null key, and a null or NaN
+    score, fail the job.
     """
     names = list(cohorts)
+    # Sets of cohorts as bits, 62 to a number.
+    words = range(-(-len(names) // 62))
+    bits = [
+        reduce(
+            lambda x, y: x + y,
+            [
+                F.when(cohorts[name], F.lit(1 << (i % 62))).otherwise(F.lit(0)).cast("bigint")
+                for i, name in enumerate(names)
+                if i // 62 == w
+            ],
+        ).alias(f"_in{w}")
+        for w in words
+    ]
     marked = df.select(
-        *keys,
-        score.cast("double").alias("_score"),
-        (target == F.lit(1)).alias("_hit"),
-        *[cohorts[name].alias(f"_m{i}") for i, name in enumerate(names)],
+        *keys, score.cast("double").alias("_score"), (target == F.lit(1)).alias("_hit"), *bits
     )
-    marked = with_required(marked, keys, ["_score"])
-    counts: list[Column] = []
-    for i in range(len(names)):
-        counts.append(F.expr(f"count_if(_m{i})").alias(f"_r{i}"))
-        counts.append(F.expr(f"count_if(_m{i} and _hit)").alias(f"_p{i}"))
-    cells = marked.groupBy(*keys, "_score").agg(*counts)
-    sums = [f"_{kind}{i}" for i in range(len(names)) for kind in "rp"]
-    ran = running_sums(cells, keys, -F.col("_score"), sums, slots)
-    entries = ", ".join(
-        f"struct('{name}' as cohort, max(_r{i}_total) as rows, max(_p{i}_total) as positives, "
-        f"sum(if(_p{i} > 0, _p{i} * _p{i}_upto / _r{i}_upto, 0D)) as gain)"
-        for i, name in enumerate(names)
+    sets = [f"_in{w}" for w in words]
+    cells = (
+        with_required(marked, keys, ["_score"])
+        .where(F.greatest(*[F.col(c) for c in (*sets, *sets)]) > 0)
+        .groupBy(*keys, "_score", *sets)
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if("_hit").alias("_p"))
+        .withColumn("_score", -F.col("_score"))
     )
-    per_group = ran.groupBy(*keys).agg(F.expr(f"array({entries})").alias("_cohorts"))
+    rows = settle(range_sorted(cells, keys, ["_score"], slots))
+    partial = rows.mapInArrow(
+        _precision_sums(keys, len(names), _carried(rows, keys, sets, len(names))),
+        T.StructType(
+            [
+                *(rows.schema[k] for k in keys),
+                T.StructField("_cohort", T.IntegerType()),
+                T.StructField("rows", T.LongType()),
+                T.StructField("positives", T.LongType()),
+                T.StructField("_gain", T.DoubleType()),
+            ]
+        ),
+    )
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_cohort") + 1)
     return (
-        per_group.select(*keys, F.inline("_cohorts"))
+        partial.groupBy(*keys, "_cohort")
+        .agg(F.sum("rows").alias("rows"), F.sum("positives").alias("positives"), F.sum("_gain").alias("_gain"))
         .where("rows > 0")
         .select(
             *keys,
-            "cohort",
+            named.alias("cohort"),
             "rows",
             "positives",
-            F.when(F.col("positives") > 0, F.col("gain") / F.col("positives"))
+            F.when(F.col("positives") > 0, F.col("_gain") / F.col("positives"))
             .otherwise(F.lit(0.0))
             .alias("average_precision"),
         )
     )
 
 
+def _carried(rows: DataFrame, keys: Sequence[str], sets: Sequence[str], cohorts: int) -> dict[int, list[int]]:
+    """Rows and positives per cohort that the first group of a partition has in earlier ones.
+
+    One entry per partition that a group runs into; the partitions' own sums are combined
+    map-side, so what reaches the driver doesn't grow with the rows.
+    """
+    spread = rows
+    if keys:
+        # Keys ascend, so a partition's first group has the least keys.
+        heads = rows.groupBy("_part").agg(F.min(F.struct(*keys)).alias("_first"))
+        first = heads.select("_part", *[F.col(f"_first.`{k}`").alias(k) for k in keys])
+        spread = rows.join(first.select(*keys).distinct(), list(keys), "left_semi")
+    counters = [
+        F.sum(F.when(F.col(sets[i // 62]).bitwiseAND(F.lit(1 << (i % 62)).cast("bigint")) != 0, F.col(c)).otherwise(0))
+        for i in range(cohorts)
+        for c in ("_n", "_p")
+    ]
+    cells = spread.groupBy(*keys, "_part").agg(*[c.alias(f"_c{j}") for j, c in enumerate(counters)])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.select(
+        *keys, "_part", F.array(*[F.sum(f"_c{j}").over(before) for j in range(2 * cohorts)]).alias("_before")
+    ).where("_before[0] is not null")
+    if keys:
+        sums = sums.join(first, ["_part", *keys], "left_semi")
+    return {r["_part"]: r["_before"] for r in sums.select("_part", "_before").collect()}
+
+
+def _precision_sums(keys: Sequence[str], cohorts: int, carried: Mapping[int, Sequence[int]]):
+    """Streaming pass over sorted cells: rows, positives and gain per group, cohort and batch."""
+    width = len(keys)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        state = {"group": None, "sums": np.zeros((2 * cohorts, 1))}
+
+        def summed(batch, begins):
+            """All thresholds of ``batch``, which ends with one; ``begins`` marks their first cells."""
+            ties = np.flatnonzero(begins)
+            news = np.zeros(batch.num_rows, bool)
+            for k in range(width):
+                column = batch.column(k)
+                news[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            news[0] = [batch.column(k)[0].as_py() for k in range(width)] != state["group"]
+            counts = [batch.column(c).to_numpy() for c in ("_n", "_p")]
+            sets = [batch.column(f"_in{w}").to_numpy() for w in range(-(-cohorts // 62))]
+            per_tie = np.empty((2 * cohorts, len(ties)))
+            for i in range(cohorts):
+                own = (sets[i // 62] >> (i % 62)) & 1
+                for j, count in enumerate(counts):
+                    per_tie[2 * i + j] = np.add.reduceat(count * own, ties)
+            group = np.flatnonzero(news[ties])
+            starts = group if len(group) and group[0] == 0 else np.concatenate([[0], group])
+            ran = np.cumsum(per_tie, axis=1)
+            base = np.concatenate([np.zeros((2 * cohorts, 1)), ran], axis=1)[:, starts]
+            if not (len(group) and group[0] == 0):
+                base[:, 0] -= state["sums"][:, 0]
+            ran -= np.repeat(base, np.diff(np.append(starts, len(ties))), axis=1)
+            state["sums"] = ran[:, -1:].copy()
+            state["group"] = [batch.column(k)[batch.num_rows - 1].as_py() for k in range(width)]
+            hits, seen = per_tie[1::2], ran[::2]
+            gain = np.divide(hits * ran[1::2], seen, out=np.zeros_like(hits), where=hits > 0)
+            firsts = pa.array(np.repeat(ties[starts], cohorts))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k).take(firsts) for k in range(width)),
+                    pa.array(np.tile(np.arange(cohorts, dtype=np.int32), len(starts))),
+                    pa.array(np.add.reduceat(per_tie[::2], starts, axis=1).T.ravel().astype(np.int64)),
+                    pa.array(np.add.reduceat(hits, starts, axis=1).T.ravel().astype(np.int64)),
+                    pa.array(np.add.reduceat(gain, starts, axis=1).T.ravel()),
+                ],
+                names=[*keys, "_cohort", "rows", "positives", "_gain"],
+            )
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                part = batch.column("_part")[0].as_py()
+                if part in carried:
+                    state["group"] = [batch.column(k)[0].as_py() for k in range(width)]
+                    state["sums"] = np.array(carried[part], float)[:, None]
+            else:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            # Cells of one threshold lie side by side; the last one may go on in the next batch.
+            begins = np.ones(batch.num_rows, bool)
+            begins[1:] = False
+            for k in range(width + 1):
+                column = batch.column(k)
+                begins[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(begins)[-1])
+            if last:
+                yield from summed(batch.slice(0, last), begins[:last])
+            held = batch.slice(last)
+        if held is not None:
+            begins = np.zeros(held.num_rows, bool)
+            begins[0] = True
+            yield from summed(held, begins)
+
+    return run
+
+
 def average_precision(
     df: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target"
 ) -> DataFrame:

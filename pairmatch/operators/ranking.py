@@ -1,21 +1,23 @@
 """Prefix sums, ranks and row numbers inside groups of any size.
 
 A plain ranking window puts a whole group into one task, so a category that holds a
-third of the rows becomes the job's only running task. Here every group is cut into
-value ranges ("slots") first: pivot values are drawn from the group by hash, so the
-cut is deterministic, needs no second job and follows any distribution. A window then
-runs per (group, slot) and the totals of the preceding slots, a table of at most
-``groups x slots`` rows, are added on top.
+third of the rows becomes the job's only running task. Here rows are dealt by one range
+shuffle on (keys, order), so that a large group spreads over as many tasks as its rows
+need and small groups share one. A task runs through its sorted rows once and numbers and
+adds them up per group. Of a task's groups only the first can have begun in an earlier
+task, so the numbers to add on top are a table of at most two rows per task, whatever the
+number of rows, groups or tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairmatch.session import shuffle_width
+from pairmatch.session import publish, shuffle_width
 
 _SLOT = "_slot"
 _ORDER = "_order"
@@ -40,47 +42,119 @@ def with_required(df: DataFrame, names: Sequence[str], numbers: Sequence[str] =
     )
 
 
-def _pivots(df: DataFrame, keys: Sequence[str], slots: int, sums: Sequence[str]) -> DataFrame:
-    """Up to ``slots`` order values per group, picked by hash and sorted."""
-    cell = F.pmod(F.xxhash64(_ORDER), F.lit(slots)).alias("_cell")
-    if sums:
-        # Always true for counts. Reading every count keeps this branch's aggregation
-        # identical to the main one, so both read a single shuffle of the source.
-        df = df.where(F.greatest(*[F.col(s) for s in [*sums, sums[0]]]) >= 0)
-    picked = df.groupBy(*keys, cell).agg(
-        F.min_by(_ORDER, F.xxhash64(F.lit(17), _ORDER)).alias("_pivot")
-    )
-    return picked.groupBy(*keys).agg(F.sort_array(F.collect_list("_pivot")).alias("_pivots"))
-
-
-def _slot_index(pivots: Column, value: Column, slots: int) -> Column:
-    """Number of pivots below ``value``, found by doubling steps over the sorted array."""
-    steps = []
-    step = 1
-    while step <= slots:
-        steps.insert(0, step)
-        step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, jump: F.when(
-            F.try_element_at(pivots, at + jump) < value, at + jump
-        ).otherwise(at),
+def _numbered(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Add to sorted partitions: ``_part``; ``_head`` for rows of the partition's first group;
+    ``_row`` and ``_run_<sum>``, counted and added up per group inside the partition."""
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("_part", T.IntegerType()),
+            T.StructField("_head", T.BooleanType()),
+            T.StructField("_row", T.LongType()),
+            *(T.StructField(f"_run_{s}", T.LongType()) for s in sums),
+        ]
     )
+    places = [df.columns.index(k) for k in keys]
+    added = [df.columns.index(s) for s in sums]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        # Counters of the group that the last batch ended in, and that group's keys.
+        group, carried, head = None, [0] * (1 + len(added)), True
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            begins = np.zeros(size, bool)
+            for place in places:
+                column = batch.column(place)
+                after, before = column.slice(1), column.slice(0, size - 1)
+                differ = pc.or_(
+                    pc.fill_null(pc.not_equal(after, before), False),
+                    pc.xor(pc.is_null(after), pc.is_null(before)),
+                )
+                begins[1:] |= differ.to_numpy(zero_copy_only=False)
+            first = [batch.column(p)[0].as_py() for p in places]
+            if group is not None and first != group:
+                begins[0] = True
+            group = [batch.column(p)[size - 1].as_py() for p in places]
+            at = np.arange(size)
+            start = np.maximum.accumulate(np.where(begins, at, 0))
+            # Rows before the first border carry the counters of the batch before on.
+            going = np.cumsum(begins) == 0
+            columns = [pa.array(np.full(size, part, np.int32)), pa.array(going & head)]
+            head = head and bool(going[-1])
+            for k, place in enumerate([None, *added]):
+                value = np.ones(size, np.int64) if place is None else batch.column(place).to_numpy(zero_copy_only=False)
+                ran = np.cumsum(value)
+                ran = ran - (ran - value)[start] + np.where(going, carried[k], 0)
+                carried[k] = int(ran[-1])
+                columns.append(pa.array(ran))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], slots: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of (keys, order) and sorted in them, with the partition's ``_part``.
+
+    The borders come from a sample: settle or publish the result before it is read twice.
+    """
+    by = [F.col(f"`{c}`") for c in (*keys, *order)]
+    # A number of ranges is given, or adaptive execution would join ranges up to its advisory size.
+    dealt = df.repartitionByRange(slots or shuffle_width(df.sparkSession), *by)
+    return dealt.sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
 
 
-def _with_slots(
-    df: DataFrame, keys: Sequence[str], slots: int | None, sums: Sequence[str] = ()
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal keys of two aliased tables, nulls equal to each other."""
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`"))
+    return met
+
+
+def _ranged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Sequence[str] = (), slots: int | None = None
 ) -> DataFrame:
-    """Add ``_slot``: it follows ``_order`` and equal values share one."""
-    slots = max(2, slots or shuffle_width(df.sparkSession))
-    pivots = _pivots(df, keys, slots, sums)
+    """``df`` with ``_number`` (from 1) and ``_upto_<sum>`` per group, ascending by ``order``.
+
+    The numbered rows are published: the partitions' borders come from a sample, so rows
+    that were dealt twice could be dealt differently. Sums are of whole numbers.
+    """
+    names = [f"{_ORDER}{i}" for i in range(len(order))]
+    dealt = range_sorted(df.withColumns(dict(zip(names, order))), keys, names, slots)
+    rows = publish(_numbered(dealt.drop(*names, "_part"), keys, sums))
+    # The groups that may run over a border, one per partition, and their sizes there.
+    spread = rows
     if keys:
-        joined = df.join(pivots, list(keys))
-    else:
-        joined = df.withColumn("_pivots", pivots.select("_pivots").scalar())
-    index = F.coalesce(_slot_index(F.col("_pivots"), F.col(_ORDER), slots), F.lit(0))
-    return joined.withColumn(_SLOT, index).drop("_pivots")
+        heads = rows.where("_head").select(*keys).distinct()
+        spread = rows.alias("r").join(heads.alias("h"), _same("r", "h", keys), "left_semi")
+    cells = spread.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(s).alias(f"_sum_{s}") for s in sums]
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(
+        *keys,
+        "_part",
+        F.sum("_rows").over(before).alias("_before"),
+        *[F.sum(f"_sum_{s}").over(before).alias(f"_before_{s}") for s in sums],
+    ).where("_before is not null")
+    met = (F.col("r._part") == F.col("o._part")) & _same("r", "o", keys)
+    return (
+        rows.alias("r")
+        .join(offsets.alias("o"), met, "left")
+        .select(
+            *[F.col(f"r.`{c}`") for c in df.columns],
+            (F.col("_row") + F.coalesce("_before", F.lit(0))).alias("_number"),
+            *[(F.col(f"_run_{s}") + F.coalesce(f"_before_{s}", F.lit(0))).alias(f"_upto_{s}") for s in sums],
+        )
+    )
 
 
 def running_sums(
@@ -89,31 +163,26 @@ def running_sums(
     order: Column,
     sums: Sequence[str],
     slots: int | None = None,
+    totals: bool = True,
 ) -> DataFrame:
     """Add ``<name>_upto`` (inclusive, ascending ``order``) and ``<name>_total`` per group.
 
-    Rows must be unique per (group, order); pre-aggregate first. Keys must not be null.
+    Rows must be unique per (group, order); pre-aggregate first. Sums are of whole numbers;
+    ``totals=False`` leaves the totals out. ``slots`` is the number of ranges, the session's
+    shuffle width by default.
     """
-    slotted = _with_slots(df.withColumn(_ORDER, order), keys, slots, sums)
-    totals = slotted.groupBy(*keys, _SLOT).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
-    # Window clauses as SQL text: one parse per column instead of a chain of calls.
-    group = f"partition by {', '.join(f'`{k}`' for k in keys)}" if keys else ""
-    earlier = f"{group} order by {_SLOT} rows between unbounded preceding and 1 preceding"
-    offsets = totals.selectExpr(
-        *[f"`{k}`" for k in keys],
-        _SLOT,
-        *[f"coalesce(sum(`_sum_{s}`) over ({earlier}), 0) as `_before_{s}`" for s in sums],
-        *[f"sum(`_sum_{s}`) over ({group}) as `{s}_total`" for s in sums],
-    )
-    cell = ", ".join([*[f"`{k}`" for k in keys], _SLOT])
-    local = (
-        f"partition by {cell} order by {_ORDER} rows between unbounded preceding and current row"
+    ran = _ranged(df, keys, [order], sums, slots).select(
+        *[f"`{c}`" for c in df.columns], *[F.col(f"_upto_{s}").alias(f"{s}_upto") for s in sums]
     )
-    ran = slotted.selectExpr("*", *[f"sum(`{s}`) over ({local}) as `_local_{s}`" for s in sums])
-    return ran.join(offsets, [*keys, _SLOT]).selectExpr(
-        *[f"`{c}`" for c in df.columns],
-        *[f"`_before_{s}` + `_local_{s}` as `{s}_upto`" for s in sums],
-        *[f"`{s}_total`" for s in sums],
+    if not totals:
+        return ran
+    whole = ran.groupBy(*keys).agg(*[F.sum(s).alias(f"{s}_total") for s in sums])
+    if not keys:
+        return ran.select("*", *[whole.select(f"{s}_total").scalar().alias(f"{s}_total") for s in sums])
+    return (
+        ran.alias("r")
+        .join(whole.alias("t"), _same("r", "t", keys))
+        .select("r.*", *[f"t.{s}_total" for s in sums])
     )
 
 
@@ -129,13 +198,15 @@ def ordinal(
 
     The last order columns have to break every tie (a hash and the pair ids do). Pass
     ``slot`` when the order starts with a uniform hash: its leading bits already cut a
-    group into even ranges, and no pivots are needed.
+    group into even ranges, and nothing is sampled or published.
     """
-    prepared = with_required(df.withColumn(_ORDER, F.struct(*order)), keys)
     if slot is None:
-        slotted = _with_slots(prepared, keys, slots)
-    else:
-        slotted = prepared.withColumn(_SLOT, slot)
+        # Rows without a key are a group until they are read: the reader's job fails.
+        return with_required(_ranged(df, keys, order, (), slots), keys).select(
+            *[f"`{c}`" for c in df.columns], F.col("_number").cast("bigint").alias(out)
+        )
+    prepared = with_required(df, keys)
+    slotted = prepared.withColumn(_ORDER, F.struct(*order)).withColumn(_SLOT, slot)
     totals = slotted.groupBy(*keys, _SLOT).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
         Window.partitionBy(*keys).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,25 +26,41 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a local session may pick its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="pairmatch-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     Used where a table feeds several later jobs (iterations, model fits) so that a
-    lost executor re-reads files instead of replaying every earlier round. The folder
-    is the one the session names in ``spark.checkpoint.dir``.
+    lost executor re-reads files instead of replaying every earlier round.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="pairmatch-checkpoint-")
-        context.setCheckpointDir(folder)
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def publish(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    For tables that later jobs read a few columns of: the copy is columnar and compressed,
+    and a lost executor costs a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """How many tasks one shuffle of this session fans out to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
