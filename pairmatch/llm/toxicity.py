@@ -71,7 +71,11 @@ class Classifier:
         words = self.embedding[0][ids[0]]
         for number in range(1, len(ids)):
             words += self.embedding[number][ids[number]]
-        parts = words @ self.kernel
+        # Added up place by place in a fixed order: a matrix product may round a row differently
+        # with other rows beside it, and a score must not depend on its neighbours.
+        parts = words[:, :1] * self.kernel[0]
+        for d in range(1, self.size):
+            parts += words[:, d : d + 1] * self.kernel[d]
         step, out, column = self.filters, np.zeros((len(parts), len(self.bias)), np.float32), 0
         for k, width in enumerate(WIDTHS):
             place = out[:, k * step : (k + 1) * step]
@@ -84,6 +88,11 @@ class Classifier:
         import numpy as np
 
         words, out = self.answers(ids)
+        # At a text's last places of padding a wide filter would read the next text's words.
+        ends = np.append(begins[1:], len(out))
+        for k, width in enumerate(WIDTHS):
+            for i in range(1, width):
+                out[ends - i, k * self.filters : (k + 1) * self.filters] = -np.inf
         return words, out, np.maximum.reduceat(out, begins, axis=0)
 
     def logits(self, texts: list[str]):
@@ -93,7 +102,10 @@ class Classifier:
             return np.empty(0)
         ids, begins = self.slots_of(texts)
         top = np.maximum(self.pooled(ids, begins)[2] + self.bias, 0)
-        return top.astype(np.float64) @ self.out.astype(np.float64) + float(self.base)
+        total = np.full(len(top), float(self.base))
+        for answer, weight in zip(top.T.astype(np.float64), self.out.astype(np.float64)):
+            total += answer * weight
+        return total
 
     def scores(self, texts: list[str]):
         import numpy as np

@@ -1,10 +1,12 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairmatch.llm.toxicity import fit, score
+from pairmatch.llm.toxicity import PREFIXES, WIDTHS, Classifier, fit, score
+from pairmatch.llm.words import PUNCTUATION, word_hashes
 
 
 def corpus(n=700, seed=2):
@@ -67,3 +69,48 @@ def test_without_labels_nothing_is_rejected(spark):
         assert {(r.score, r.rejected) for r in score(frame, "text", model).collect()} == {(0.0, False)}
     # Two labels of one row: the larger one counts, the row is trained on once.
     assert fit(frame, marks.unionByName(marks.withColumn("toxic", F.lit(0)))) is not None
+
+
+def plain_score(model, text):
+    """The network word by word: sums of embeddings, filters at every place, the largest answers, a logit."""
+    counts, features = word_hashes([text.lower().encode()], PUNCTUATION, PREFIXES)
+    words = []
+    for i in range(int(counts[-1])):
+        rows = [int(f[i] >> np.uint64(17)) % model.slots for f in features]
+        words.append(sum(model.embedding[k][row].astype(float) for k, row in enumerate(rows)))
+    words += [np.zeros(model.size)] * max(WIDTHS)
+    logit, column = float(model.base), 0
+    for k, width in enumerate(WIDTHS):
+        for f in range(model.filters):
+            kernel = [model.kernel[:, column + j * model.filters + f].astype(float) for j in range(width)]
+            places = range(len(words) - width + 1)
+            best = max(sum(float(words[i + j] @ kernel[j]) for j in range(width)) for i in places)
+            c = k * model.filters + f
+            logit += max(best + float(model.bias[c]), 0.0) * float(model.out[c])
+        column += width * model.filters
+    return 1 / (1 + np.exp(-(model.scale * logit + model.shift)))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = random.Random(8)
+    model = Classifier(slots=512)
+    texts = ["", "one", "two words", "Ünï cödé, 日本!"] + [
+        " ".join("".join(rng.choices("abcde", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 80))) for _ in range(60)
+    ]
+    model.train(texts, [i % 2 for i in range(len(texts))], epochs=2, batch=16, least=1)
+    model.bias += np.float32(0.05)
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_scores_are_the_same_bits_in_any_company():
+    rng = random.Random(9)
+    docs, labels = corpus(200)
+    texts = [t for _, t, _ in docs]
+    model = Classifier()
+    model.train(texts, [y for _, y in labels], epochs=1)
+    alone = [float(model.scores([t])[0]) for t in texts]
+    for size in (2, 3, 7, 50, 200):
+        order = rng.sample(range(len(texts)), len(texts))
+        for first in range(0, len(order), size):
+            part = order[first : first + size]
+            assert model.scores([texts[i] for i in part]).tolist() == [alone[i] for i in part]
