@@ -1,6 +1,11 @@
+import random
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from pairmatch.llm.url_filter import RULES, judge_urls, propagate
+from pairmatch.llm.url_filter import ENDING, HOST_NAME, LABELS, RULES, judge_urls, propagate, site_edges
 
 PAGES = [
     (1, "https://WWW.Example.com/en/x?a=/fr/", "see http://friend.org/ now"),
@@ -73,3 +78,33 @@ def test_propagation_equals_a_plain_loop(spark):
             mass = new
         for r in got:
             assert abs(r[column] - mass[r["host"]]) < 1e-12
+
+
+def test_host_names_in_two_steps_are_those_of_the_plain_pattern(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "bc", "com", ".", ".", "..", "-", "1", " ", "/", "é", "x2"], k=rng.randint(0, 40))) for _ in range(4000)]
+    rows = F.regexp_extract_all("html", F.lit(LABELS), F.lit(0))
+    names = F.filter(F.transform(rows, lambda r: F.regexp_extract(r, ENDING, 0)), lambda n: n != "")
+    df = spark.createDataFrame([(t,) for t in texts], "html string").select("html", names.alias("names"))
+    for r in df.collect():
+        assert r.names == re.findall(HOST_NAME, r.html)
+
+
+@pytest.mark.parametrize("html", ["a" * 1_000_000, "a." * 500_000, "a-" * 500_000, "ab." * 300_000 + "1", "a.com " * 200_000])
+def test_long_pages_take_linear_time(spark, html):
+    judged(spark, PAGES)
+    started = time.perf_counter()
+    got = judged(spark, [*PAGES, (99, "http://long.org/", html)])
+    assert len(got) == len(PAGES) + 1 and time.perf_counter() - started < 30
+    alone = spark.createDataFrame([(html,)], "html string")
+    started = time.perf_counter()
+    alone.select(F.size(F.regexp_extract_all("html", F.lit(LABELS), F.lit(0)))).collect()
+    assert time.perf_counter() - started < 5
+
+
+def test_parent_domains_of_any_depth(spark):
+    deep = ".".join(["a"] * 80 + ["org"])
+    hosts = spark.createDataFrame([(deep,), ("a.org",), ("org",), ("b.org",)], "host string")
+    got = {(r.src, r.dst) for r in site_edges(hosts).collect()}
+    up = {(deep, "a.org"), (deep, "org"), ("a.org", "org"), ("b.org", "org")}
+    assert got == up | {(b, a) for a, b in up}
