@@ -45,6 +45,7 @@ class PrefixEncoder:
         import ahocorasick
 
         self.suffix = model.get("end_of_word_suffix") or ""
+        self.fitting: dict[int, bool] = {}
         vocab = model["vocab"]
         self.born, self.parts, self.rank, self.known_whole = {}, {}, {}, {}
         for order, merge in enumerate(model["merges"]):
@@ -98,22 +99,32 @@ class PrefixEncoder:
         size = len(symbols)
         if not size:
             return []
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
-        for at, match in self.matches.iter(symbols + END if self.suffix else symbols):
-            if not self.suffix:
-                ending[at + 1].append(match)
-            elif at == size:
-                ending[size].append(match)
-            elif at < size - 1:
-                ending[at + 1].append(match)
         last: list[int | None] = [None] * (size + 1)
         back = [0] * (size + 1)
-        for end in range(1, size + 1):
-            for number, length in sorted(ending[end], key=lambda m: -m[1]):
-                start = end - length
-                if start == 0 or (last[start] is not None and self.fits(last[start], number)):
-                    last[end], back[end] = number, start
-                    break
+        fitting = self.fitting
+        # The matches come by their ends, the longest first.
+        for at, (number, length) in self.matches.iter(symbols + END if self.suffix else symbols):
+            end = at + 1
+            if self.suffix:
+                if end == size:
+                    continue  # the last symbol counts with the end of the word alone
+                end = min(end, size)
+            if last[end] is not None:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before is None:
+                    continue
+                pair = before << 32 | number
+                fine = fitting.get(pair)
+                if fine is None:
+                    if len(fitting) >= 1 << 20:
+                        fitting.clear()
+                    fine = fitting[pair] = self.fits(before, number)
+                if not fine:
+                    continue
+            last[end], back[end] = number, start
         if last[size] is None:
             raise ValueError("the vocabulary lacks a symbol of the text")
         out, end = [], size
@@ -125,71 +136,123 @@ class PrefixEncoder:
 
 class WordTokenizer:
     """Text to ids and back, for lower-casing word BPE files: special tokens are cut out of the
-    raw text, the rest is composed, lower-cased and split into words; white space is dropped."""
+    raw text, the rest is composed, lower-cased and split into words; white space is dropped.
+
+    Letters, digits, white space and lower case are those of the tokenizers library, whose
+    tables are of another Unicode version than Python's. Every character is tried on both once,
+    when it is first met; a text with one on which they differ is composed and split by the
+    library's own two steps.
+    """
+
+    #: Pieces of a run without white space, in Python's classes; no word spans white space.
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
     def __init__(self, path: str, cache: int = 400_000):
-        import regex
+        import re
+
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         steps = parts["normalizer"]["normalizers"]
-        splits = parts["pre_tokenizer"]["pretokenizers"]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or parts["decoder"]:
             raise ValueError("this file needs another normaliser or decoder")
-        self.words = regex.compile(splits[0]["pattern"]["Regex"])
+        library = Tokenizer.from_file(path)
+        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
+        self.pieces = re.compile(self.PIECE).findall
         special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.special = special
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         self.encoder = PrefixEncoder(parts["model"])
         self.symbols = byte_symbols()
         self.text_of = {n: t for t, n in parts["model"]["vocab"].items()} | {n: t for t, n in special.items()}
-        self.known: dict[str, bytes] = {}
+        self.tried: set[str] = set()
+        self.odd: set[str] = set()
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.cache = cache
 
-    def _word(self, word: str) -> bytes:
+    def _prepared(self, text: str) -> str:
+        import unicodedata
+
+        # Lower-casing goes letter by letter: a sigma doesn't depend on its place.
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def _shown(self, word: str) -> str:
+        return "".join([self.symbols[b] for b in word.encode()])
+
+    def _split(self, text: str) -> list[str]:
+        """The words as byte symbols, by the library's own steps."""
+        return [word for word, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(text))]
+
+    def _try(self, letters: set[str]) -> None:
+        """Note on which of the letters Python and the library differ, among other letters of every class."""
+        for letter in letters:
+            probe = "".join(f"{a}{letter}{a} " for a in "aA1!'") + f"{letter}{letter} {letter}a {letter}1 {letter}s"
+            ours = [self._shown(w) for run in self._prepared(probe).split() for w in self.pieces(run)]
+            if ours != self._split(probe):
+                self.odd.add(letter)
+        self.tried |= letters
+
+    def _symbol_ids(self, symbols: str) -> bytes:
         import array
 
-        symbols = "".join([self.symbols[b] for b in word.encode()])
-        return array.array("i", self.encoder.encode(symbols)).tobytes()
+        got = self.words.get(symbols)
+        if got is None:
+            if len(self.words) >= self.cache:
+                self.words.clear()
+            got = self.words[symbols] = array.array("i", self.encoder.encode(symbols)).tobytes()
+        return got
+
+    def _run(self, run: str) -> bytes:
+        if len(self.runs) >= self.cache:
+            self.runs.clear()
+        got = self.runs[run] = b"".join([self._symbol_ids(self._shown(w)) for w in self.pieces(run)])
+        return got
 
     def encode(self, text: str) -> bytes:
         """The ids as native 32-bit integers."""
         import array
         import unicodedata
 
-        if self.cut is None or "<|" not in text:
-            pieces = [text]
-        else:
-            pieces = self.cut.split(text)
+        letters = set(text)
+        if not unicodedata.is_normalized("NFC", text):
+            letters |= set(unicodedata.normalize("NFC", text))
+        if fresh := letters - self.tried:
+            self._try(fresh)
         out = []
-        for piece in pieces:
+        for piece in self.cut.split(text) if self.special else [text]:
             if piece in self.special:
                 out.append(array.array("i", [self.special[piece]]).tobytes())
-                continue
-            # Lower-casing goes letter by letter: a sigma doesn't depend on its place.
-            words = self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-            known = self.known
-            for word in set(words).difference(known):
-                if len(known) >= self.cache:
-                    known.clear()
-                    for w in set(words):
-                        known[w] = self._word(w)
-                    break
-                known[word] = self._word(word)
-            out += map(known.__getitem__, words)
+            elif letters.isdisjoint(self.odd):
+                known = self.runs.get
+                out += [known(run) or self._run(run) for run in self._prepared(piece).split()]
+            else:
+                out += map(self._symbol_ids, self._split(piece))
         return b"".join(out)
 
     def decode(self, ids) -> str:
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer, with the words it has met, per worker process and file, whichever task asks."""
+    import sys
+    import types
+
+    held = vars(sys.modules.setdefault("word_tokenizers_of_this_process", types.ModuleType("held")))
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
+
+
 def tokenize(docs: DataFrame, text: str, path: str, ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """Add the ``ids`` of every whole text (array of int) and, decoded from them, ``decoded``.
 
     A null text is read as empty; an empty text has no ids and decodes to the empty text;
     repeated rows get equal results; an empty table stays empty; a clash with a new name
-    raises; other columns are kept. Each task loads the file once; words seen are kept in a
-    bounded cache. ``path`` must be readable by the executors.
+    raises; other columns are kept. Each worker process loads the file once; words seen are kept in
+    a bounded cache. ``path`` must be readable by the executors.
     """
     new = [ids, *([decoded] if decoded else [])]
     if clash := {n.lower() for n in new} & {c.lower() for c in docs.columns}:
@@ -203,7 +266,7 @@ def tokenize(docs: DataFrame, text: str, path: str, ids: str = "ids", decoded: s
         import numpy as np
         import pyarrow as pa
 
-        tokenizer = WordTokenizer(path)
+        tokenizer = shared_tokenizer(path)
         for whole_batch in batches:
             for first in range(0, whole_batch.num_rows, 256):
                 batch = whole_batch.slice(first, 256)

@@ -27,6 +27,18 @@ def test_ids_and_decoding_equal_the_library():
         assert ours.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_treated_as_the_library_does():
+    ours, library = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    points = [p for p in (*range(0x32000), *range(0x32000, 0x110000, 97)) if not 0xD800 <= p < 0xE000]
+    # One text per point, so that no odd letter sends its neighbours the library's way.
+    texts = [f"ab{chr(p)}cd 1{chr(p)}2 {chr(p)}'s !{chr(p)}" for p in points]
+    for first in range(0, len(texts), 4096):
+        part = texts[first : first + 4096]
+        for text, want in zip(part, library.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(ours.encode(text), np.int32).tolist() == want.ids, text
+    assert len(ours.odd) < 0.05 * len(points)
+
+
 def plain_bpe(word, merges):
     parts = list(word)
     ranks = {pair: i for i, pair in enumerate(merges)}
