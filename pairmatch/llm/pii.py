@@ -25,7 +25,8 @@ from pairmatch.llm.common import fresh, publish, query, quoted, table, whole
 # repeats give nothing back, which changes no match here, as what follows can't start with what
 # they took. A match starts where its run of characters starts or where the last match ended
 # (inside a run that failed from its start, every later start fails too). A chain of fewer than
-# 12 digits is no card, so the repeat count skips it.
+# 12 digits is no card, so the repeat count skips it. Repeated groups are possessive throughout:
+# others recurse once per repeat, and a long value would exhaust a task's stack.
 LOCAL = r"[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
@@ -40,40 +41,45 @@ OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})(?:\.|$)){4}$"
 HINTS = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ssn|address|\bip\b|host)[^0-9A-Za-z]*$"
 CALLS = r"(?i)(?:tel|telephone|phone|call|fax|mobile?|cell)[^0-9A-Za-z]*$"
 #: A written-out address whose dots are written out too or stand without spaces, under a domain of letters.
-WRITTEN = rf"^{LOCAL}++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\.)[A-Za-z0-9-]++)*(?<=[)\]\x20.][A-Za-z]{{2,24}})$"
+WRITTEN = rf"^{LOCAL}++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\.)[A-Za-z0-9-]++)*+(?<=[)\]\x20.][A-Za-z]{{2,24}})$"
 CONTEXT = 16
 
 #: Features of a candidate and their number of values.
 FEATURES = {"kind": len(PATTERNS), "digits": 7, "breaks": 6, "left": 5, "right": 5, "hint": 2, "lead": 4, "other": 4, "dots": 4}
 
 
-def _sums_before(numbers: Column, block: int = 256) -> Column:
-    """Running sums of an array, each without its own number's successors (start included).
+def _running(values: Column, first: Column, step, block: int = 256) -> Column:
+    """The states of a fold over an array, one behind every element.
 
-    Sums run inside blocks and over the blocks' totals, so an array is never copied more
-    than the square root of its length asks for.
+    The fold runs inside blocks and hands its last state on, so an array under construction
+    is never copied more often than the square root of its length asks for.
     """
-
-    def running(values: Column, first: Column) -> Column:
-        return F.aggregate(
-            values,
-            F.array(first),
-            lambda got, x: F.concat(got, F.array(F.element_at(got, -1) + x)),
+    def inside(parts: Column, part: Column) -> Column:
+        ran = F.aggregate(
+            part,
+            F.array(F.element_at(F.element_at(parts, -1), -1)),
+            lambda got, x: F.concat(got, F.array(step(F.element_at(got, -1), x))),
         )
-
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")),
-        lambda b: F.slice(numbers, b * block + 1, F.lit(block)),
-    )
-    zero = F.lit(0).cast("long")
-    totals = F.transform(blocks, lambda part: F.aggregate(part, zero, lambda t, x: t + x))
-    firsts = running(totals, zero)
-    made = F.flatten(
-        F.transform(
-            blocks, lambda part, b: F.slice(running(part, F.get(firsts, b)), F.lit(2), F.greatest(F.size(part), F.lit(1)))
+        return F.concat(parts, F.array(F.slice(ran, F.lit(2), F.size(part))))
+
+    def ran(values: Column) -> Column:
+        count = F.ceil(F.size(values) / block).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+        made = F.aggregate(blocks, F.array(F.array(first)), inside)
+        return F.when(count > 0, F.flatten(F.slice(made, F.lit(2), count))).otherwise(
+            F.filter(F.array(first), lambda x: F.lit(False))
         )
-    )
-    return F.when(F.size(numbers) > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+    # Bound to a name by a transform of one element: an expression would be worked out per block.
+    return F.get(F.transform(F.array(values), ran), F.lit(0))
+
+
+def _start_points(values: Column, gaps: Column) -> Column:
+    """Where each match starts: the lengths of all gaps and matches before it."""
+    sizes = F.transform(values, lambda v: F.length(v).cast("long"))
+    between = F.transform(F.slice(gaps, F.lit(1), F.size(values)), lambda g: F.length(g).cast("long"))
+    ends = _running(F.zip_with(between, sizes, lambda g, v: g + v), F.lit(0).cast("long"), lambda at, x: at + x)
+    return F.zip_with(ends, sizes, lambda end, v: end - v)
 
 
 def _bucket(number: Column, edges: Sequence[int]) -> Column:
@@ -160,21 +166,11 @@ def candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.array_sort(F.concat(*parts))).select(*map(quoted, docs.columns), out)
 
 
-def _start_points(values: Column, gaps: Column) -> Column:
-    steps = F.transform(
-        values,
-        lambda v, i: (
-            F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(values, i - 1)), F.lit(0))
-        ).cast("long"),
-    )
-    return _sums_before(steps)
-
-
 def _described(rank: int, kind: str, values: Column, gaps: Column, starts: Column) -> Column:
-    def one(value: Column, i: Column) -> Column:
-        start = F.get(starts, i)
-        before = F.right(F.get(gaps, i), F.lit(CONTEXT))
-        after = F.left(F.get(gaps, i + 1), F.lit(1))
+    def one(match: Column) -> Column:
+        value, start = match["value"], match["start"]
+        before = F.right(match["before"], F.lit(CONTEXT))
+        after = F.left(match["after"], F.lit(1))
         digits = F.length(_digits(value))
         breaks = F.length(F.regexp_replace(value, r"[^\x20().-]", ""))
         first = F.left(value, F.lit(1))
@@ -207,11 +203,37 @@ def _described(rank: int, kind: str, values: Column, gaps: Column, starts: Colum
             ).alias("f"),
         )
 
-    return F.transform(values, one)
+    count = F.size(values)
+    # Zipped, not looked up inside the transform: an array read there may be worked out per match.
+    matches = F.arrays_zip(
+        values.alias("value"),
+        starts.alias("start"),
+        F.slice(gaps, F.lit(1), count).alias("before"),
+        F.slice(gaps, F.lit(2), count).alias("after"),
+    )
+    return F.transform(matches, one)
+
 
+def _crossed(spans: Column) -> Column:
+    """For every candidate, in order of starts, whether it lies over a confirmed one (not itself).
 
-def _overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+    A confirmed span that comes earlier overlaps if it ends behind the candidate's start, one
+    that comes later if it starts before the candidate's end; so the largest end so far and
+    the smallest start from the other side tell, in one pass each way.
+    """
+    never = F.lit((1 << 62)).cast("long")
+    ends = F.transform(spans, lambda s: F.when(s["sure"], s["end"]).otherwise(F.lit(-1).cast("long")))
+    starts = F.transform(spans, lambda s: F.when(s["sure"], s["start"]).otherwise(never))
+    reach = _running(ends, F.lit(-1).cast("long"), lambda most, x: F.greatest(most, x))
+    ahead = F.reverse(_running(F.reverse(starts), never, lambda least, x: F.least(least, x)))
+    count = F.size(spans)
+    rows = F.arrays_zip(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("s"),
+        F.slice(F.concat(F.array(F.lit(-1).cast("long")), reach), F.lit(1), count).alias("reach"),
+        F.slice(F.concat(ahead, F.array(never)), F.lit(2), count).alias("ahead"),
+    )
+    met = F.transform(rows, lambda r: (r["reach"] > r["s"]["start"]) | (r["ahead"] < r["s"]["end"]))
+    return F.when(count > 0, met).otherwise(F.array().cast("array<boolean>"))
 
 
 def counts(found: DataFrame, spans: str) -> list[tuple[tuple[int, ...], int, int, int]]:
@@ -222,14 +244,13 @@ def counts(found: DataFrame, spans: str) -> list[tuple[tuple[int, ...], int, int
     of the candidates, by a hash of the value, is the fold kept aside. The rows are bounded
     by the feature values (``FEATURES``) and summed before they are shuffled.
     """
-    every = F.col(spans)
-    sure = F.filter(every, lambda s: s["sure"])
     one = F.explode(
-        F.transform(
-            every,
-            lambda s: F.struct(
+        F.zip_with(
+            F.col(spans),
+            _crossed(F.col(spans)),
+            lambda s, crossed: F.struct(
                 s["f"].alias("f"),
-                (s["sure"] | s["seen"] | _overlaps(sure, s["start"], s["end"])).cast("int").alias("label"),
+                (s["sure"] | s["seen"] | crossed).cast("int").alias("label"),
                 (F.pmod(F.xxhash64(s["value"]), F.lit(4)) == 0).cast("int").alias("fold"),
             ),
         )
@@ -350,7 +371,7 @@ def select(found: DataFrame, spans: str, model: Trees, thresholds: dict[int, flo
     """Replace the candidates by ``out``: confirmed spans, and those over the threshold that lie
     over no confirmed span and no selected earlier one; (start, rank, end, name, value) in order."""
     every = F.col(spans)
-    sure = fresh(found.columns, "_sure")
+    picked = fresh(found.columns, "_picked")
 
     def limit_of(rank: Column) -> Column:
         return F.get(F.array(*[F.lit(float(thresholds[k])) for k in range(len(PATTERNS))]), rank)
@@ -361,21 +382,30 @@ def select(found: DataFrame, spans: str, model: Trees, thresholds: dict[int, flo
         kept = [s[n].alias(n) for n in ("start", "rank", "end")]
         return F.struct(*kept, name.alias("name"), s["value"].alias("value"))
 
-    df = found.withColumn(sure, F.filter(every, lambda s: s["sure"]))
-    more = F.filter(
-        every,
-        lambda s: ~s["sure"]
-        & (model.column(s["f"]) >= limit_of(s["rank"]))
-        & ~_overlaps(F.col(sure), s["start"], s["end"]),
+    scored = F.transform(
+        F.arrays_zip(every.alias("s"), _crossed(every).alias("crossed")),
+        lambda z: F.struct(
+            z["s"].alias("s"),
+            (
+                ~z["s"]["sure"] & ~z["crossed"] & (model.column(z["s"]["f"]) >= limit_of(z["s"]["rank"]))
+            ).alias("more"),
+        ),
     )
-    blank = F.filter(F.transform(F.col(sure), slim), lambda s: F.lit(False))
-    apart = F.aggregate(
-        F.transform(more, slim),
-        blank,
-        lambda got, s: F.when(_overlaps(got, s["start"], s["end"]), got).otherwise(F.concat(got, F.array(s))),
+    offered = F.filter(scored, lambda z: z["s"]["sure"] | z["more"])
+    df = found.withColumn(picked, offered)
+    # In order of starts, a further span is taken if the last one taken ended before it.
+    start = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(False).alias("taken"))
+    states = _running(
+        F.col(picked),
+        start,
+        lambda state, z: F.when(
+            z["more"] & (z["s"]["start"] >= state["end"]),
+            F.struct(z["s"]["end"].alias("end"), F.lit(True).alias("taken")),
+        ).otherwise(F.struct(state["end"].alias("end"), F.lit(False).alias("taken"))),
     )
-    chosen = F.array_sort(F.concat(F.transform(F.col(sure), slim), apart))
-    return df.withColumn(out, chosen).drop(sure, spans)
+    both = F.arrays_zip(F.col(picked).alias("z"), states.alias("state"))
+    kept = F.filter(both, lambda r: r["z"]["s"]["sure"] | r["state"]["taken"])
+    return df.withColumn(out, F.array_sort(F.transform(kept, lambda r: slim(r["z"]["s"])))).drop(picked, spans)
 
 
 def learn(found: DataFrame, spans: str, precision: float = 0.9) -> tuple[Trees, dict[int, float]]:
@@ -407,40 +437,49 @@ def detect(docs: DataFrame, text: str, out: str = "pii", carried: Sequence[str]
 def redact(docs: DataFrame, text: str, spans: str) -> DataFrame:
     """Put ``[KIND]`` in place of every span; spans that overlap become one, named by the first."""
     body, every = whole(quoted(text)), F.col(spans)
-    merged = fresh(docs.columns, "_merged")
-    joined = F.aggregate(
-        F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["name"].alias("name"))),
-        F.array().cast("array<struct<start:bigint,end:bigint,name:string>>"),
-        lambda got, s: F.when(
-            (F.size(got) > 0) & (F.get(got, F.size(got) - 1)["end"] > s["start"]),
-            F.concat(
-                F.slice(got, F.lit(1), F.size(got) - 1),
-                F.array(
-                    F.struct(
-                        F.get(got, F.size(got) - 1)["start"].alias("start"),
-                        F.greatest(F.get(got, F.size(got) - 1)["end"], s["end"]).alias("end"),
-                        F.get(got, F.size(got) - 1)["name"].alias("name"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(got, F.array(s))),
+    merged, parts = fresh(docs.columns, "_merged"), fresh(docs.columns, "_parts")
+    zero = F.lit(0).cast("long")
+    reach = _running(F.transform(every, lambda s: s["end"]), zero, lambda most, x: F.greatest(most, x))
+    rows = F.arrays_zip(
+        F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["name"].alias("name"))).alias("s"),
+        reach.alias("reach"),
+        F.slice(F.concat(F.array(zero), reach), F.lit(1), F.size(every)).alias("before"),
+        F.concat(
+            F.slice(F.transform(every, lambda s: s["start"]), F.lit(2), F.size(every)),
+            F.array(F.lit(1 << 62).cast("long")),
+        ).alias("next"),
+    )
+    # A merged span starts where nothing before reaches, and ends where nothing that follows begins before.
+    heads = F.filter(rows, lambda r: r["before"] <= r["s"]["start"])
+    tails = F.filter(rows, lambda r: r["reach"] <= r["next"])
+    joined = F.zip_with(
+        heads,
+        tails,
+        lambda h, t: F.struct(h["s"]["start"].alias("start"), t["reach"].alias("end"), h["s"]["name"].alias("name")),
     )
-    df = docs.withColumn(merged, F.when(F.size(every) > 0, joined))
-    spots = F.col(merged)
+    # Parts of a fixed length make every cut as cheap as its own size: a cut from a long text
+    # counts its characters from the start.
+    cut = 4096
+    df = docs.withColumns(
+        {
+            merged: F.when(F.size(every) > 0, joined),
+            parts: F.when(F.size(every) > 0, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{cut}}}"), F.lit(0))),
+        }
+    )
+    spots, held = F.col(merged), F.col(parts)
+
+    def between(first: Column, last: Column) -> Column:
+        """Characters ``first`` up to ``last`` of the text."""
+        own = F.floor(first / cut).cast("int")
+        near = F.slice(held, own + 1, F.floor(last / cut).cast("int") - own + 1)
+        return F.substring(F.array_join(near, ""), (first - own * cut + 1).cast("int"), (last - first).cast("int"))
+
+    ends = F.transform(spots, lambda s: s["end"])
     pieces = F.transform(
-        spots,
-        lambda s, i: F.concat(
-            F.substring(
-                body,
-                (F.coalesce(F.get(spots, i - 1)["end"], F.lit(0)) + 1).cast("int"),
-                (s["start"] - F.coalesce(F.get(spots, i - 1)["end"], F.lit(0))).cast("int"),
-            ),
-            F.lit("["),
-            F.upper(s["name"]),
-            F.lit("]"),
-        ),
+        F.arrays_zip(spots.alias("s"), F.slice(F.concat(F.array(zero), ends), F.lit(1), F.size(spots)).alias("from")),
+        lambda z: F.concat(between(z["from"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["name"]), F.lit("]")),
     )
-    tail = F.substring(body, (F.get(spots, F.size(spots) - 1)["end"] + 1).cast("int"), F.length(body))
+    tail = between(F.element_at(ends, -1), F.length(body).cast("long"))
     clean = F.when(spots.isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(quoted(text))
     names = [c for c in docs.columns if c not in (spans,)]
     return df.withColumn(text, clean).select(*map(quoted, names))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,65 @@ def test_written_out_addresses_and_national_phones_are_selected(spark):
     assert sum(got[i] == ["likely_spelt"] for i in range(300)) == 300
     assert sum(got[2000 + i] == ["likely_number"] for i in range(300)) == 300
     assert sum(bool(got[1000 + i]) for i in range(100)) + sum("likely_number" in got[3000 + i] for i in range(200)) < 10
+
+
+def plain_choice(spans, picked):
+    """Confirmed spans, and in order of starts those picked that lie over none of them and no earlier one."""
+    sure = [s for s in spans if s.sure]
+    over = lambda a, b: a.start < b.end and b.start < a.end
+    more = []
+    for s in spans:
+        if not s.sure and picked(s) and not any(over(s, o) for o in [*sure, *more]):
+            more.append(s)
+    names = [(s.start, s.end, s.name if s.sure else "likely_" + s.name) for s in [*sure, *more]]
+    return sorted(names, key=lambda n: n[:2]), names
+
+
+def test_selected_spans_and_redaction_equal_plain_loops(spark):
+    rng = random.Random(11)
+    letters = "0123456789" * 3 + "+-.() ()@ab"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(800)]
+    texts += [f"x@y.z {rng.randint(10**9, 10**15)} +1 (415) 555-{i:04d} é👍 " * rng.randint(1, 40) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = candidates(df, "text", "c").cache()
+    model, limits = learn(found, "c")
+    limits = {k: 0.02 for k in limits}
+    chosen = select(found.withColumn("kept", F.col("c")), "c", model, limits, "pii")
+    clean = {r.doc_id: r.text for r in redact(chosen.select("doc_id", "text", "pii"), "text", "pii").collect()}
+    some = 0
+    for r in chosen.collect():
+        want = plain_choice(r.kept, lambda s: model.score(tuple(s.f)) >= limits[s.rank])[1]
+        assert sorted((s.start, s.end, s.name) for s in r.pii) == sorted(want)
+        some += sum(name.startswith("likely_") for _, _, name in want)
+        merged = []
+        for s in r.pii:
+            if merged and s.start < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s.end)
+            else:
+                merged.append([s.start, s.end, s.name])
+        out, at = "", 0
+        for a, b, name in merged:
+            out, at = out + r.text[at:a] + f"[{name.upper()}]", b
+        assert clean[r.doc_id] == out + r.text[at:]
+    assert some > 100
+    found.unpersist()
+
+
+LONG = {
+    "dots": "a (at) b" + " (dot) c" * 100_000,
+    "addresses": "x@y.z " * 100_000,
+    "digits": "1" * 200_000,
+    "apart": "1 " * 100_000,
+    "signs": "+1" * 100_000,
+    "mixed": "call +1 415 555 2671 or a (at) b (dot) com " * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_linear_time(spark, name):
+    df = spark.createDataFrame([(1, LONG[name]), (2, "mail a@b.c")], "doc_id long, text string")
+    started = time.perf_counter()
+    got = {r.doc_id: r for r in summary(detect(df, "text", "pii", ["doc_id"]), "doc_id").collect()}
+    assert got[2].n_email == 1
+    clean = redact(detect(df, "text", "pii"), "text", "pii").collect()
+    assert clean[1].text == "mail [EMAIL]" and time.perf_counter() - started < 60
