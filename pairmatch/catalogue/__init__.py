@@ -8,6 +8,7 @@ from pairmatch.catalogue import (  # noqa: F401
     quality,
     sampling,
     split,
+    storage,
     teacher,
     texts,
 )

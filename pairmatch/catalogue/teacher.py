@@ -30,7 +30,7 @@ from pairmatch.operators.scoring import (
     text_scorer,
 )
 from pairmatch.plans import ensemble as ENS
-from pairmatch.plans import evaluation
+from pairmatch.plans import calibration, evaluation
 from pairmatch.session import settle
 from pairmatch.sources import views
 
@@ -450,3 +450,39 @@ def ensemble_predict(spark, sf_dir):
     """All stages: length routes, inactive models, category blend, residual, post-blend."""
     whole = ENS.Ensemble(_MODELS, _BLEND, "raw_logit", _RESIDUAL, "evidence", _POST)
     return ENS.predict(views.human_pairs(spark, sf_dir), views.items(spark, sf_dir), whole)
+
+
+_JOB_VARIANTS_SQL = """variants AS (SELECT id1, id2, l.category, fit, y, teacher_probability AS raw,
+  1 / (1 + exp(-greatest(least(a.w * teacher_logit + a.b, 40), -40))) AS global_platt,
+  1 / (1 + exp(-greatest(least(coalesce(o.w, a.w) * teacher_logit + coalesce(o.b, a.b), 40), -40))) AS category_platt
+  FROM labelled l CROSS JOIN (SELECT w, b FROM s12 WHERE category = 'all') a
+  LEFT JOIN (SELECT * FROM s12 WHERE category <> 'all' AND w > 0) o ON o.category = l.category)"""
+
+
+@query(
+    views.with_views(
+        ["teacher"],
+        COMBINED_SQL,
+        """labelled AS (SELECT *, CASE WHEN target >= CAST(5 AS DOUBLE) / 9 THEN 1 ELSE 0 END AS y,
+  (id1 * 7 + id2) % 3 <> 0 AS fit FROM combined),
+grouped AS (SELECT category, teacher_logit AS x, y, 10 AS least FROM labelled WHERE fit
+  UNION ALL SELECT 'all', teacher_logit, y, 1 FROM labelled WHERE fit),
+cells AS (SELECT category, x, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS p,
+  CAST(count(*) FILTER (y = 0) AS DOUBLE) AS n FROM grouped GROUP BY category, x),
+fitted AS (SELECT category FROM grouped GROUP BY category
+  HAVING count(*) FILTER (y = 1) >= any_value(least) AND count(*) FILTER (y = 0) >= any_value(least))""",
+        *_newton_sql(),
+        _JOB_VARIANTS_SQL,
+        _CHOICE_SQL.replace("FROM variants)", "FROM variants WHERE NOT fit)"),
+        "best AS (SELECT variant FROM choice ORDER BY log_loss, brier, place LIMIT 1)",
+        query=f"""SELECT id1, id2, category, (SELECT variant FROM best) AS variant,
+        {real('''CAST(CASE (SELECT variant FROM best)
+        WHEN 'global_platt' THEN global_platt WHEN 'category_platt' THEN category_platt
+        ELSE raw END AS FLOAT)''', 'teacher_probability_calibrated')} FROM variants""",
+    )
+)
+def calibration_job(spark, sf_dir):
+    """Two thirds of the pairs fit the slopes, one third picks the variant, all get its probability."""
+    rows = _labelled_teacher(spark, sf_dir)
+    applied, _ = calibration.calibrate(rows, (F.col("id1") * 7 + F.col("id2")) % 3 != 0)
+    return applied.select("id1", "id2", "category", "variant", "teacher_probability_calibrated")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.functions.numeric import logistic
+from pairmatch.functions.numeric import finite, logistic
 from pairmatch.operators.metrics import probability_report
 from pairmatch.session import settle
 
@@ -31,93 +30,100 @@ def platt_fit(
     minimum_class_rows: int = 0,
     regularisation: float = 1.0,
     rounds: int = 60,
-    maximum_groups: int = 1_000_000,
 ) -> DataFrame:
     """Logistic slope and intercept per group by Newton steps, all groups together.
 
-    Raises if a group has not converged after ``rounds``, or if there are more than
-    ``maximum_groups``: two parameters of each pass through the driver per round.
-
-    Minimises ``slope^2 / 2 + regularisation * sum(log loss)``. Equal (group, logit,
-    label) rows are merged once; a round is one aggregation over those cells, and only
-    the two parameters per group travel to the driver and back. A step that raises the
-    objective is halved. Groups short of either class are left out.
+    Minimises ``slope^2 / 2 + regularisation * sum(log loss)``. Equal (group, logit, label)
+    rows are merged once. The groups' points are a table: a round joins it to the cells, adds
+    up one row per group and moves the points; converged groups leave the rounds, and nothing
+    per group reaches the driver. A step that raises the objective is halved. Groups short of
+    either class are left out; one that has not converged after ``rounds``, or ends at a
+    non-finite point, fails.
     """
+    one = "_whole"
+    names = list(keys) or [one]
+    source = df if keys else df.withColumn(one, F.lit(0))
     cells = settle(
-        df.groupBy(*keys, F.col(logit).cast("double").alias("_x"))
-        .agg(
+        source.groupBy(*names, F.col(logit).cast("double").alias("_x")).agg(
             F.count_if(F.col(target) == 1).cast("double").alias("_pos"),
             F.count_if(F.col(target) == 0).cast("double").alias("_neg"),
         )
     )
-    sizes = cells.groupBy(*keys).agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))
     needed = max(1, minimum_class_rows)
-    kept = sizes.where((F.col("p") >= needed) & (F.col("n") >= needed))
-    groups = [tuple(r[k] for k in keys) for r in kept.limit(maximum_groups + 1).collect()]
-    if len(groups) > maximum_groups:
-        raise ValueError(f"more than maximum_groups={maximum_groups} groups to calibrate")
-    spark = df.sparkSession
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    head = [f"{k} {types[k]}" for k in keys]
-    # Per group: current point, accepted point, its objective and Newton step.
-    state = {g: {"at": (0.0, 0.0), "best": None, "done": False} for g in groups}
+    sizes = cells.groupBy(*names).agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))
+    none = F.lit(None).cast("double")
+    zero = F.lit(0.0)
+    state = settle(
+        sizes.where((F.col("p") >= needed) & (F.col("n") >= needed)).select(
+            *names,
+            *[zero.alias(c) for c in ("_w", "_b")],
+            *[none.alias(c) for c in ("_best_w", "_best_b", "_best")],
+            F.lit(False).alias("_done"),
+        )
+    )
     for _ in range(rounds):
-        live = [(*g, *s["at"]) for g, s in state.items() if not s["done"]]
-        if not live:
+        live = state.where(~F.col("_done"))
+        if live.isEmpty():
             break
-        points = spark.createDataFrame(live, ", ".join([*head, "_w double", "_b double"]))
-        rows = (
-            cells.join(points, list(keys))
-            if keys
-            else cells.withColumn("_w", F.lit(live[0][0])).withColumn("_b", F.lit(live[0][1]))
-        )
-        z = F.col("_w") * F.col("_x") + F.col("_b")
-        p = 1.0 / (1.0 + F.exp(-z))
-        weight = F.col("_pos") + F.col("_neg")
-        # log(1 + e^-z) and log(1 + e^z) without overflow.
-        low = F.log1p(F.exp(-F.abs(z)))
-        loss = F.col("_pos") * (low + F.greatest(-z, F.lit(0.0))) + F.col("_neg") * (
-            low + F.greatest(z, F.lit(0.0))
-        )
-        residual = weight * p - F.col("_pos")
-        curve = weight * p * (1.0 - p)
-        sums = rows.groupBy(*keys).agg(
-            F.sum(loss).alias("loss"),
-            F.sum(residual * F.col("_x")).alias("gw"),
-            F.sum(residual).alias("gb"),
-            F.sum(curve * F.col("_x") * F.col("_x")).alias("hww"),
-            F.sum(curve * F.col("_x")).alias("hwb"),
-            F.sum(curve).alias("hbb"),
-        )
-        for row in sums.collect():
-            one = state[tuple(row[k] for k in keys)]
-            w, b = one["at"]
-            c = regularisation
-            objective = 0.5 * w * w + c * row["loss"]
-            best = one["best"]
-            if best is not None and objective > best["objective"] + 1e-12 * abs(best["objective"]):
-                bw, bb = best["at"]
-                one["at"] = ((w + bw) / 2.0, (b + bb) / 2.0)
-                one["done"] = max(abs(w - bw), abs(b - bb)) < 1e-12
-                if one["done"]:
-                    one["at"] = best["at"]
-                continue
-            one["best"] = {"at": (w, b), "objective": objective}
-            gw, gb = w + c * row["gw"], c * row["gb"]
-            hww, hwb, hbb = 1.0 + c * row["hww"], c * row["hwb"], c * row["hbb"]
-            det = hww * hbb - hwb * hwb
-            if max(abs(gw), abs(gb)) < 1e-10 or det <= 0.0:
-                one["done"] = True
-                continue
-            one["at"] = (w - (hbb * gw - hwb * gb) / det, b - (hww * gb - hwb * gw) / det)
-    open_groups = [g for g, s in state.items() if not s["done"]]
+        moved = _newton_step(live, cells, names, regularisation)
+        state = settle(state.where("_done").unionByName(moved))
+    open_groups = state.where(~F.col("_done")).count()
     if open_groups:
-        raise RuntimeError(f"{len(open_groups)} calibrations did not converge in {rounds} rounds")
-    fitted = [(*g, *(s["best"] or {"at": s["at"]})["at"]) for g, s in state.items()]
-    if any(not math.isfinite(v) for row in fitted for v in row[len(keys):]):
+        raise RuntimeError(f"{open_groups} calibrations did not converge in {rounds} rounds")
+    fitted = state.select(
+        *keys,
+        F.coalesce("_best_w", "_w").alias("coefficient"),
+        F.coalesce("_best_b", "_b").alias("intercept"),
+    )
+    if not fitted.where(~(finite(F.col("coefficient")) & finite(F.col("intercept")))).isEmpty():
         raise RuntimeError("calibration produced a non-finite parameter")
-    return spark.createDataFrame(
-        fitted, ", ".join([*head, "coefficient double", "intercept double"])
+    return fitted
+
+
+def _newton_step(live: DataFrame, cells: DataFrame, names: Sequence[str], c: float) -> DataFrame:
+    """The state of the live groups after one step from ``_w, _b``, the best point seen beside it."""
+    rows = cells.join(live.select(*names, "_w", "_b"), list(names))
+    z = F.col("_w") * F.col("_x") + F.col("_b")
+    p = 1.0 / (1.0 + F.exp(-z))
+    weight = F.col("_pos") + F.col("_neg")
+    # log(1 + e^-z) and log(1 + e^z) without overflow.
+    low = F.log1p(F.exp(-F.abs(z)))
+    loss = F.col("_pos") * (low + F.greatest(-z, F.lit(0.0))) + F.col("_neg") * (low + F.greatest(z, F.lit(0.0)))
+    residual, curve = weight * p - F.col("_pos"), weight * p * (1.0 - p)
+    sums = rows.groupBy(*names).agg(
+        F.sum(loss).alias("_loss"),
+        F.sum(residual * F.col("_x")).alias("_gw"),
+        F.sum(residual).alias("_gb"),
+        F.sum(curve * F.col("_x") * F.col("_x")).alias("_hww"),
+        F.sum(curve * F.col("_x")).alias("_hwb"),
+        F.sum(curve).alias("_hbb"),
+    )
+    w, b, bw, bb = (F.col(n) for n in ("_w", "_b", "_best_w", "_best_b"))
+    stepped = live.join(sums, list(names)).withColumns(
+        {
+            "_objective": 0.5 * w * w + c * F.col("_loss"),
+            "_gw": w + c * F.col("_gw"),
+            "_gb": c * F.col("_gb"),
+            "_hww": 1.0 + c * F.col("_hww"),
+            "_hwb": c * F.col("_hwb"),
+            "_hbb": c * F.col("_hbb"),
+        }
+    )
+    gw, gb, hww, hwb, hbb = (F.col(n) for n in ("_gw", "_gb", "_hww", "_hwb", "_hbb"))
+    det = hww * hbb - hwb * hwb
+    best = F.col("_best")
+    worse = best.isNotNull() & (F.col("_objective") > best + 1e-12 * F.abs(best))
+    # Halved back to where the best point is: nothing is left to gain.
+    met = F.greatest(F.abs(w - bw), F.abs(b - bb)) < 1e-12
+    flat = (F.greatest(F.abs(gw), F.abs(gb)) < 1e-10) | (det <= 0.0)
+    return stepped.select(
+        *names,
+        F.when(worse, F.when(met, bw).otherwise((w + bw) / 2.0)).when(flat, w).otherwise(w - (hbb * gw - hwb * gb) / det).alias("_w"),
+        F.when(worse, F.when(met, bb).otherwise((b + bb) / 2.0)).when(flat, b).otherwise(b - (hww * gb - hwb * gw) / det).alias("_b"),
+        F.when(worse, bw).otherwise(w).alias("_best_w"),
+        F.when(worse, bb).otherwise(b).alias("_best_b"),
+        F.when(worse, best).otherwise(F.col("_objective")).alias("_best"),
+        F.when(worse, met).otherwise(flat).alias("_done"),
     )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import seeded_hash
 from pairmatch.functions.numeric import corrected_target, target_stratum
-from pairmatch.operators.ranking import ordinal, percentile_ranks
-from pairmatch.session import settle
+from pairmatch.operators.ranking import first_rows, percentile_ranks
+from pairmatch.session import publish, settle
 
 
 def category_quotas(
@@ -78,20 +78,18 @@ def take_quota(
     if short not in ("raise", "allow"):
         raise ValueError(f"unknown way with short quotas: {short}")
     asked = _complete(df, quotas) if short == "raise" else quotas.select("category", "quota")
-    numbered = ordinal(df, ["category"], order, "_position")
-    kept = numbered.join(asked, "category").where(
-        F.col("_position") <= F.col("quota")
-    )
-    return kept.select(*df.columns, *([F.col("_position").alias(out)] if out else []))
+    kept = first_rows(df, ["category"], asked, order, out or "_position")
+    return kept.select(*df.columns, *([out] if out else []))
 
 
 def first_per_group(
     df: DataFrame, keys: Sequence[str], rows: int, order: Sequence[Column]
 ) -> DataFrame:
-    """A fixed number of rows per group, numbered in value ranges whatever the number."""
+    """A fixed number of rows per group: a cut per group first, then only its rows are sorted."""
     if rows < 1:
         raise ValueError("rows must be positive")
-    return ordinal(df, keys, order, "_at").where(F.col("_at") <= rows).select(*df.columns)
+    quotas = df.select(*keys).distinct().withColumn("quota", F.lit(rows).cast("bigint"))
+    return first_rows(df, keys, quotas, order, "_at").select(*df.columns)
 
 
 def balanced_sample(
@@ -125,9 +123,13 @@ def candidate_pool(
         .otherwise(F.abs(F.col("target") - 0.5))
     )
     labelled = joined.withColumn("candidate_stratum", target_stratum(F.col("target")))
-    in_stratum = ordinal(
-        settle(labelled),
+    asked = _complete(joined, quotas) if short == "raise" else quotas.select("category", "quota")
+    strata = F.explode(F.array(*[F.lit(i) for i in range(3)]))
+    # A row behind its quota inside one stratum cannot make the category's quota.
+    eligible = first_rows(
+        labelled,
         ["category", "candidate_stratum"],
+        asked.withColumn("candidate_stratum", strata),
         [urgency.isNull(), F.coalesce(urgency, F.lit(0.0)), pair_hash(0), F.col("id1"), F.col("id2")],
         "stratum_row",
     )
@@ -138,12 +140,8 @@ def candidate_pool(
         F.col("id1"),
         F.col("id2"),
     ]
-    asked = _complete(joined, quotas) if short == "raise" else quotas.select("category", "quota")
-    # A row behind its quota inside one stratum cannot make the category's quota.
-    eligible = in_stratum.join(asked, "category").where(
-        F.col("stratum_row") <= F.col("quota")
-    )
-    pool = take_quota(settle(eligible.drop("quota")), quotas, order, short="allow")
+    # At most three quotas of rows are left; the round robin numbers those.
+    pool = take_quota(publish(eligible), quotas, order, short="allow")
     return pool.drop("stratum_row")
 
 

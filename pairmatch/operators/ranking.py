@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmatch.session import publish, shuffle_width
+from pairmatch.session import publish, settle, shuffle_width
 
 _SLOT = "_slot"
 _ORDER = "_order"
@@ -221,6 +221,111 @@ def ordinal(
     )
 
 
+#: Shares of a group whose values are tried as its cut, and the accuracy of the sketch they come from.
+_SHARES = tuple(min(1.0, 0.0002 * 1.3**i) for i in range(34))
+_ACCURACY = 10_000
+
+
+def _leading_numbers(order: Sequence[Column], df: DataFrame) -> list[Column]:
+    """The leading order columns as doubles that never fall where the column rises."""
+    out = []
+    for column, field in zip(order, df.select(*order).schema.fields):
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            out.append(F.when(F.isnan(column), F.lit(float("inf"))).otherwise(column.cast("double")))
+        elif isinstance(field.dataType, (T.IntegralType, T.DecimalType, T.BooleanType)):
+            out.append(column.cast("double"))
+        else:
+            break
+    return out
+
+
+def _under(cuts: Sequence[str], names: Sequence[str]) -> Column:
+    """Rows up to the cut, compared letter by letter; a null cut cuts nothing, null values come first."""
+    fits = F.lit(True)
+    for cut, name in reversed(list(zip(cuts, names))):
+        value, limit = F.col(name), F.col(cut)
+        fits = limit.isNull() | value.isNull() | (value < limit) | ((value == limit) & fits)
+    return fits
+
+
+def _cuts(narrow: DataFrame, keys: Sequence[str], names: Sequence[str], quotas: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``keys, quota`` and a cut per order column: at least ``quota`` rows of the group lie under it.
+
+    A sketch of the leading column per group gives a value just above the quota, and a count
+    tells how many rows that keeps. Where equal values keep far more than asked for, the next
+    column cuts among those. A sketch that kept too few is no cut.
+    """
+    bounds = settle(quotas.select(*keys, "quota", F.col("quota").alias("_rest"), F.lit(True).alias("_loose")))
+    shares = F.array(*[F.lit(x) for x in _SHARES])
+    cuts: list[str] = []
+    for level, name in enumerate(names):
+        tied = narrow.join(bounds, list(keys)).where("_loose")
+        for cut, own in zip(cuts, names):
+            tied = tied.where(F.col(own) == F.col(cut))
+        tried = F.arrays_zip(shares.alias("share"), F.col("_values").alias("value"))
+        least = F.greatest(F.col("_rest"), F.lit(1)) / F.col("_n") + F.lit(2.0 / _ACCURACY)
+        found = (
+            tied.groupBy(*keys, "_rest")
+            .agg(F.count(name).alias("_n"), F.percentile_approx(name, list(_SHARES), _ACCURACY).alias("_values"))
+            .select(*keys, F.get(F.filter(tried, lambda z: z["share"] >= least), F.lit(0))["value"].alias("_found"))
+        )
+        cuts.append(f"_cut{level}")
+        bounds = bounds.join(found, list(keys), "left").withColumnRenamed("_found", cuts[-1])
+        last, own = F.col(cuts[-1]), F.col(name)
+        equal = F.lit(True)
+        for cut, other in zip(cuts[:-1], names):
+            equal = equal & F.col(other).eqNullSafe(F.col(cut))
+        counted = (
+            narrow.join(bounds, list(keys))
+            .groupBy(*keys)
+            .agg(
+                F.count(F.lit(1)).alias("_rows"),
+                F.count_if(_under(cuts, names)).alias("_kept"),
+                F.count_if(equal & (own == last)).alias("_ties"),
+            )
+        )
+        short = F.col("_kept") < F.least(F.col("quota"), F.col("_rows"))
+        slack = F.col("quota") * 2 + F.col("_rows") / 500
+        bounds = settle(
+            bounds.join(counted, list(keys), "left").select(
+                *keys,
+                "quota",
+                *cuts[:-1],
+                F.when(short, F.lit(None)).otherwise(last).alias(cuts[-1]),
+                # What the ties at the cut have to give: all that the rows before them don't.
+                (F.col("quota") - F.col("_kept") + F.col("_ties")).alias("_rest"),
+                (F.col("_loose") & ~short & last.isNotNull() & (F.col("_kept") > slack)).alias("_loose"),
+            )
+        )
+        if level + 1 == len(names) or bounds.where("_loose").isEmpty():
+            break
+    return bounds.drop("_rest", "_loose"), cuts
+
+
+def first_rows(
+    df: DataFrame, keys: Sequence[str], quotas: DataFrame, order: Sequence[Column], out: str
+) -> DataFrame:
+    """The first ``quota`` rows of every group of ``quotas(keys, quota)``, numbered from 1 as ``out``.
+
+    Only the order columns are read to find a cut for every group; the rows under the cuts,
+    little more than asked for, are the ones that are shuffled and sorted. Groups without a
+    quota have no rows; a null key fails the job; order columns must break every tie.
+    """
+    # Rows without a key would get lost in the joins on it.
+    df = with_required(df, keys)
+    numbers = _leading_numbers(order, df)
+    if not numbers:
+        every = ordinal(df.join(quotas.select(*keys, "quota"), list(keys)), keys, order, out)
+        return every.where(F.col(out) <= F.col("quota")).select(*[f"`{c}`" for c in df.columns], out)
+    names = [f"{_ORDER}{i}" for i in range(len(numbers))]
+    narrow = publish(df.select(*keys, *[c.alias(n) for c, n in zip(numbers, names)]))
+    bounds, cuts = _cuts(narrow, keys, names, quotas)
+    kept = df.withColumns(dict(zip(names, numbers))).join(bounds, list(keys)).where(_under(cuts, names))
+    kept = publish(kept.select(*[f"`{c}`" for c in df.columns], "quota"))
+    numbered = ordinal(kept, keys, order, out).where(F.col(out) <= F.col("quota"))
+    return numbered.select(*[f"`{c}`" for c in df.columns], out)
+
+
 def rank_table(
     df: DataFrame, keys: Sequence[str], value: str, rank: str, rows: str | None = None
 ) -> DataFrame:
@@ -262,3 +367,46 @@ def percentile_ranks(
             share = F.col("_rank") / (F.col("_size") + F.lit(1.0))
         ranked = ranked.join(table.select(*keys, value, share.alias(out)), [*keys, value])
     return ranked.select(*df.columns, *outs.values())
+
+
+def quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    parts: Mapping[str, tuple[Column, float]],
+    counts: Mapping[str, str],
+) -> DataFrame:
+    """``keys`` with an exact quantile per part, and the part's rows under its name in ``counts``.
+
+    A part is a row mask and a share; between two values the quantile is linear. It is found as
+    an order statistic: running counts over the distinct values, dealt by ranges, tell which
+    values the two ranks beside it fall on, so no task holds a group. Null values count as rows only.
+    """
+    shares = {name: share for name, (_, share) in parts.items()}
+    masks = df.select(
+        *keys, F.col(value).alias("_value"), *[F.coalesce(m, F.lit(False)).alias(f"_in_{n}") for n, (m, _) in parts.items()]
+    )
+    cells = masks.groupBy(*keys, "_value").agg(
+        *[F.count_if(f"_in_{n}").alias(f"_all_{n}") for n in parts],
+        *[F.count_if(F.col(f"_in_{n}") & F.col("_value").isNotNull()).alias(f"_n_{n}") for n in parts],
+    )
+    ran = running_sums(cells, keys, F.col("_value"), [f"_n_{n}" for n in parts])
+
+    def at(name: str, place: Column) -> Column:
+        """The value whose rows cover the place, counted from 0."""
+        upto = F.col(f"_n_{name}_upto")
+        return F.max(F.when((upto - F.col(f"_n_{name}") <= place) & (place < upto), F.col("_value")))
+
+    def position(name: str) -> Column:
+        return (F.col(f"_n_{name}_total") - 1) * F.lit(shares[name])
+
+    found = ran.groupBy(*keys).agg(
+        *[at(n, F.floor(position(n))).alias(f"_low_{n}") for n in parts],
+        *[at(n, F.ceil(position(n))).alias(f"_high_{n}") for n in parts],
+        *[F.max(position(n) - F.floor(position(n))).alias(f"_part_{n}") for n in parts],
+        *[F.sum(f"_all_{n}").alias(counts[n]) for n in parts],
+    )
+    between = [
+        (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n) for n in parts
+    ]
+    return found.select(*keys, *between, *[counts[n] for n in parts])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.functions.numeric import finite, majority_positive
+from pairmatch.operators.ranking import quantiles
 from pairmatch.sources.tables import PAIR_KEYS
 
 
@@ -94,8 +95,8 @@ def hard_pair_thresholds(
 ) -> DataFrame:
     """Exact similarity quantiles of confident negatives and positives per category.
 
-    ``percentile`` keeps one counter per distinct value and merges partial maps, and the
-    similarity takes few distinct values, so no task holds a category's rows.
+    Rows without a similarity are counted as candidates and have no part in the quantiles; a
+    category without candidates of a kind has a null threshold.
     """
     if not 0.0 <= negative_target_max < positive_target_min <= 1.0:
         raise ValueError("need 0 <= negative_target_max < positive_target_min <= 1")
@@ -103,16 +104,15 @@ def hard_pair_thresholds(
         raise ValueError("quantiles must be inside (0, 1)")
     negative = F.col("target") <= negative_target_max
     positive = F.col("target") >= positive_target_min
-    value = F.col(similarity).cast("double")
-    return df.groupBy("category").agg(
-        F.percentile(F.when(negative, value), negative_quantile).alias(
-            "hard_negative_min_similarity"
-        ),
-        F.percentile(F.when(positive, value), positive_quantile).alias(
-            "hard_positive_max_similarity"
-        ),
-        F.count_if(negative).alias("negative_candidates"),
-        F.count_if(positive).alias("positive_candidates"),
+    return quantiles(
+        df.withColumn("_similarity", F.col(similarity).cast("double")),
+        ["category"],
+        "_similarity",
+        {
+            "hard_negative_min_similarity": (negative, negative_quantile),
+            "hard_positive_max_similarity": (positive, positive_quantile),
+        },
+        {"hard_negative_min_similarity": "negative_candidates", "hard_positive_max_similarity": "positive_candidates"},
     )
 
 

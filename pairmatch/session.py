@@ -26,7 +26,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``; a local session may pick its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -45,7 +45,7 @@ def settle(df: DataFrame) -> DataFrame:
     Used where a table feeds several later jobs (iterations, model fits) so that a
     lost executor re-reads files instead of replaying every earlier round.
     """
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -56,7 +56,7 @@ def publish(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

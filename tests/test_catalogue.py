@@ -11,6 +11,8 @@ from pairmatch.catalogue import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = (
+    "bucketed_pair_join", "footer_counts", "pruned_folds", "fold_contract", "ordered_predictions", "lineage_ranges",
+    "lineage_differences", "validated_scores", "calibration_job",
     "pair_join", "surface_similarity", "macro_average_precision", "metric_by_fold",
     "percentile_rank_fold", "hash_split", "contract_mismatch", "attribute_pairs",
     "blend_category", "mixed_replay", "apply_calibration",

@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import hash_slot, seeded_hash
-from pairmatch.operators import metrics
-from pairmatch.operators.ranking import average_ranks, ordinal, percentile_ranks, running_sums
+from pairmatch.operators import metrics, ranking
+from pairmatch.operators.ranking import average_ranks, first_rows, ordinal, percentile_ranks, quantiles, running_sums
 
 
 def brute_precision(target, score):
@@ -115,3 +115,61 @@ def test_result_does_not_depend_on_partitioning(skewed):
     for a, b in zip(once, again, strict=True):
         assert (a.rows, a.positives) == (b.rows, b.positives)
         assert a.average_precision == pytest.approx(b.average_precision, abs=1e-12)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 40, 100_000])
+def test_first_rows_are_those_of_a_full_sort(skewed, spark, rows):
+    data, df = skewed
+    quotas = df.select("k").distinct().withColumn("quota", F.lit(rows).cast("bigint"))
+    # The leading column has heavy ties, which the next one breaks.
+    order = [F.col("y"), -F.col("v"), F.col("id")]
+    got = first_rows(df, ["k"], quotas, order, "at").collect()
+    for group in {r[1] for r in data}:
+        want = sorted((r for r in data if r[1] == group), key=lambda r: (r[3], -r[2], r[0]))[:rows]
+        assert {r.id: r["at"] for r in got if r.k == group} == {r[0]: i + 1 for i, r in enumerate(want)}
+
+
+def test_first_rows_sort_little_more_than_the_quota(spark, monkeypatch):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("k"),
+        (F.xxhash64("id") % 1000).alias("tie"),
+        "id",
+    )
+    sorted_rows = []
+    inner = ranking.ordinal
+    monkeypatch.setattr(ranking, "ordinal", lambda df, *a, **k: sorted_rows.append(df.count()) or inner(df, *a, **k))
+    quotas = df.select("k").distinct().withColumn("quota", F.lit(50).cast("bigint"))
+    got = first_rows(df, ["k"], quotas, [F.lit(0), F.col("tie"), F.col("id")], "at")
+    assert got.groupBy("k").count().where("count <> 50").count() == 0
+    # 8 groups of 50; a plain cut of the heaviest group alone would sort two thirds of all rows.
+    assert sorted_rows[0] < 0.02 * 200_000
+    with pytest.raises(Exception, match="k is missing"):
+        first_rows(df.withColumn("k", F.when(F.col("id") > 5, F.col("k"))), ["k"], quotas, [F.col("id")], "at")
+
+
+def test_quantiles_of_distinct_doubles_ties_and_nulls(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a" if i % 3 else "b", float(v), bool(i % 5)) for i, v in enumerate(rng.standard_normal(3000))]
+    rows += [("a", 0.25, True)] * 400 + [("a", None, True), ("c", None, True), ("c", 1.5, False), ("d", 2.0, True)]
+    df = spark.createDataFrame(rows, "k string, v double, m boolean")
+    parts = {"low": (F.col("m"), 0.3), "all": (F.lit(True), 0.75)}
+    got = {r.k: r for r in quantiles(df, ["k"], "v", parts, {"low": "n", "all": "rows"}).collect()}
+    for group in "abcd":
+        for name, n, share, own in (
+            ("low", "n", 0.3, [r for r in rows if r[0] == group and r[2]]),
+            ("all", "rows", 0.75, [r for r in rows if r[0] == group]),
+        ):
+            values = [r[1] for r in own if r[1] is not None]
+            assert got[group][n] == len(own)
+            assert got[group][name] == (pytest.approx(np.quantile(values, share), abs=1e-12) if values else None)
+
+
+def test_numbering_deals_the_rows_by_one_range_shuffle(skewed, spark):
+    _, df = skewed
+    numbered = ordinal(df, ["k"], [F.col("v"), F.col("id")], "n")
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    # What is left above the numbered rows joins a table of borders to them; no window is over the rows.
+    assert plan.count("Window") == 1 and "_rows" in plan
+    for slots in (2, 64):
+        again = ordinal(df, ["k"], [F.col("v"), F.col("id")], "n", slots=slots)
+        assert len(again._jdf.queryExecution().optimizedPlan().toString().splitlines()) == len(plan.splitlines())
