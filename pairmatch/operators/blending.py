@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.operators.metrics import cohort_precision
-from pairmatch.operators.ranking import percentile_ranks
+from pairmatch.operators.ranking import percentile_ranks, with_required
 from pairmatch.session import shuffle_width
 
 # Two scores closer than this count as a tie in the weight search.
@@ -85,14 +85,16 @@ def blend_scores(
 ) -> DataFrame:
     """Weighted sum of raw scores or of category percentile ranks.
 
-    ``weights`` is one vector for all rows, or a table ``category, weights``.
+    ``weights`` is one vector for all rows, or a table ``category, weights``. A null or NaN
+    score fails the job in either form.
     """
     if len(scores) < 2:
         raise ValueError("a blend needs two score columns or more")
     if representation == "category_rank":
         source, features = rank_features(df, scores, ["category"]), [f"{s}_rank" for s in scores]
     elif representation == "raw_logit":
-        source, features = df, list(scores)
+        # A missing score would be a missing prediction; ranks refuse it too.
+        source, features = with_required(df, [], list(scores)), list(scores)
     else:
         raise ValueError(f"unsupported representation: {representation}")
     if isinstance(weights, DataFrame):

@@ -120,7 +120,7 @@ def validated_scores(
             F.lit(name).alias("_table"),
             (F.struct(*rest) if own else F.lit(None).cast(kept)).alias("_base"),
             (F.lit(None) if own else F.col(score)).cast("double").alias("_score"),
-            F.struct(*same).alias("_same"),
+            F.struct(F.lit(0).alias("_"), *same).alias("_same"),
         )
 
     stacked = side(base, "", True)

@@ -240,8 +240,27 @@ def eligible(by_category: DataFrame) -> DataFrame:
     )
 
 
-def challenge_report(by_category: DataFrame, keys: Sequence[str] = ("cohort",)) -> DataFrame:
-    """Macro average precision over eligible categories, and the excluded ones."""
+def challenge_report(
+    by_category: DataFrame, keys: Sequence[str] = ("cohort",), expected_categories: int | None = None
+) -> DataFrame:
+    """Macro average precision over eligible categories, and the excluded ones.
+
+    With ``expected_categories`` a cohort with another number of eligible ones fails the job.
+    """
+    report = _challenge_report(by_category, keys)
+    if expected_categories is None:
+        return report
+    wrong = F.raise_error(
+        F.concat(
+            F.lit("eligible categories: "), F.col("eligible_categories").cast("string"),
+            F.lit(f" instead of {expected_categories}, without "), F.col("excluded_categories"),
+        )
+    )
+    counted = F.when(F.col("eligible_categories") != expected_categories, wrong).otherwise(F.col("eligible_categories"))
+    return report.withColumn("eligible_categories", counted.cast("bigint"))
+
+
+def _challenge_report(by_category: DataFrame, keys: Sequence[str]) -> DataFrame:
     marked = eligible(by_category)
     return marked.groupBy(*keys).agg(
         F.avg(F.when(F.col("eligible"), F.col("average_precision"))).alias(

@@ -19,10 +19,21 @@ def category_quotas(
     """``category, quota``: a share for weak categories, the rest for the others.
 
     Each class splits its share evenly; the remainder goes to its first categories in
-    name order. The weak share rounds half to even.
+    name order. The weak share rounds half to even. Weak names that no category has, a class
+    without categories and fewer rows than categories in a class are refused: the quotas
+    would not add up to ``rows``, or leave a category without any.
     """
     if not 0.0 < weak_fraction < 1.0:
         raise ValueError("the weak fraction must be inside (0, 1)")
+    listed = F.col("category").isin(list(weak))
+    found = categories.select("category").distinct().agg(
+        F.count_if(listed).alias("weak"), F.count_if(~listed).alias("rest")
+    ).first()
+    if found["weak"] != len(set(weak)):
+        raise ValueError(f"{len(set(weak)) - found['weak']} weak categories are unknown")
+    for kind, share in (("weak", round(rows * weak_fraction)), ("rest", rows - round(rows * weak_fraction))):
+        if not 0 < found[kind] <= share:
+            raise ValueError(f"{share} rows for {found[kind]} categories ({kind})")
     weak_rows = round(rows * weak_fraction)
     names = categories.select("category").distinct()
     marked = names.withColumn("_weak", F.col("category").isin(list(weak)))
@@ -186,6 +197,11 @@ def disagreement_subset(
     return take_quota(settle(with_disagreement(df, first, second)), quotas, order, short=short)
 
 
+def _share(name: str) -> Column:
+    value = F.col(name)
+    return F.when(value.between(0.0, 1.0), value).otherwise(F.raise_error(F.lit(f"{name} is not in [0, 1]")))
+
+
 def corrected_replay(
     df: DataFrame,
     probability: str,
@@ -195,7 +211,11 @@ def corrected_replay(
     method: str = "md5",
     short: str = "raise",
 ) -> DataFrame:
-    """Pairs a confident teacher corrects most, with the corrected target."""
+    """Pairs a confident teacher corrects most, with the corrected target.
+
+    Targets and probabilities have to lie in [0, 1]; one outside, null or NaN fails the job.
+    """
+    df = df.withColumns({c: _share(c) for c in ("target", probability)})
     teacher = F.col(probability)
     prepared = (
         df.withColumn("teacher_probability_used", teacher)

@@ -8,8 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmatch.operators.metrics import STRESS, cohort_precision, spearman, stress_cohorts
-from pairmatch.session import settle, shuffle_width
+from pairmatch.operators.blending import blend_scores, rank_residual
+from pairmatch.operators.joins import validated_scores
+from pairmatch.operators.metrics import (
+    STRESS,
+    average_precision,
+    cohort_precision,
+    macro,
+    spearman,
+    stress_cohorts,
+)
+from pairmatch.session import publish, settle, shuffle_width
 from pairmatch.sources.tables import PAIR_KEYS
 
 ALL = "all"
@@ -30,6 +39,16 @@ class Gates:
     weight_range: float | None = None
 
 
+@dataclass(frozen=True)
+class Residual:
+    """One more component, mixed in by category rank inside the routed categories."""
+
+    component: str
+    categories: tuple[str, ...]
+    reference_weight: float
+    model_weight: float
+
+
 def report_cohorts(folds: Sequence[int], stress: bool = True) -> dict[str, Column]:
     """Everything, each fold, each stress slice."""
     cohorts = {ALL: F.lit(True)}
@@ -334,6 +353,44 @@ def parity(
     )
 
 
-def output_order(df: DataFrame) -> DataFrame:
-    """Stable order of a finished table, for sinks only."""
-    return df.orderBy("fold", *PAIR_KEYS)
+def check_record(rebuilt: DataFrame, records: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """``record, metric, rebuilt, matches``: recorded metrics against the one rebuilt from scores.
+
+    ``rebuilt(target, category, predict)`` has one row per pair, ``records(record, metric)``
+    come from elsewhere; a null or NaN metric matches nothing.
+    """
+    found = macro(average_precision(rebuilt, ["category"], "predict")).select("macro_average_precision")
+    compared = records.select("record", "metric", found.scalar().alias("rebuilt"))
+    near = F.abs(F.col("metric") - F.col("rebuilt")) <= tolerance
+    return compared.withColumn("matches", F.coalesce(near, F.lit(False)) & ~F.isnan("metric"))
+
+
+def shipped_parity(
+    shipped: DataFrame,
+    base: DataFrame,
+    components: Mapping[str, DataFrame],
+    weights: Sequence[float] | DataFrame,
+    residual: Residual | None = None,
+    **limits: float,
+) -> DataFrame:
+    """A shipped table against the blend recomputed from its components: differences and verdict.
+
+    ``base(id1, id2, category)`` names the pairs; ``shipped`` and every component hold
+    exactly those, once each, with finite scores in ``predict``, or the job fails. With
+    ``residual`` the routed categories mix ranks of the blend and of one more component.
+    """
+    tables = {"_shipped": shipped, **components}
+    joined = publish(validated_scores(base.select(*PAIR_KEYS, "category"), tables, same=()))
+    blended = blend_scores(joined, [c for c in components if residual is None or c != residual.component], weights, out="_blend")
+    expected = blended.withColumn("_expected", F.col("_blend"))
+    if residual is not None:
+        expected = rank_residual(
+            publish(blended), "_blend", residual.component, residual.categories,
+            residual.reference_weight, residual.model_weight, "_expected",
+        )
+    return parity(publish(expected), "_shipped", "_expected", **limits)
+
+
+def output_order(df: DataFrame) -> list[Column]:
+    """The order of a finished table, as the columns that an ordered sink deals it by."""
+    return [F.col(c) for c in (*(["fold"] if "fold" in df.columns else []), *PAIR_KEYS)]

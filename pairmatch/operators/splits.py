@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import hash_slot, seeded_hash
+from pairmatch.operators.audits import component_leakage, enforce
 from pairmatch.operators.graph import component_ids
 from pairmatch.operators.joins import with_category
 from pairmatch.operators.ranking import ordinal
@@ -107,8 +108,18 @@ def component_folds(
 def build_folds(
     pairs: DataFrame, items: DataFrame, folds: int = 5, seed: int = 2026, method: str = "md5"
 ) -> DataFrame:
-    """Pairs with category, component and fold, ready for the leakage audit."""
-    labelled = settle(component_ids(with_category(pairs, items)))
-    return component_folds(labelled, folds, seed, method=method).select(
-        "id1", "id2", "target", "category", "component_id", "fold"
+    """Pairs with category, component and fold.
+
+    Labels have to be 0 or 1, every item in one fold: both are checked, not assumed. A label
+    outside fails the job, a component in two folds raises.
+    """
+    label = F.col("target")
+    binary = F.when(label.isin(0, 1), label).otherwise(F.raise_error(F.lit("a label is neither 0 nor 1")))
+    labelled = settle(component_ids(with_category(pairs.withColumn("target", binary), items)))
+    folded = settle(
+        component_folds(labelled, folds, seed, method=method).select(
+            "id1", "id2", "target", "category", "component_id", "fold"
+        )
     )
+    enforce(component_leakage(folded), "fold_leaks")
+    return folded

@@ -62,10 +62,23 @@ def read_folds(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
     return read_parquet(spark, path, [*columns, "fold"])
 
 
+def write_records(df: DataFrame, path: str) -> None:
+    """A JSON file that holds one list of records, as the readers below take it.
+
+    For parameter tables: one row per category, model or record. The whole list is one value.
+    """
+    listed = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    listed.coalesce(1).write.text(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of the given schema from a JSON file of records."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """``category, weights`` from a JSON file of records."""
-    schema = "category string, weights array<double>"
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return read_records(spark, path, "category string, weights array<double>")
 
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
@@ -75,13 +88,12 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
         "hard_positive_max_similarity double, negative_candidates long, "
         "positive_candidates long"
     )
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return read_records(spark, path, schema)
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     """``category, coefficient, intercept`` from a JSON file of records."""
-    schema = "category string, coefficient double, intercept double"
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return read_records(spark, path, "category string, coefficient double, intercept double")
 
 
 def fold_filter(
