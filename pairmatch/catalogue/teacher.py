@@ -9,16 +9,17 @@ from pairmatch.catalogue.quality import _CHALLENGE_SQL
 from pairmatch.catalogue.registry import (
     STRESS_SQL,
     average_rank_sql,
+    hash_sql,
     precision_sql,
     query,
     real,
     spearman_sql,
 )
-from pairmatch.catalogue.sampling import COMBINED_SQL
+from pairmatch.catalogue.sampling import BATCH, COMBINED_SQL, SEED
 from pairmatch.catalogue.texts import ENTRIES_SQL, evidence_ctes, item_texts_sql
 from pairmatch.functions.numeric import logistic
+from pairmatch.operators import batches, learning, metrics, splits, summaries
 from pairmatch.operators import calibration as C
-from pairmatch.operators import learning, metrics, splits, summaries
 from pairmatch.operators.joins import with_category
 from pairmatch.operators.prompts import PromptTexts, teacher_prompts as build_prompts
 from pairmatch.operators.scoring import (
@@ -31,7 +32,7 @@ from pairmatch.operators.scoring import (
 )
 from pairmatch.plans import ensemble as ENS
 from pairmatch.plans import calibration, evaluation
-from pairmatch.session import settle
+from pairmatch.session import publish, settle
 from pairmatch.sources import views
 
 RULES = {
@@ -486,3 +487,34 @@ def calibration_job(spark, sf_dir):
     rows = _labelled_teacher(spark, sf_dir)
     applied, _ = calibration.calibrate(rows, (F.col("id1") * 7 + F.col("id2")) % 3 != 0)
     return applied.select("id1", "id2", "category", "variant", "teacher_probability_calibrated")
+
+
+_TEXT_CHUNK = 150
+_LENGTHS_SQL = f"""lengths AS (SELECT p.id1, p.id2, length(a.text) + length(b.text) AS size, (row_number() OVER (
+  ORDER BY {hash_sql(SEED, 'p.id1', 'p.id2')}, p.id1, p.id2) - 1) // {_TEXT_CHUNK} AS chunk
+  FROM soft_pairs p JOIN texts a ON a.id = p.id1 JOIN texts b ON b.id = p.id2)"""
+
+
+@query(
+    views.with_views(
+        ["soft_pairs"],
+        ENTRIES_SQL,
+        item_texts_sql(fixed.ATTRIBUTE_BUDGET),
+        _LENGTHS_SQL,
+        f"""sorted AS (SELECT id1, id2, chunk, size, row_number() OVER (PARTITION BY chunk
+  ORDER BY size, {hash_sql(SEED, 'id1', 'id2')}, id1, id2) - 1 AS place, count(*) OVER (PARTITION BY chunk) AS n
+  FROM lengths WHERE (id1 + chunk) % 5 <> 2)""",
+        "earlier AS (SELECT chunk, sum(count(*)) OVER (ORDER BY chunk) - count(*) AS b FROM sorted GROUP BY chunk)",
+        f"""gaps AS (SELECT s.*, b, least(({BATCH} - b % {BATCH}) % {BATCH}, n) AS needed FROM sorted s JOIN earlier USING (chunk))""",
+        """places AS (SELECT *, CAST(b + CASE WHEN place >= n - needed THEN place - (n - needed) ELSE place + needed END AS BIGINT) AS position
+  FROM gaps)""",
+        query=f"""SELECT id1, id2, CAST(size AS BIGINT) AS size, position // {BATCH} AS batch_id, position % {BATCH} AS batch_row,
+        {hash_sql(SEED, f'position // {BATCH}')} AS batch_order FROM places""",
+    )
+)
+def text_batches(spark, sf_dir):
+    """Batches of 64 by the length of both evidence texts, over chunks that a filter left of unequal size."""
+    rows = evidence_table(views.soft_pairs(spark, sf_dir), views.items(spark, sf_dir))
+    sized = publish(rows.select("id1", "id2", (F.length("left_text") + F.length("right_text")).alias("size")))
+    chunks = batches.read_chunks(sized, _TEXT_CHUNK, SEED).where((F.col("id1") + F.col("chunk")) % 5 != 2)
+    return batches.carried_batches(publish(chunks), BATCH, F.col("size"), SEED).drop("chunk")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import hash_slot, seeded_hash, unit_interval
-from pairmatch.operators.ranking import ordinal
+from pairmatch.operators.ranking import ordinal, running_sums
 from pairmatch.session import shuffle_width
 
 
@@ -206,6 +206,41 @@ def batch_ids(
     )
 
 
+def carried_batches(
+    chunked: DataFrame, batch_rows: int, length: Column, seed: int, keys: tuple[str, ...] = ("id1", "id2")
+) -> DataFrame:
+    """Exact-size batches of similar lengths over chunks of any size, with what is left handed on.
+
+    A chunk's rows are ordered by length. What the chunks before it left open is filled up with
+    its longest rows, its other rows make batches from the shortest on, and the rest waits for
+    the next chunk. A batch is always full, so the rows that wait before a chunk are the rows
+    before it modulo ``batch_rows``: running totals over the chunks place every row, and no
+    chunk has to wait for another. Only the last batch may be short. Adds ``batch_id``,
+    ``batch_row`` and ``batch_order``, which shuffles the batches.
+    """
+    if batch_rows < 1:
+        raise ValueError("batch_rows must be positive")
+    sizes = chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("_size"))
+    before = running_sums(sizes, [], F.col("chunk"), ["_size"], totals=False).select(
+        "chunk", "_size", (F.col("_size_upto") - F.col("_size")).alias("_before")
+    )
+    repeat = [F.col(c) for c in ("source", "copy") if c in chunked.columns]
+    inside = Window.partitionBy("chunk").orderBy(length, seeded_hash(seed, *keys), *keys, *repeat)
+    placed = chunked.withColumn("_at", F.row_number().over(inside) - 1).join(before, "chunk")
+    # Never more than the chunk has: a chunk too small to fill the open batch goes into it whole.
+    needed = F.least(F.pmod(-F.col("_before"), F.lit(batch_rows)), F.col("_size"))
+    rest = F.col("_size") - needed
+    position = F.col("_before") + F.when(F.col("_at") >= rest, F.col("_at") - rest).otherwise(F.col("_at") + needed)
+    numbered = placed.withColumn("_position", position)
+    batch = F.floor(F.col("_position") / F.lit(batch_rows))
+    return numbered.select(
+        *chunked.columns,
+        batch.alias("batch_id"),
+        (F.col("_position") % F.lit(batch_rows)).cast("int").alias("batch_row"),
+        seeded_hash(seed, batch).alias("batch_order"),
+    )
+
+
 def replay_share(rows: Column, fraction: float) -> Column:
     """Replay rows that make up ``fraction`` of a mixed batch, at least one."""
     if not 0.0 < fraction < 0.5:

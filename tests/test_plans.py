@@ -1,10 +1,11 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairmatch.operators import audits, learning, summaries
+from pairmatch.operators import audits, batches, learning, summaries
 from pairmatch.operators.scoring import evidence_scorer, text_scorer
 from pairmatch.plans import ensemble, evaluation, pair_tables
 from pairmatch.sources import tables
@@ -181,3 +182,34 @@ def test_lineage_verdict(spark, pairs):
     assert audits.lineage(prints(pairs), prints(pairs.repartition(7))).first().verified
     changed = pairs.withColumn("target", F.when(F.col("id1") == 250, 0.5).otherwise(F.col("target")))
     assert not audits.lineage(prints(changed), prints(pairs)).first().verified
+
+
+@pytest.mark.parametrize("sizes", [[10, 3, 0, 25, 1, 1, 1, 40], [5] * 7, [64], [2, 2]])
+def test_carried_batches_follow_a_sequential_reader(spark, sizes):
+    """The rows left open by a chunk wait for the longest rows of the next one."""
+    rows, rng = [], np.random.default_rng(len(sizes))
+    for chunk, n in enumerate(sizes):
+        rows += [(len(rows) + i, chunk, chunk, int(rng.integers(0, 50))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id1 long, id2 long, chunk long, size int")
+    got = batches.carried_batches(df, 8, F.col("size"), 4).collect()
+    made = {}
+    for r in got:
+        made.setdefault(r.batch_id, {})[r.batch_row] = r
+    by_chunk = {c: [r for r in got if r.chunk == c] for c in range(len(sizes))}
+    pending, want = [], []
+    for chunk in range(len(sizes)):
+        order = sorted(by_chunk[chunk], key=lambda r: r.size)
+        if pending:
+            needed = 8 - len(pending)
+            if len(order) < needed:
+                pending += [r.size for r in order]
+                continue
+            want.append(sorted(pending + [r.size for r in order[len(order) - needed :]]))
+            order, pending = order[: len(order) - needed], []
+        full = len(order) - len(order) % 8
+        want += [sorted(r.size for r in order[i : i + 8]) for i in range(0, full, 8)]
+        pending = [r.size for r in order[full:]]
+    if pending:
+        want.append(sorted(pending))
+    assert [sorted(r.size for r in made[b].values()) for b in sorted(made)] == want
+    assert all(sorted(m) == list(range(len(m))) for m in made.values())
