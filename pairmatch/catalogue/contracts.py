@@ -10,6 +10,7 @@ from pairmatch.functions.evidence import item_cards
 from pairmatch.functions.text import with_comparison_values, with_normalized
 from pairmatch.operators import audits, mining, summaries
 from pairmatch.plans.ensemble import request_contract
+from pairmatch.session import spread
 from pairmatch.sources import views
 
 # Five brand keys, a value over 96 and one over 512 characters, from the part table.
@@ -80,7 +81,7 @@ def unit_values(spark, sf_dir):
     rows = views.table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id", f"array({', '.join(_MEASURES)}) AS spelt"
     )
-    folded = rows.select("id", F.posexplode("spelt").alias("spelling", "value"))
+    folded = spread(rows).select("id", F.posexplode("spelt").alias("spelling", "value"))
     normal = with_normalized(folded, {"value": F.col("value")})
     compared = with_comparison_values(normal, "values", F.array("value"))
     return compared.select("id", "spelling", F.element_at("values", 1).alias("compared"))

@@ -11,6 +11,7 @@ from pairmatch.functions import evidence as E
 from pairmatch.functions import text as X
 from pairmatch.operators.joins import pair_cards
 from pairmatch.operators.scoring import evidence_table
+from pairmatch.session import spread
 from pairmatch.sources import views
 
 # The documents hold no composed or compatibility characters, so lower-casing and the
@@ -67,7 +68,7 @@ _STATE_SQL = """CASE WHEN attributes IS NULL OR attributes = '' THEN 'missing'
 
 
 def _parsed(spark, sf_dir):
-    return A.with_attributes(views.items(spark, sf_dir), F.col("attributes"))
+    return A.with_attributes(spread(views.items(spark, sf_dir)), F.col("attributes"))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from pairmatch import fixed_values as fixed
 from pairmatch.functions.text import fold_plain, fold_text, is_plain, with_normalized
+from pairmatch.session import spread
 
 # A number whose text a JSON reader might change: fractions, exponents, very long
 # integers, minus zero.
@@ -190,7 +191,7 @@ def with_item_text(
 ) -> DataFrame:
     """Add the item text of ``category, name, attributes``."""
     named = with_normalized(
-        items, {"_category": F.col("category"), "_name": F.col("name")}
+        spread(items), {"_category": F.col("category"), "_name": F.col("name")}
     )
     parsed = with_attributes(named, F.col("attributes"), "_state", "_attributes")
     text = item_text(F.col("_category"), F.col("_name"), F.col("_attributes"), budget)

@@ -16,6 +16,7 @@ from pairmatch.functions.text import (
     with_comparison_values,
     with_normalized,
 )
+from pairmatch.session import spread
 
 Groups = Mapping[str, Sequence[str]]
 
@@ -57,7 +58,7 @@ def item_cards(
     title = F.when(name == "", F.lit(fixed.MISSING_MARK)).otherwise(name)
     if title_characters is not None:
         title = F.left(title, F.lit(title_characters))
-    named = with_normalized(items, {"_name": F.col("name")})
+    named = with_normalized(spread(items), {"_name": F.col("name")})
     parsed = with_attributes(
         named, F.col("attributes"), "_state", "_attributes", value_characters=value_characters
     )

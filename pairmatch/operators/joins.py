@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.numeric import finite
 from pairmatch.functions.text import with_byte_similarity
+from pairmatch.session import unbroadcast
 from pairmatch.sources.tables import PAIR_KEYS
 
 ITEM_FIELDS = ("name", "attributes")
@@ -30,7 +31,7 @@ def pair_join(
         F.col("category").alias("right_category"),
         *[F.col(f).alias(f"right_{f}") for f in fields],
     )
-    joined = pairs.drop("category").join(left, "id1", how).join(right, "id2", how)
+    joined = pairs.drop("category").join(unbroadcast(left), "id1", how).join(unbroadcast(right), "id2", how)
     rest = [c for c in pairs.columns if c not in (*PAIR_KEYS, "category")]
     return joined.select(
         *PAIR_KEYS,
@@ -52,7 +53,7 @@ def pair_cards(pairs: DataFrame, cards: DataFrame, fields: Sequence[str]) -> Dat
     card = F.struct(*fields)
     left = cards.select(F.col("id").alias("id1"), "category", card.alias("left_card"))
     right = cards.select(F.col("id").alias("id2"), card.alias("right_card"))
-    return pairs.drop("category").join(left, "id1").join(right, "id2")
+    return pairs.drop("category").join(unbroadcast(left), "id1").join(unbroadcast(right), "id2")
 
 
 def unique_rows(df: DataFrame, keys: Sequence[str], fields: Sequence[str], what: str) -> DataFrame:
@@ -75,7 +76,7 @@ def with_category(pairs: DataFrame, items: DataFrame) -> DataFrame:
     An item with several rows fails the job where a pair asks for it.
     """
     lookup = unique_rows(items, ["id"], ["category"], "items").withColumnRenamed("id", "id1")
-    return pairs.join(lookup, "id1", "left").select(*pairs.columns, "category")
+    return pairs.join(unbroadcast(lookup), "id1", "left").select(*pairs.columns, "category")
 
 
 def join_scores(

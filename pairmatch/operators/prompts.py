@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairmatch import fixed_values as fixed
 from pairmatch.functions.attributes import item_text, with_attributes
 from pairmatch.functions.text import with_normalized
+from pairmatch.session import spread, unbroadcast
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ def teacher_prompts(
     if mode not in ("strict", "category_rules"):
         raise ValueError(f"unsupported prompt mode: {mode}")
     named = with_normalized(
-        items.select("id", "category", "name", "attributes"),
+        spread(items.select("id", "category", "name", "attributes")),
         {"_category": F.col("category"), "_name": F.col("name")},
     )
     parsed = with_attributes(named, F.col("attributes"), "_state", "_attributes")
@@ -51,7 +52,7 @@ def teacher_prompts(
     )
     left = cards.select(F.col("id").alias("id1"), "_category", F.col("text").alias("_left"))
     right = cards.select(F.col("id").alias("id2"), F.col("text").alias("_right"))
-    joined = pairs.select("id1", "id2").join(left, "id1").join(right, "id2")
+    joined = pairs.select("id1", "id2").join(unbroadcast(left), "id1").join(unbroadcast(right), "id2")
     rule = F.lit("")
     if mode == "category_rules":
         for category, text in (rules or {}).items():

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmatch.session import unbroadcast
+
 _ATTRIBUTES = """
 CASE WHEN p_partkey % 50 = 0 THEN NULL
      WHEN p_partkey % 50 = 1 THEN 'not-json'
@@ -74,7 +76,7 @@ def _neighbours(cards: DataFrame, parity: int, steps: Sequence[int], target: str
     right = cards.select(F.col("id").alias("id2"), F.col("name").alias("right_name"), "category")
     return (
         left.withColumn("id2", F.col("id1") + F.col("step"))
-        .join(right, ["id2", "category"])
+        .join(unbroadcast(right), ["id2", "category"])
         .selectExpr("id1", "id2", f"{target} AS target")
     )
 
@@ -110,7 +112,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = soft_pairs(spark, sf_dir).alias("p")
     cards = items(spark, sf_dir).select("id", "category")
-    return pairs.join(cards, F.col("id") == F.col("id1")).selectExpr(
+    return pairs.join(unbroadcast(cards), F.col("id") == F.col("id1")).selectExpr(
         "p.id1", "p.id2", "p.target", "category", *_columns(_TEACHER)
     )
 
