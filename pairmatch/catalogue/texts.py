@@ -11,7 +11,7 @@ from pairmatch.functions import evidence as E
 from pairmatch.functions import text as X
 from pairmatch.operators.joins import pair_cards
 from pairmatch.operators.scoring import evidence_table
-from pairmatch.session import spread
+from pairmatch.session import settle, spread
 from pairmatch.sources import views
 
 # The documents hold no composed or compatibility characters, so lower-casing and the
@@ -250,7 +250,8 @@ def evidence_ctes(pairs: str) -> tuple[str, ...]:
     )
 )
 def pair_evidence(spark, sf_dir):
-    cards = E.item_cards(views.items(spark, sf_dir))
+    # Both sides of every pair read the cards: parse the items once.
+    cards = settle(E.item_cards(views.items(spark, sf_dir)).select("id", "category", *E.CARD_FIELDS))
     joined = pair_cards(views.human_pairs(spark, sf_dir), cards, E.CARD_FIELDS)
     found = E.with_evidence(joined)
 

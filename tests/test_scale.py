@@ -49,3 +49,12 @@ def test_attributes_of_one_file_are_parsed_by_all_tasks(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     parsed = catalogue_texts._parsed(spark, str(tmp_path))
     assert parsed.select(F.spark_partition_id().alias("p")).distinct().count() == shuffle_width(spark)
+
+
+def test_pair_evidence_parses_every_item_once(spark, tmp_path):
+    rows = [(i, f"n {i % 3}", "Brand#1", "T", i) for i in range(40)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue_texts.pair_evidence(spark, str(tmp_path))
+    # The items were parsed before the joins, so neither side of a pair does it again.
+    assert "ArrowEvalPython" not in plan(found) and found.count() > 0
