@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmatch.session import publish, settle, shuffle_width
+from pairmatch.session import few_rows, publish, settle, shuffle_width
 
 _SLOT = "_slot"
 _ORDER = "_order"
@@ -198,7 +198,8 @@ def ordinal(
 
     The last order columns have to break every tie (a hash and the pair ids do). Pass
     ``slot`` when the order starts with a uniform hash: its leading bits already cut a
-    group into even ranges, and nothing is sampled or published.
+    group into even ranges, and nothing is sampled or published. ``slots`` is then the number of
+    tasks they are dealt to.
     """
     if slot is None:
         # Rows without a key are a group until they are read: the reader's job fails.
@@ -207,6 +208,8 @@ def ordinal(
         )
     prepared = with_required(df, keys)
     slotted = prepared.withColumn(_ORDER, F.struct(*order)).withColumn(_SLOT, slot)
+    if slots:
+        slotted = slotted.repartition(slots, *[F.col(f"`{k}`") for k in keys], _SLOT)
     totals = slotted.groupBy(*keys, _SLOT).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
         Window.partitionBy(*keys).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
@@ -259,7 +262,7 @@ def _cuts(narrow: DataFrame, keys: Sequence[str], names: Sequence[str], quotas:
     shares = F.array(*[F.lit(x) for x in _SHARES])
     cuts: list[str] = []
     for level, name in enumerate(names):
-        tied = narrow.join(bounds, list(keys)).where("_loose")
+        tied = narrow.join(few_rows(bounds), list(keys)).where("_loose")
         for cut, own in zip(cuts, names):
             tied = tied.where(F.col(own) == F.col(cut))
         tried = F.arrays_zip(shares.alias("share"), F.col("_values").alias("value"))
@@ -270,13 +273,13 @@ def _cuts(narrow: DataFrame, keys: Sequence[str], names: Sequence[str], quotas:
             .select(*keys, F.get(F.filter(tried, lambda z: z["share"] >= least), F.lit(0))["value"].alias("_found"))
         )
         cuts.append(f"_cut{level}")
-        bounds = bounds.join(found, list(keys), "left").withColumnRenamed("_found", cuts[-1])
+        bounds = settle(bounds.join(found, list(keys), "left").withColumnRenamed("_found", cuts[-1]))
         last, own = F.col(cuts[-1]), F.col(name)
         equal = F.lit(True)
         for cut, other in zip(cuts[:-1], names):
             equal = equal & F.col(other).eqNullSafe(F.col(cut))
         counted = (
-            narrow.join(bounds, list(keys))
+            narrow.join(few_rows(bounds), list(keys))
             .groupBy(*keys)
             .agg(
                 F.count(F.lit(1)).alias("_rows"),
@@ -320,7 +323,7 @@ def first_rows(
     names = [f"{_ORDER}{i}" for i in range(len(numbers))]
     narrow = publish(df.select(*keys, *[c.alias(n) for c, n in zip(numbers, names)]))
     bounds, cuts = _cuts(narrow, keys, names, quotas)
-    kept = df.withColumns(dict(zip(names, numbers))).join(bounds, list(keys)).where(_under(cuts, names))
+    kept = df.withColumns(dict(zip(names, numbers))).join(few_rows(bounds), list(keys)).where(_under(cuts, names))
     kept = publish(kept.select(*[f"`{c}`" for c in df.columns], "quota"))
     numbered = ordinal(kept, keys, order, out).where(F.col(out) <= F.col("quota"))
     return numbered.select(*[f"`{c}`" for c in df.columns], out)
