@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import hash_slot, seeded_hash, unit_interval
 from pairmatch.operators.ranking import ordinal, running_sums
-from pairmatch.session import shuffle_width
+from pairmatch.session import shuffle_width, task_count
 
 
 def swap_pairs(
@@ -47,20 +47,31 @@ def swap_pairs(
 def read_chunks(
     df: DataFrame, chunk_rows: int, seed: int, keys: tuple[str, ...] = ("id1", "id2")
 ) -> DataFrame:
-    """Deal shuffled rows into chunks of exactly ``chunk_rows``; the last may be short."""
+    """Deal shuffled rows into chunks of exactly ``chunk_rows``; the last may be short.
+
+    Rows are counted first: the more there are, the more tasks the slots and the chunks are
+    dealt to, so that no task sorts more rows as the table grows. Settle ``df`` before.
+    """
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be positive")
+    width = shuffle_width(df.sparkSession)
+    tasks = task_count(df.sparkSession, df.count())
+    grown = tasks > width
     hashed = df.withColumn("_hash", seeded_hash(seed, *keys))
     numbered = ordinal(
         hashed,
         [],
         [F.col("_hash"), *[F.col(k) for k in keys]],
         "_at",
-        slot=hash_slot(F.col("_hash"), shuffle_width(df.sparkSession)),
+        # Several slots to a task even out how many a hash of them gives it.
+        slot=hash_slot(F.col("_hash"), 8 * tasks if grown else width),
+        slots=tasks if grown else None,
     )
-    return numbered.select(
+    chunked = numbered.select(
         *df.columns, F.floor((F.col("_at") - 1) / F.lit(chunk_rows)).alias("chunk")
     )
+    # All windows over chunks read them as they are dealt here.
+    return chunked.repartition(tasks, "chunk") if grown else chunked
 
 
 def _half_even(value: Column) -> Column:
