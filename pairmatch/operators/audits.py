@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.hashing import seeded_hash
 from pairmatch.functions.numeric import finite
-from pairmatch.session import settle
+from pairmatch.session import settle, shuffle_width, task_count
 from pairmatch.sources.tables import PAIR_KEYS
 
 
@@ -44,13 +44,20 @@ def pair_table(pairs: DataFrame) -> DataFrame:
 
 
 def unknown_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs whose items are not in the item table, and the distinct ids concerned."""
-    known = items.select("id").distinct()
+    """Pairs whose items are not in the item table, and the distinct ids concerned.
+
+    The pairs are counted first: the more there are, the more tasks their ends are dealt to.
+    """
+    # Built per task from the items alone: the pairs' ends pass it without a sort.
+    known = items.select("id").distinct().hint("shuffle_hash")
     ends = pairs.select(F.explode(F.array(*PAIR_KEYS)).alias("id"))
-    absent = ends.join(known, "id", "left_anti")
+    tasks = task_count(pairs.sparkSession, 2 * pairs.count())
+    if tasks > shuffle_width(pairs.sparkSession):
+        ends = ends.repartition(tasks, "id")
+    absent = ends.join(known, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return absent.agg(
-        F.count(F.lit(1)).alias("missing_references"),
-        F.count_distinct("id").alias("missing_items"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("missing_references"),
+        F.count("id").alias("missing_items"),
     )
 
 
