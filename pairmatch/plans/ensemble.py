@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairmatch.operators import audits
 from pairmatch.operators.blending import blend_scores, rank_residual, with_length_route
 from pairmatch.operators.scoring import Scorer, evidence_table, score_pairs
-from pairmatch.session import settle
+from pairmatch.session import settle, unbroadcast
 
 CategoryWeights = Mapping[str, Sequence[float]]
 
@@ -95,9 +95,9 @@ def request_contract(pairs: DataFrame, items: DataFrame) -> DataFrame:
     ids = audits.item_table(items).select("null_ids", "duplicate_ids")
     known = items.where("id is not null").groupBy("id").agg(F.min("category").alias("category"))
     ends = pairs.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"))
-    joined = ends.join(
-        known.select(F.col("id").alias("id1"), F.lit(1).alias("l"), F.col("category").alias("cl")), "id1", "left"
-    ).join(known.select(F.col("id").alias("id2"), F.lit(1).alias("r"), F.col("category").alias("cr")), "id2", "left")
+    left = known.select(F.col("id").alias("id1"), F.lit(1).alias("l"), F.col("category").alias("cl"))
+    right = known.select(F.col("id").alias("id2"), F.lit(1).alias("r"), F.col("category").alias("cr"))
+    joined = ends.join(unbroadcast(left), "id1", "left").join(unbroadcast(right), "id2", "left")
     unknown = F.col("l").isNull() | F.col("r").isNull()
     rows = joined.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("requested_rows"),
@@ -129,12 +129,13 @@ def predict(pairs: DataFrame, items: DataFrame, ensemble: Ensemble) -> DataFrame
     texts = settle(evidence_table(request.distinct(), items))
     table = texts.select("id1", "id2", "category")
     for at, model in enumerate(ensemble.models):
-        table = table.join(_scores(texts, model, _active(ensemble, at)), ["id1", "id2"], "left")
+        scores = _scores(texts, model, _active(ensemble, at))
+        table = table.join(unbroadcast(scores), ["id1", "id2"], "left")
     names = [m.name for m in ensemble.models]
     if ensemble.residual is not None:
         model = ensemble.residual.model
         inside = F.col("category").isin(list(ensemble.residual.categories))
-        table = table.join(_scores(texts, model, inside), ["id1", "id2"], "left")
+        table = table.join(unbroadcast(_scores(texts, model, inside)), ["id1", "id2"], "left")
         names = [*names, model.name]
     # Scores feed several ranking passes: publish them once.
     table = settle(
@@ -162,4 +163,4 @@ def predict(pairs: DataFrame, items: DataFrame, ensemble: Ensemble) -> DataFrame
             _weight_rows(table, ensemble.post_blend_weights or {}),
             "category_rank",
         )
-    return request.join(blended.select("id1", "id2", "predict"), ["id1", "id2"])
+    return unbroadcast(request).join(unbroadcast(blended.select("id1", "id2", "predict")), ["id1", "id2"])

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from pairmatch.catalogue import texts as catalogue_texts
 from pairmatch.functions.evidence import item_cards
-from pairmatch.operators import joins, scoring
+from pairmatch.operators import audits, batches, joins, ranking, scoring
 from pairmatch.operators.prompts import teacher_prompts
-from pairmatch.session import settle, shuffle_width, spread
+from pairmatch.operators.ranking import first_rows
+from pairmatch.plans.ensemble import request_contract
+from pairmatch.session import few_rows, settle, shuffle_width, spread, task_count
 
 ITEM = "id long, category string, name string, attributes string"
 
@@ -58,3 +60,45 @@ def test_pair_evidence_parses_every_item_once(spark, tmp_path):
     found = catalogue_texts.pair_evidence(spark, str(tmp_path))
     # The items were parsed before the joins, so neither side of a pair does it again.
     assert "ArrowEvalPython" not in plan(found) and found.count() > 0
+
+
+def test_requests_are_checked_without_sending_items_through_the_driver(spark):
+    items = settle(items_of(spark))
+    pairs = settle(spark.createDataFrame([(i, i + 1) for i in range(30)], "id1 long, id2 long"))
+    checked = request_contract(pairs, items)
+    assert "BroadcastHashJoin" not in plan(checked)
+    assert checked.first()["requested_rows"] == 30 and checked.first()["unknown_item_rows"] == 0
+
+
+def test_parameters_of_few_groups_do_not_deal_rows_by_group(spark, monkeypatch):
+    few = settle(spark.createDataFrame([("a", 1), ("b", 2)], "category string, quota long"))
+    rows = settle(spark.range(1000).selectExpr("id", "if(id % 2 = 0, 'a', 'b') AS category"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(rows.join(few_rows(few), "category"))
+        assert "SortMergeJoin" in plan(rows.join(few_rows(few, 1), "category"))
+        # The rows under the cuts of a group are found without a sort of whole groups.
+        shown, kept = [], ranking.publish
+        monkeypatch.setattr(ranking, "publish", lambda df: (shown.append(plan(df)), kept(df))[1])
+        first_rows(rows, ["category"], few, [F.col("id")], "n")
+        assert "BroadcastHashJoin" in shown[1] and not any("SortMergeJoin" in s for s in shown)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_chunks_spread_over_more_tasks_as_rows_grow(spark, monkeypatch):
+    rows = settle(spark.range(2000).selectExpr("id AS id1", "id + 1 AS id2"))
+    small = {(r.id1, r.chunk) for r in batches.read_chunks(rows, 16, 3).collect()}
+    monkeypatch.setattr(batches, "task_count", lambda spark, n: task_count(spark, n, 50))
+    grown = batches.read_chunks(rows, 16, 3)
+    assert grown.rdd.getNumPartitions() == 40 == task_count(spark, 2000, 50)
+    assert {(r.id1, r.chunk) for r in grown.collect()} == small and len(small) == 2000
+
+
+def test_unknown_items_are_found_without_sorting_the_pairs(spark):
+    items = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    pairs = spark.createDataFrame([(1, 9), (9, 2), (None, 8), (7, None)], "id1 long, id2 long")
+    found = audits.unknown_items(settle(pairs), settle(items))
+    assert "Sort" not in plan(found)
+    assert found.collect() == [(6, 3)]
+    assert audits.unknown_items(pairs.limit(0), items).collect() == [(0, 0)]
