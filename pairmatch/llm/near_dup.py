@@ -9,9 +9,11 @@
    for pairs that only their sets of shingles link.
 3. Within the texts of one key, each is first paired with the smallest text of the key and
    of its refined key, which joins crowds of copies by n - 1 pairs. The texts of keys that
-   then still hold several classes are sorted by their samples, each key from a sample of its
-   own on, and cut into blocks of bounded size. Every two neighbouring blocks are compared
-   whole; only the links that join two classes leave them: fewer than their texts.
+   then still hold several classes are sorted by class and cut into blocks of bounded size.
+   Every two blocks of a key that hold several classes between them are compared whole; only
+   the links that join two classes leave them: fewer than their texts. A part of the keys is
+   taken first and with fewer comparisons, which joins most classes; then all keys that still
+   hold several are taken, with all comparisons.
 4. Pairs are verified on the whole texts and links are closed to classes.
 
 Equal texts are one text from the start, however often they occur.
@@ -48,11 +50,11 @@ class Plan:
     #: 0.8 a pair of 48 samples stays below it with a probability of 0.00001.
     agree: int = 26
     #: Texts of a block of an unresolved key, and their characters; two blocks are compared at once.
-    block: int = 1024
-    block_chars: int = 1 << 23
-    #: Texts of the largest class there that each text outside of it is compared with.
+    block: int = 512
+    block_chars: int = 1 << 22
+    #: Texts of the largest class there that each text outside of it is compared with, at first.
     nearest: int = 3
-    #: One in so many unresolved keys is taken first; the others start from the classes it gives.
+    #: One in so many unresolved keys is taken first; all keys then start from the classes it gives.
     ahead: int = 4
     #: Whether a pair is also linked by its sets of shingles alone.
     plain: bool = True
@@ -318,15 +320,29 @@ def unresolved(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(ends.where("a < b").select("band"), "band")
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(id, root)`` after ``links(id1, id2)``: the components of the few classes they touch."""
+    known = roots.select(F.col("id").alias("uid"), "root")
+    ends = links
+    for end in ("id1", "id2"):
+        own = known.toDF(end, "own")
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    further = settle(component_roots(ends))
+    # Texts that had no class yet were classes of their own.
+    every = roots.unionByName(further.select("id", F.col("id").alias("root"))).distinct()
+    moved = every.join(further.toDF("root", "to"), "root", "left")
+    return moved.select("id", F.coalesce("to", "root").alias("root"))
+
+
 def _units(batches: Iterator, kinds: int) -> Iterator:
-    """The rows of each (band, block) of sorted batches, as lists of ``kinds`` further columns."""
+    """The rows of each (band, left, right) of sorted batches, as lists of ``kinds`` further columns."""
     rows, now = None, None
     for batch in batches:
-        for band, block, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if (band, block) != now:
+        for band, left, right, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if (band, left, right) != now:
                 if rows is not None:
                     yield now, rows
-                rows, now = [[] for _ in range(kinds)], (band, block)
+                rows, now = [[] for _ in range(kinds)], (band, left, right)
             for column, value in zip(rows, rest):
                 column.append(value)
     if rows is not None:
@@ -334,23 +350,22 @@ def _units(batches: Iterator, kinds: int) -> Iterator:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Whole blocks, side by side. They are work, not bytes: small ones must not be put into few tasks."""
-    width = shuffle_width(rows.sparkSession)
-    return rows.repartition(width, "band", "block").sortWithinPartitions("band", "block")
+    """Whole pairs of blocks, side by side. They are work, not bytes: small ones must not be put into few tasks."""
+    unit = ("band", "left", "right")
+    return rows.repartition(shuffle_width(rows.sparkSession), *unit).sortWithinPartitions(*unit)
 
 
 def dealt_blocks(rows: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """``band, block, uid, root, signs``: the texts of every key in blocks of bounded size.
-
-    A key's texts are ordered by their samples, from a sample on that the key picks, so that
-    similar texts lie near each other, and every key deals them anew. A block ends where
-    ``plan.block`` texts or ``plan.block_chars`` characters are full; it is handed out with the
-    one before it and with the one after it, under the lower number. The order is one range
-    shuffle over all keys, so a key of any size spreads over the tasks.
+    """``band, left, right, block, uid, root, signs``: every key's texts in all pairs of its blocks.
+
+    A key's texts are ordered by class and cut into blocks where ``plan.block`` texts or
+    ``plan.block_chars`` characters are full. Two blocks ``left <= right`` are a unit of work,
+    handed out with the texts of both; so is every block with itself. Two texts of a key that
+    are in different classes thus meet in exactly one unit. Units that hold one class alone
+    are left out, so a crowd that is one class but for a few texts stays in proportion to its
+    size; only texts of many classes under one key cost all pairs of their blocks. The order is
+    one range shuffle over all keys, so a key of any size spreads over the tasks.
     """
-    size = 2 * plan.samples
-    start = F.pmod(F.hash("band"), F.lit(plan.samples)) * 2
-    turned = F.concat(F.substring("signs", start + 1, F.lit(size) - start), F.substring("signs", F.lit(1), start))
     signed = rows.join(texts.select("uid", "signs", "chars"), "uid").select(
         "band",
         "uid",
@@ -358,33 +373,35 @@ def dealt_blocks(rows: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
         "signs",
         F.greatest(F.col("chars"), F.lit(-(-plan.block_chars // plan.block))).alias("weight"),
     )
-    order = F.struct(F.substring(turned, F.lit(1), F.lit(48)).alias("near"), F.col("uid"))
-    ran = running_sums(signed, ["band"], order, ["weight"], totals=False)
+    ran = running_sums(signed, ["band"], F.struct("root", "uid"), ["weight"], totals=False)
     block = F.floor((F.col("weight_upto") - F.col("weight")) / F.lit(plan.block_chars)).cast("long")
-    return ran.withColumn("_block", block).select(
-        "band",
-        F.explode(
-            F.when(F.col("_block") == 0, F.array("_block")).otherwise(F.array(F.col("_block") - 1, F.col("_block")))
-        ).alias("block"),
-        "uid",
-        "root",
-        "signs",
+    cut = ran.select("band", block.alias("block"), "uid", "root", "signs")
+    ends = cut.groupBy("band", "block").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    left = ends.select("band", F.col("block").alias("left"), F.col("least").alias("a"), F.col("most").alias("b"))
+    right = ends.select("band", F.col("block").alias("right"), F.col("least").alias("c"), F.col("most").alias("d"))
+    units = left.join(right, "band").where(
+        (F.col("left") <= F.col("right")) & (F.least("a", "c") < F.greatest("b", "d"))
+    )
+    places = units.select(
+        "band", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block")
     )
+    return cut.join(places, ["band", "block"]).select("band", "left", "right", "block", "uid", "root", "signs")
 
 
-def agreeing(dealt: DataFrame, plan: Plan) -> DataFrame:
-    """``band, block, uid, root`` of the texts that agree with one of another class in their block.
+def agreeing(dealt: DataFrame, plan: Plan, nearest: int | None = None) -> DataFrame:
+    """``band, left, right, block, uid, root`` of the texts that agree with one of another class in their unit.
 
-    Two texts agree if ``plan.agree`` of their samples do. Of the block's largest class only the
-    ``plan.nearest`` that agree most with a text outside of it are handed on.
+    Two texts agree if ``plan.agree`` of their samples do; those of two blocks meet across them.
+    With ``nearest``, of the unit's largest class only so many that agree most with a text
+    outside of it are handed on.
     """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for (band, block), (uid, root, signs) in _units(batches, 3):
-            root = np.array(root)
+        for (band, left, right), (block, uid, root, signs) in _units(batches, 4):
+            root, block = np.array(root), np.array(block)
             if (root == root[0]).all():
                 continue
             signs = np.frombuffer(b"".join(signs), np.uint16).reshape(len(uid), -1)
@@ -401,25 +418,30 @@ def agreeing(dealt: DataFrame, plan: Plan) -> DataFrame:
                         same += signs[part, j][:, None] == signs[:, j]
                     most = np.maximum(most, same)
                 most[(most < plan.agree) | (root[part][:, None] == root)] = 0
+                if left < right:
+                    most[block[part][:, None] == block] = 0
                 met[part] |= most.any(axis=1)
                 near = most[:, largest]
-                at = np.argpartition(-near.astype(np.int16), min(plan.nearest, near.shape[1]) - 1, axis=1)[:, : plan.nearest]
-                met[largest[at[np.take_along_axis(near, at, axis=1) > 0]]] = True
+                if nearest is None:
+                    met |= most.any(axis=0)
+                else:
+                    at = np.argpartition(-near.astype(np.int16), min(nearest, near.shape[1]) - 1, axis=1)[:, :nearest]
+                    met[largest[at[np.take_along_axis(near, at, axis=1) > 0]]] = True
             own = np.flatnonzero(met)
             if len(own):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(own), band)),
-                        pa.array(np.full(len(own), block)),
+                        *(pa.array(np.full(len(own), x)) for x in (band, left, right)),
+                        pa.array(block[own]),
                         pa.array(np.array(uid)[own]),
                         pa.array(root[own]),
                     ],
-                    names=["band", "block", "uid", "root"],
+                    names=["band", "left", "right", "block", "uid", "root"],
                 )
 
     rows = _dealt(dealt)
-    return rows.select("band", "block", "uid", "root", "signs").mapInArrow(
-        run, "band long, block long, uid long, root long"
+    return rows.select("band", "left", "right", "block", "uid", "root", "signs").mapInArrow(
+        run, "band long, left long, right long, block long, uid long, root long"
     )
 
 
@@ -498,9 +520,9 @@ def joining(near, root):
 
 
 def block_links(members: DataFrame, plan: Plan, documents: int, often: dict[int, int]) -> DataFrame:
-    """``id1, id2`` of verified pairs that join two classes of a block: fewer than its texts.
+    """``id1, id2`` of verified pairs that join two classes of a unit: fewer than its texts.
 
-    ``members(band, block, uid, root, text)``.
+    ``members(band, left, right, block, uid, root, text)``.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -517,15 +539,18 @@ def block_links(members: DataFrame, plan: Plan, documents: int, often: dict[int,
             both = np.minimum(x[i], y[j]).sum()
             return both / (x.sum() + y.sum() - both)
 
-        for _, (uid, root, text) in _units(batches, 3):
+        for (_, left, right), (block, uid, root, text) in _units(batches, 4):
             own = shingles([t or "" for t in text], plan.words)
-            root = np.array(root)
+            root, block = np.array(root), np.array(block)
+            apart = root[:, None] != root
+            if left < right:
+                apart &= block[:, None] != block
             near = np.zeros((len(own), len(own)), bool)
             for kind, weights in enumerate(kinds):
                 # The plain similarity is that of sets: each shingle once.
                 taken = own if kind == 0 else [(h, np.ones_like(c)) for h, c in own]
                 found = similarities(taken, weights)
-                found[root[:, None] == root] = 0
+                found[~apart] = 0
                 near |= found >= plan.similarity
                 # Single precision may err in the last digits: pairs at the threshold are counted anew.
                 for i, j in zip(*np.nonzero(np.triu(np.abs(found - plan.similarity) < 1e-4))):
@@ -539,7 +564,11 @@ def block_links(members: DataFrame, plan: Plan, documents: int, often: dict[int,
                 )
 
     rows = _dealt(members)
-    return rows.select("band", "block", "uid", "root", "text").mapInArrow(run, "id1 long, id2 long").distinct()
+    return (
+        rows.select("band", "left", "right", "block", "uid", "root", "text")
+        .mapInArrow(run, "id1 long, id2 long")
+        .distinct()
+    )
 
 
 def verify(pairs: DataFrame, plan: Plan, documents: int, often: dict[int, int]) -> DataFrame:
@@ -641,15 +670,15 @@ def classes(docs: DataFrame, key: str, text: str, plan: Plan = Plan()) -> DataFr
     keyed = alone.select("uid", F.posexplode(F.array_distinct("bands")).alias("part", "band"))
     later = F.col("part") % plan.ahead != 0
     mixed = publish(unresolved(keyed.withColumn("later", later), roots).drop("root", "part"))
-    for turn in (False, True):
-        left = unresolved(mixed.where(F.col("later") == turn), roots)
-        crowds = publish(agreeing(dealt_blocks(left, alone, plan), plan))
+    # Some of the keys with the nearest texts only, then all keys that are left, with all their pairs.
+    for rows, nearest in ((mixed.where(~F.col("later")), plan.nearest), (mixed, None)):
+        left = unresolved(rows.drop("later"), roots)
+        crowds = publish(agreeing(dealt_blocks(left, alone, plan), plan, nearest))
         if crowds.isEmpty():
             continue
         more = settle(block_links(crowds.join(texts, "uid"), plan, documents, often))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = settle(component_roots(links))
+            roots = settle(joined_roots(roots, more))
     classed = members.join(
         roots.select(F.col("id").alias("text_class"), F.col("root")), "text_class", "left"
     ).withColumn("class", F.coalesce("root", "text_class"))

@@ -3,7 +3,17 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairmatch.llm.near_dup import Plan, Sampler, classes, keep_one, op8_weighted_minhash, shingles
+from pairmatch.llm.near_dup import (
+    Plan,
+    Sampler,
+    agreeing,
+    classes,
+    dealt_blocks,
+    joined_roots,
+    keep_one,
+    op8_weighted_minhash,
+    shingles,
+)
 
 
 def words(rng, n):
@@ -146,3 +156,51 @@ def test_plain_samples_are_those_of_equal_weights():
     sampler = Sampler(Plan(), 1000, {})
     weighted, plain = sampler.both_samples(hashes, counts)
     assert (plain == sampler.samples(hashes, ones)).all() and not (plain == weighted).all()
+
+
+def test_texts_of_a_key_meet_across_all_its_blocks(spark):
+    texts = family(random.Random(8), 160, 1)
+    want = true_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = Plan(floor=1.0, block=4, samples=48, plain=False)
+    got = {r.id: r.class_id for r in classes(df.repartition(5), "doc_id", "text", plan).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_every_two_classes_of_a_key_meet_in_one_unit(spark):
+    rng = random.Random(9)
+    # One class of most texts, small classes, and texts alone.
+    rows = [(7, i, 0 if i < 300 else i - i % (3 if i < 330 else 1)) for i in range(360)] + [(8, i, i % 2) for i in range(5)]
+    signs = {i: rng.randbytes(96) for i in range(360)}
+    members = spark.createDataFrame(rows, "band long, uid long, root long")
+    texts = spark.createDataFrame([(i, s, 10) for i, s in signs.items()], "uid long, signs binary, chars long")
+    units = {}
+    for r in dealt_blocks(members, texts, Plan(block=16)).collect():
+        units.setdefault((r.band, r.left, r.right), []).append(r)
+    met = {}
+    for (band, left, right), of in units.items():
+        assert len({r.root for r in of}) > 1 and {r.block for r in of} == {left, right}
+        for i, a in enumerate(of):
+            for b in of[:i]:
+                if a.root != b.root and (left == right or a.block != b.block):
+                    pair = (band, *sorted((a.uid, b.uid)))
+                    met[pair] = met.get(pair, 0) + 1
+    want = {(x[0], *sorted((x[1], y[1]))) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_no_agreeing_text_of_a_large_class_is_left_out(spark):
+    same, half = bytes(range(96)), bytes(range(60)) + bytes(36)
+    rows = [(1, 0, 0, 0, i, 0, same) for i in range(40)] + [(1, 0, 0, 0, 99, 99, half)]
+    dealt = spark.createDataFrame(
+        rows, "band long, left long, right long, block long, uid long, root long, signs binary"
+    )
+    assert {r.uid for r in agreeing(dealt, Plan(plain=False)).collect()} == {*range(40), 99}
+    assert len(agreeing(dealt, Plan(plain=False), 3).collect()) == 4
+
+
+def test_roots_after_further_links(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 8), (8, 8)], "id long, root long")
+    links = spark.createDataFrame([(6, 2), (20, 9), (31, 30)], "id1 long, id2 long")
+    got = {r.id: r.root for r in joined_roots(roots, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
