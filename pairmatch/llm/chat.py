@@ -12,11 +12,10 @@ becomes two, so no control string but the template's own is left in the renderin
 taking the backslashes out again gives the text.
 
 Every assistant turn becomes an example of its own: all turns before it are context, its
-reply alone is trainable. The context of an example is a prefix of the rendering, so an
-example is where its text ends and where its mask lies, and the pieces are written once for
-all examples: a conversation of n turns costs n rows, not n * n characters. ``expand`` writes
-the examples' whole texts out where a consumer needs them. Turns after the last reply end in one
-more example without a target, so that the output holds every turn.
+reply alone is trainable. The context of an example is a prefix of the rendering, so
+``examples`` says where its text ends and where its mask lies, one row per turn, and
+``expand`` writes every example's whole text out, which ``read_examples`` reads back. Turns
+after the last reply end in one more example without a target, so that the output holds every turn.
 """
 
 from __future__ import annotations
@@ -40,6 +39,12 @@ TARGET = "assistant"
 #: The place behind the first character of a control string.
 _INSIDE = "|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL)
 _PLACES = ("place", "example", "text_end", "mask_start", "mask_end")
+#: Characters of examples that are handed on at once.
+_AT_ONCE = 1 << 20
+#: Characters of an example that one string surely holds.
+_LONGEST = (1 << 31) // 4 - 1
+#: What reading back adds up per conversation.
+_SUMS = ("n_turns", "loss_chars", "formatted_chars", "n_examples", "rendered_chars")
 
 
 def escape(text: Column) -> Column:
@@ -78,6 +83,11 @@ def read_piece(piece: Column) -> tuple[Column, Column]:
     return role, unescape(inner)
 
 
+def _unescaped(text: str) -> str:
+    """``unescape`` of one text."""
+    return re.sub(r"\\(\\?)", r"\1", text)
+
+
 def read_text(rendering: str) -> list[tuple[str, str]]:
     """Roles and texts of a whole rendering, or of a prefix that ends with a turn."""
     turn = re.compile(
@@ -86,16 +96,13 @@ def read_text(rendering: str) -> list[tuple[str, str]]:
         re.S,
     )
 
-    def back(escaped):
-        return re.sub(r"\\(\\?)", r"\1", escaped)
-
     out, at = [], 0
     while at < len(rendering):
         m = turn.match(rendering, at)
         if m is None:
             raise ValueError(f"no turn begins at {at}")
         name = m.lastgroup
-        out.append((back(m["role"]), back(m["other"])) if name == "other" else (name, back(m[name])))
+        out.append((_unescaped(m["role"]), _unescaped(m["other"])) if name == "other" else (name, _unescaped(m[name])))
         at = m.end()
     return out
 
@@ -172,12 +179,15 @@ def expand(rows: DataFrame, longest: int = 1 << 24) -> DataFrame:
     schema = T.StructType(
         [rows.schema["conv"], *(T.StructField(n, T.LongType()) for n in ("example", "mask_start", "mask_end"))]
     ).add("text", T.StringType())
-    kind = to_arrow_type(rows.schema["conv"].dataType)
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        text = ""
+        def written(made):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names=schema.names)
+
+        text, made, size = "", [], 0
         for batch in batches:
             for conv, piece, place, example, end, *mask in zip(*(c.to_pylist() for c in batch.columns)):
                 text = piece if place == 1 else text + piece
@@ -185,12 +195,36 @@ def expand(rows: DataFrame, longest: int = 1 << 24) -> DataFrame:
                     continue
                 if end > longest:
                     raise ValueError(f"an example of conversation {conv} has over {longest} characters")
-                columns = [pa.array([conv], kind), *(pa.array([x], pa.int64()) for x in (example, *mask)), pa.array([text])]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                made.append((conv, example, *mask, text))
+                size += len(text)
+                if size >= _AT_ONCE:
+                    yield written(made)
+                    made, size = [], 0
+        if made:
+            yield written(made)
 
     return read.mapInArrow(run, schema)
 
 
+def _said(rows: DataFrame):
+    """Schema of what is read back, and a function that makes a batch of its rows."""
+    schema = T.StructType(
+        [
+            rows.schema["conv"],
+            *(T.StructField(n, T.StringType()) for n in ("turns_sha256", "loss_sha256")),
+            *(T.StructField(n, T.LongType()) for n in _SUMS),
+        ]
+    )
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def table_of(done):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=schema.names)
+
+    return schema, table_of
+
+
 def read_back(rows: DataFrame) -> DataFrame:
     """What the formatted rows say, per conversation: ``conv, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars, n_examples, rendered_chars``.
@@ -214,43 +248,69 @@ def read_back(rows: DataFrame) -> DataFrame:
         F.col("example").isNotNull().cast("long").alias("example"),
         "chars",
     )
-    sums = ("n_turns", "loss_chars", "formatted_chars", "n_examples", "rendered_chars")
-    schema = T.StructType(
-        [
-            rows.schema["conv"],
-            *(T.StructField(n, T.StringType()) for n in ("turns_sha256", "loss_sha256")),
-            *(T.StructField(n, T.LongType()) for n in sums),
-        ]
-    )
+    schema, table_of = _said(rows)
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
 
-        import pyarrow as pa
-
-        own, turns, lost, counts = None, None, None, [0] * len(sums)
+        own, turns, lost, counts = None, None, None, [0] * len(_SUMS)
         for batch in batches:
             done = []
             for conv, words, loss, *numbers in zip(*(c.to_pylist() for c in batch.columns)):
                 if turns is None or conv != own:
                     if turns is not None:
                         done.append((own, turns.hexdigest(), lost.hexdigest(), *counts))
-                    own, turns, lost, counts = conv, hashlib.sha256(), hashlib.sha256(), [0] * len(sums)
+                    own, turns, lost, counts = conv, hashlib.sha256(), hashlib.sha256(), [0] * len(_SUMS)
                 turns.update(words)
                 if loss is not None:
                     lost.update(loss)
                 counts = [a + b for a, b in zip(counts, (1, *numbers))]
             if done:
-                yield table_of(done, pa)
+                yield table_of(done)
         if turns is not None:
-            yield table_of([(own, turns.hexdigest(), lost.hexdigest(), *counts)], pa)
+            yield table_of([(own, turns.hexdigest(), lost.hexdigest(), *counts)])
 
-    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    return read.mapInArrow(run, schema)
 
-    def table_of(done, pa):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+def read_examples(texts: DataFrame) -> DataFrame:
+    """What the examples' whole texts say, per conversation: the columns of ``read_back``.
+
+    ``texts`` are those of ``expand`` in their order. Trained text is what lies under the mask of
+    each example's text. Every example has to begin with the one before it, so the turns are read
+    from the last one; a task holds two texts beside its batch.
+    """
+    schema, table_of = _said(texts)
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        own, whole, lost, loss_chars, formatted, count = None, "", None, 0, 0, 0
+
+        def closed():
+            said, turns = read_text(whole), hashlib.sha256()
+            for role, words in said:
+                turns.update(f"{role}\n{words}\n".encode())
+            return (own, turns.hexdigest(), lost.hexdigest(), len(said), loss_chars, formatted, count, len(whole))
+
+        for batch in batches:
+            done = []
+            for conv, example, start, end, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if example == 1:
+                    if count:
+                        done.append(closed())
+                    own, whole, lost, loss_chars, formatted, count = conv, "", hashlib.sha256(), 0, 0, 0
+                if conv != own or example != count + 1 or not text.startswith(whole):
+                    raise ValueError(f"example {example} of conversation {conv} doesn't continue the one before it")
+                trained = _unescaped(text[start:end])
+                lost.update(trained.encode())
+                whole, loss_chars, formatted, count = text, loss_chars + len(trained), formatted + len(text), example
+            if done:
+                yield table_of(done)
+        if count:
+            yield table_of([closed()])
+
+    return texts.select("conv", "example", "mask_start", "mask_end", "text").mapInArrow(run, schema)
 
 
 def with_planted(turns: DataFrame) -> DataFrame:
@@ -301,6 +361,7 @@ FROM c GROUP BY conv_id"""
 
 @query(sql=OP11_SQL)
 def op11_prefix_targets(spark, sf_dir):
-    """All conversations as one example per reply, and what the formatted rows say when read back."""
+    """All conversations as one example per reply, each with its whole text, and what these say when read back."""
     turns = with_planted(table(spark, sf_dir, "conversations"))
-    return read_back(examples(turns, "conv_id", "turn", "role", "text")).withColumnRenamed("conv", "conv_id")
+    written = expand(examples(turns, "conv_id", "turn", "role", "text"), _LONGEST)
+    return read_examples(written).withColumnRenamed("conv", "conv_id")
