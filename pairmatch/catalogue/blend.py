@@ -19,7 +19,7 @@ from pairmatch.operators import blending as B
 from pairmatch.operators import metrics, summaries
 from pairmatch.operators import routing as R
 from pairmatch.plans import search
-from pairmatch.session import settle
+from pairmatch.session import publish, settle
 from pairmatch.sources import views
 
 FOLDS = (0, 1, 2, 3, 4)
@@ -37,7 +37,7 @@ def oof(spark, sf_dir, *columns):
     """The scored view, or the columns named, as a published out-of-fold table: every plan
     below rereads it."""
     scored = views.scored(spark, sf_dir)
-    return settle(scored.select(*columns) if columns else scored)
+    return publish(scored.select(*columns) if columns else scored)
 
 
 GRID_FIELDS = ("category", "fold", "target", *MODELS)
@@ -476,7 +476,7 @@ _DEPLOY_STEP = 0.25
     )
 )
 def forecast_corrections(spark, sf_dir):
-    long = settle(search.long_features(oof(spark, sf_dir, "id1", "id2", *GRID_FIELDS), MODELS))
+    long = publish(search.long_features(oof(spark, sf_dir, "id1", "id2", *GRID_FIELDS), MODELS))
     _, final = search.search_weights(long, MODELS, FOLDS, _DEPLOY_STEP, (3,))
     gaps = {"score_a": 0.25, "score_b": 0.26, "score_c": 0.28}
     return search.weighted_corrections(final, MODELS, gaps)

@@ -8,9 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.operators.metrics import cohort_precision
+from pairmatch.operators.metrics import cell_precision, cohort_cells
 from pairmatch.operators.ranking import percentile_ranks, with_required
-from pairmatch.session import shuffle_width
 
 # Two scores closer than this count as a tie in the weight search.
 IMPROVEMENT = 1e-12
@@ -167,8 +166,9 @@ def weight_grid(
 ) -> DataFrame:
     """Average precision per ``keys, category, candidate, cohort``.
 
-    Rows are copied once per candidate and never per cohort: the training cohorts of all
-    folds come out of one ranking per candidate. Scores are not rounded.
+    Rows with equal features and cohorts are one cell. Cells are copied once per candidate and
+    never per cohort: the training cohorts of all folds come out of one ranking per candidate.
+    Scores are not rounded.
     """
     if len(set(folds)) < 2:
         raise ValueError("cross-fitting needs two folds or more")
@@ -178,16 +178,13 @@ def weight_grid(
             for i, v in enumerate(candidates)
         ]
     )
-    # Every row becomes many: deal the rows evenly first, input files rarely do.
-    width = shuffle_width(df.sparkSession)
-    rows = df.select(*keys, "category", "fold", "target", *features).repartition(width)
-    spread = rows.select("*", F.inline(vectors))
-    return cohort_precision(
-        spread.withColumn("_blend", weighted_sum(F.col("w"), features)),
+    cohorts = fold_cohorts(folds)
+    cells = cohort_cells(df, [*keys, "category"], features, F.col("target"), cohorts)
+    spread = cells.select("*", F.inline(vectors))
+    return cell_precision(
+        spread.withColumn("_score", weighted_sum(F.col("w"), features)),
         [*keys, "category", "candidate"],
-        F.col("_blend"),
-        F.col("target"),
-        fold_cohorts(folds),
+        cohorts,
     )
 
 

@@ -16,7 +16,7 @@ from pairmatch.functions.numeric import (
     unanimous,
 )
 from pairmatch.operators.ranking import range_sorted, running_sums, with_required
-from pairmatch.session import settle
+from pairmatch.session import settle, shuffle_width
 
 
 def cohort_precision(
@@ -37,29 +37,51 @@ def cohort_precision(
     non-empty cohorts; a cohort without positives scores 0. A null key, and a null or NaN
     score, fail the job.
     """
-    names = list(cohorts)
-    # Sets of cohorts as bits, 62 to a number.
-    words = range(-(-len(names) // 62))
-    bits = [
-        reduce(
-            lambda x, y: x + y,
-            [
-                F.when(cohorts[name], F.lit(1 << (i % 62))).otherwise(F.lit(0)).cast("bigint")
-                for i, name in enumerate(names)
-                if i // 62 == w
-            ],
-        ).alias(f"_in{w}")
-        for w in words
-    ]
-    marked = df.select(
-        *keys, score.cast("double").alias("_score"), (target == F.lit(1)).alias("_hit"), *bits
+    marked = with_cohort_sets(df, cohorts).withColumns(
+        {"_score": score, "_n": F.lit(1).cast("bigint"), "_p": F.coalesce(target == F.lit(1), F.lit(False)).cast("bigint")}
+    )
+    return cell_precision(marked, keys, cohorts, slots)
+
+
+def _words(cohorts: Mapping[str, Column]) -> list[str]:
+    """Columns of the sets of cohorts as bits, 62 to a number."""
+    return [f"_in{w}" for w in range(-(-len(cohorts) // 62))]
+
+
+def with_cohort_sets(df: DataFrame, cohorts: Mapping[str, Column]) -> DataFrame:
+    """Add the cohorts of every row as bits."""
+    bits = [F.when(mask, F.lit(1 << (i % 62))).otherwise(F.lit(0)).cast("bigint") for i, mask in enumerate(cohorts.values())]
+    return df.withColumns(
+        {name: reduce(lambda x, y: x + y, bits[62 * w : 62 * (w + 1)]) for w, name in enumerate(_words(cohorts))}
+    )
+
+
+def cohort_cells(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], target: Column, cohorts: Mapping[str, Column]
+) -> DataFrame:
+    """``keys, values``, sets of cohorts and two counters, for rows that ``cell_precision`` ranks by several scores.
+
+    Equal rows are one cell before they are copied once per score, not after; the cells are
+    dealt evenly over all tasks.
+    """
+    marked = with_cohort_sets(df, cohorts).withColumn("_hit", target == F.lit(1))
+    cells = marked.groupBy(*keys, *values, *_words(cohorts)).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_hit").alias("_p")
     )
-    sets = [f"_in{w}" for w in words]
+    return cells.repartition(shuffle_width(df.sparkSession))
+
+
+def cell_precision(
+    cells: DataFrame, keys: Sequence[str], cohorts: Mapping[str, Column], slots: int | None = None
+) -> DataFrame:
+    """``cohort_precision`` of cells that carry ``_score``, their sets of cohorts, rows ``_n`` and positives ``_p``."""
+    names, sets = list(cohorts), _words(cohorts)
+    scored = cells.select(*keys, F.col("_score").cast("double").alias("_score"), *sets, "_n", "_p")
     cells = (
-        with_required(marked, keys, ["_score"])
+        with_required(scored, keys, ["_score"])
         .where(F.greatest(*[F.col(c) for c in (*sets, *sets)]) > 0)
         .groupBy(*keys, "_score", *sets)
-        .agg(F.count(F.lit(1)).alias("_n"), F.count_if("_hit").alias("_p"))
+        .agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"))
         .withColumn("_score", -F.col("_score"))
     )
     rows = settle(range_sorted(cells, keys, ["_score"], slots))

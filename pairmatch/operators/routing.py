@@ -13,12 +13,14 @@ from pairmatch.operators.joins import validated_scores
 from pairmatch.operators.metrics import (
     STRESS,
     average_precision,
+    cell_precision,
+    cohort_cells,
     cohort_precision,
     macro,
     spearman,
     stress_cohorts,
 )
-from pairmatch.session import publish, settle, shuffle_width
+from pairmatch.session import publish, settle
 from pairmatch.sources.tables import PAIR_KEYS
 
 ALL = "all"
@@ -254,14 +256,12 @@ def top_k_routers(
     )
     states = F.sequence(F.lit(0), F.lit(len(folds)))
     named = df.withColumn("_base", base).withColumn("_candidate", candidate)
-    named = named.repartition(shuffle_width(df.sparkSession))
-    spread = named.join(switch.select("category", "fold", "switch"), ["category", "fold"]).select(
+    cells = cohort_cells(named, ["category", "fold"], ["_base", "_candidate"], F.col("target"), cohorts)
+    spread = cells.join(switch.select("category", "fold", "switch"), ["category", "fold"]).select(
         "*", F.explode(states).alias("state")
     )
     score = F.when(F.col("switch") <= F.col("state"), F.col("_candidate")).otherwise(F.col("_base"))
-    per_state = cohort_precision(
-        spread, ["category", "state"], score, F.col("target"), cohorts
-    )
+    per_state = cell_precision(spread.withColumn("_score", score), ["category", "state"], cohorts)
     sizes = switch.groupBy("category").agg(F.collect_list("position").alias("_positions")).select(
         "category",
         "_positions",

@@ -16,7 +16,7 @@ from pairmatch.operators import blending as B
 from pairmatch.operators import routing as R
 from pairmatch.operators.joins import with_category_parameters
 from pairmatch.operators.metrics import cohort_precision
-from pairmatch.session import settle, shuffle_width
+from pairmatch.session import publish, settle, shuffle_width
 
 THRESHOLDS = ("hard_negative_min_similarity", "hard_positive_max_similarity")
 REPRESENTATIONS = ("raw_logit", "category_rank")
@@ -148,7 +148,7 @@ def ensemble_search(
     subset_sizes: Sequence[int] = (2, 3),
 ) -> DataFrame:
     """Evidence and verdict per method, against the first model alone."""
-    long = settle(long_features(scored, models))
+    long = publish(long_features(scored, models))
     weights, _ = search_weights(long, models, folds, step, subset_sizes)
     methods = method_predictions(long, models, weights)
     base = scored.withColumn("variant", F.lit("base")).withColumn(
@@ -174,7 +174,7 @@ def two_model_report(
 ) -> DataFrame:
     """Global raw and rank blends of two models with evidence, verdict and forecast."""
     models = [base, candidate]
-    long = settle(long_features(scored, models))
+    long = publish(long_features(scored, models))
     weights, final = search_weights(long, models, folds, step, (2,))
     weights = weights.where("category is null")
     spread = weights.groupBy("variant").agg(
@@ -222,7 +222,7 @@ def router_report(
     gates: R.Gates = R.Gates(),
 ) -> DataFrame:
     """Evidence and verdict for every top-K category router."""
-    rows = settle(with_thresholds(scored, thresholds).withColumn("_blend", candidate))
+    rows = publish(with_thresholds(scored, thresholds).withColumn("_blend", candidate))
     routed = R.top_k_routers(
         rows, folds, F.col(base), F.col("_blend"), R.report_cohorts(folds)
     ).withColumn("variant", F.concat(F.lit("top_"), F.lpad(F.col("k").cast("string"), 2, "0")))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from pairmatch.catalogue import texts as catalogue_texts
 from pairmatch.functions.evidence import item_cards
-from pairmatch.operators import audits, batches, joins, ranking, scoring
+from pairmatch.functions import text
+from pairmatch.operators import audits, batches, blending, graph, joins, ranking, routing, scoring
 from pairmatch.operators.prompts import teacher_prompts
 from pairmatch.operators.ranking import first_rows
 from pairmatch.plans.ensemble import request_contract
@@ -102,3 +103,24 @@ def test_unknown_items_are_found_without_sorting_the_pairs(spark):
     assert "Sort" not in plan(found)
     assert found.collect() == [(6, 3)]
     assert audits.unknown_items(pairs.limit(0), items).collect() == [(0, 0)]
+
+
+def test_equal_rows_are_copied_once_per_candidate(spark, monkeypatch):
+    rows = spark.range(600).selectExpr(
+        "'c' AS category", "CAST(id % 2 AS INT) AS fold", "CAST(id % 3 = 0 AS DOUBLE) AS target", "id % 4 / 4D AS a", "id % 2 / 2D AS b"
+    )
+    seen, kept = [], blending.cell_precision
+    monkeypatch.setattr(blending, "cell_precision", lambda cells, *rest: (seen.append(cells.count()), kept(cells, *rest))[1])
+    grid = blending.weight_grid(rows, ["a", "b"], blending.simplex(2, 0.5), (0, 1))
+    # Four values of (a, b), each in one fold, for three candidates.
+    assert grid.where("cohort = 'all'").agg(F.sum("rows")).first()[0] == 1800 and seen == [12]
+
+
+def test_routers_copy_equal_rows_once_per_state(spark, monkeypatch):
+    rows = spark.range(600).selectExpr(
+        "'c' AS category", "CAST(id % 2 AS INT) AS fold", "CAST(id % 3 = 0 AS DOUBLE) AS target", "id % 4 / 4D AS a", "id % 2 / 2D AS b"
+    )
+    seen, kept = [], routing.cell_precision
+    monkeypatch.setattr(routing, "cell_precision", lambda cells, *rest: (seen.append(cells.count()), kept(cells, *rest))[1])
+    routed = routing.top_k_routers(rows, (0, 1), F.col("a"), F.col("b"), routing.report_cohorts((0, 1), stress=False))
+    assert routed.where("cohort = 'all'").first()["rows"] == 600 and seen[-1] == 12
