@@ -137,11 +137,17 @@ def _based(number: Column, unit: Column) -> Column:
     return out
 
 
-def compare_plain(value: Column) -> Column:
-    """``compare_text`` for normalised strings of PLAIN characters, as a built-in expression."""
-    text = F.regexp_replace(value, r"(?<=\d),(?=\d)", ".")
+def _unit_words(value: Column) -> Column:
+    """Decimal commas as points and unit words in their short form; rows without either are only searched."""
+    text = F.when(value.contains(","), F.regexp_replace(value, r"(?<=\d),(?=\d)", ".")).otherwise(value)
+    replaced = text
     for unit, words in fixed.UNIT_WORDS.items():
-        text = F.regexp_replace(text, rf"(?U)\b(?:{_alternatives(words)})\b", unit)
+        replaced = F.regexp_replace(replaced, rf"(?U)\b(?:{_alternatives(words)})\b", unit)
+    return F.when(text.rlike(rf"(?U){_UNIT_WORD}"), replaced).otherwise(text)
+
+
+def _measured(text: Column) -> Column:
+    """Measures in base form."""
     measure = f"(?U){_MEASURE}"
     based = F.zip_with(
         F.regexp_extract_all(text, F.lit(measure), F.lit(1)),
@@ -152,8 +158,22 @@ def compare_plain(value: Column) -> Column:
     pieces = F.zip_with(
         F.split(text, measure, -1), based, lambda piece, b: F.concat(piece, F.coalesce(b, F.lit("")))
     )
-    measured = F.when(text.rlike("[0-9]"), F.array_join(pieces, "")).otherwise(text)
-    return F.trim(F.regexp_replace(measured, rf"[^{fixed.WORD_CHARACTERS}]+", " "))
+    return F.when(text.rlike("[0-9]"), F.array_join(pieces, "")).otherwise(text)
+
+
+def compare_plain(value: Column) -> Column:
+    """``compare_text`` for normalised strings of PLAIN characters, as a built-in expression."""
+    return F.get(_compared_plain(F.array(value)), F.lit(0))
+
+
+def _compared_plain(values: Column) -> Column:
+    """``compare_plain`` of every value of an array.
+
+    Each step is a pass over the array, since inside one lambda a text that is read several
+    times would be derived anew each time.
+    """
+    measured = F.transform(F.transform(values, _unit_words), _measured)
+    return F.transform(measured, lambda v: F.trim(F.regexp_replace(v, rf"[^{fixed.WORD_CHARACTERS}]+", " ")))
 
 
 def with_comparison_values(df: DataFrame, out: str, values: Column) -> DataFrame:
@@ -169,7 +189,7 @@ def with_comparison_values(df: DataFrame, out: str, values: Column) -> DataFrame
     return compared.select(
         *df.columns,
         F.when(F.col("_odd"), F.col("_compared"))
-        .otherwise(F.transform("_values", compare_plain))
+        .otherwise(_compared_plain(F.col("_values")))
         .alias(out),
     )
 

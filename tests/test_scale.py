@@ -124,3 +124,9 @@ def test_routers_copy_equal_rows_once_per_state(spark, monkeypatch):
     monkeypatch.setattr(routing, "cell_precision", lambda cells, *rest: (seen.append(cells.count()), kept(cells, *rest))[1])
     routed = routing.top_k_routers(rows, (0, 1), F.col("a"), F.col("b"), routing.report_cohorts((0, 1), stress=False))
     assert routed.where("cohort = 'all'").first()["rows"] == 600 and seen[-1] == 12
+
+
+def test_a_value_is_searched_for_units_once(spark):
+    df = spark.createDataFrame([("5 кг",)], "v string")
+    told = df.select(text.compare_plain(F.col("v")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("килограммов") <= 2
