@@ -32,7 +32,7 @@ from pairmatch.operators.scoring import (
 )
 from pairmatch.plans import ensemble as ENS
 from pairmatch.plans import calibration, evaluation
-from pairmatch.session import publish, settle
+from pairmatch.session import publish, settle, unbroadcast
 from pairmatch.sources import views
 
 RULES = {
@@ -366,7 +366,7 @@ def _folded(spark, sf_dir):
     """Human evidence with component folds."""
     items = views.items(spark, sf_dir)
     folds = splits.build_folds(views.human_pairs(spark, sf_dir), items).select("id1", "id2", "fold")
-    return settle(_human(spark, sf_dir).join(folds, ["id1", "id2"]))
+    return settle(_human(spark, sf_dir).join(unbroadcast(folds), ["id1", "id2"]))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.operators.ranking import ordinal
-from pairmatch.session import settle
+from pairmatch.session import settle, unbroadcast
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both.where("v > u").join(unbroadcast(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     ).distinct()
 
 
@@ -22,7 +22,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    siblings = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    siblings = down.join(unbroadcast(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return siblings.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -51,7 +51,8 @@ def component_roots(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = ends.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
-    return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select(
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return nodes.join(unbroadcast(found), "id", "left").select(
         "id", F.coalesce("root", "id").alias("root")
     )
 
@@ -65,5 +66,5 @@ def component_ids(pairs: DataFrame) -> DataFrame:
     numbered = ordinal(roots.select("root").distinct(), [], [F.col("root")], "_n").select(
         "root", (F.col("_n") - 1).alias("component_id")
     )
-    lookup = roots.join(numbered, "root").select(F.col("id").alias("id1"), "component_id")
-    return pairs.join(lookup, "id1").select(*pairs.columns, "component_id")
+    lookup = roots.join(unbroadcast(numbered), "root").select(F.col("id").alias("id1"), "component_id")
+    return pairs.join(unbroadcast(lookup), "id1").select(*pairs.columns, "component_id")

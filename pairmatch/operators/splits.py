@@ -12,7 +12,7 @@ from pairmatch.operators.audits import component_leakage, enforce
 from pairmatch.operators.graph import component_ids
 from pairmatch.operators.joins import with_category
 from pairmatch.operators.ranking import ordinal
-from pairmatch.session import settle, shuffle_width
+from pairmatch.session import settle, shuffle_width, unbroadcast
 
 
 def hash_split(modulus: int = 5, bucket: int = 0, method: str = "md5") -> Column:
@@ -102,7 +102,7 @@ def component_folds(
         "component_id",
         F.pmod(snake + F.pmod(start, F.lit(folds)), F.lit(folds)).cast("tinyint").alias(out),
     )
-    return df.join(dealt, "component_id").select(*df.columns, out)
+    return df.join(unbroadcast(dealt), "component_id").select(*df.columns, out)
 
 
 def build_folds(

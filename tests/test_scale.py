@@ -130,3 +130,9 @@ def test_a_value_is_searched_for_units_once(spark):
     df = spark.createDataFrame([("5 кг",)], "v string")
     told = df.select(text.compare_plain(F.col("v")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert told.count("килограммов") <= 2
+
+
+def test_components_are_joined_without_the_driver(spark):
+    pairs = settle(spark.range(30).selectExpr("id AS id1", "id + 30 AS id2"))
+    roots = graph.component_roots(pairs)
+    assert "BroadcastHashJoin" not in plan(roots) and roots.count() == 60
