@@ -19,7 +19,7 @@ from pairmatch.operators import audits, joins, summaries
 from pairmatch.operators.blending import blend_scores, rank_residual
 from pairmatch.operators.metrics import average_precision, macro
 from pairmatch.operators.routing import Residual, check_record, output_order, shipped_parity
-from pairmatch.session import settle
+from pairmatch.session import publish, settle
 from pairmatch.sources import layouts, tables, views
 
 
@@ -260,7 +260,8 @@ def _parity_sql(name: str, column: str) -> str:
 )
 def shipped_tables(spark, sf_dir):
     """Two shipped tables against their components: one in single precision, one with scores moved in one category."""
-    scored = views.scored(spark, sf_dir)
+    # Every table below reads a column or two of it.
+    scored = publish(views.scored(spark, sf_dir).select("id1", "id2", "category", "score_a", "score_b", "score_c"))
     parts = {
         name: scored.select("id1", "id2", F.col(column).alias("predict"))
         for name, column in (("large", "score_a"), ("small", "score_b"), ("teacher", "score_c"))

@@ -131,7 +131,9 @@ def validated_scores(
     def of(name: str, value: str):
         return F.any_value(F.when(F.col("_table") == name, F.col(value)), True)
 
-    grouped = stacked.groupBy(*PAIR_KEYS).agg(
+    # A pair is once in each table, so nothing combines before the shuffle: rows are dealt first and sorted once.
+    dealt = stacked.repartition(*PAIR_KEYS)
+    grouped = dealt.groupBy(*PAIR_KEYS).agg(
         F.count_if(F.col("_table") == "").alias("_rows"),
         of("", "_base").alias("_base"),
         of("", "_same").alias("_same"),

@@ -136,3 +136,9 @@ def test_components_are_joined_without_the_driver(spark):
     pairs = settle(spark.range(30).selectExpr("id AS id1", "id + 30 AS id2"))
     roots = graph.component_roots(pairs)
     assert "BroadcastHashJoin" not in plan(roots) and roots.count() == 60
+
+
+def test_stacked_scores_are_dealt_before_they_are_grouped(spark):
+    base = settle(spark.range(20).selectExpr("id AS id1", "id AS id2", "1D AS target", "'c' AS category"))
+    joined = joins.validated_scores(base, {"m": base.withColumn("predict", F.lit(0.5))})
+    assert "REPARTITION_BY_COL" in plan(joined) and joined.count() == 20
