@@ -151,14 +151,15 @@ class _Block:
         least = np.concatenate(least).astype(np.float64) * self.scale**2
         return np.concatenate(asked), self.rows[np.concatenate(rows)], least
 
-    def search(self, own, points, bound, limit, need, ratio, widen):
-        """The k nearest found for each query: query, row, distance; ``bound`` is read and renewed in place.
+    def search(self, own, points, bounds, limit, need, ratio, widen):
+        """The k nearest found for each query: query, row, distance; ``bounds`` are read and renewed in place.
 
         Windows open at the query's own projections and widen from round to round. A vector
         is verified in the first round whose windows hold it on ``need`` lines; a query is done
         when its k-th verified distance is within ``ratio`` half widths. If vectors beyond the
         bound could be the k-th, the query is asked again with a wider one. Vectors farther than
-        ``limit``, the k-th distance known from other blocks, may be left out of the result.
+        ``limit``, the k-th distance known from other blocks, may be left out of the result; the
+        second row of ``bounds`` is for queries that have such a limit.
         """
         import numpy as np
 
@@ -166,15 +167,16 @@ class _Block:
         same = self.ids.searchsorted(own, "right") - self.ids.searchsorted(own)
         wanted = np.minimum(self.k, len(self.ids) - same)
         some = 2 * self.k + 4
+        bound, tight = bounds
         new = np.flatnonzero(np.isnan(bound))
         whole, part = len(self.screen), len(self.sample)
         rank = some if part == whole else -(-some * part // whole) + 2
         for at in range(0, len(new), self.QUERIES):
             turn = new[at : at + self.QUERIES]
             bound[turn] = self._ranked(flat[turn], flat[turn] @ self.sample.T, rank)
-        easy = np.flatnonzero((wanted == self.k) & np.isfinite(limit))
-        out, hard = self._limited(easy, own, points, spots, flat, half, bound, limit, some, need, ratio, widen)
-        todo = np.concatenate([np.flatnonzero((wanted > 0) & ~((wanted == self.k) & np.isfinite(limit))), hard])
+        easy = (wanted == self.k) & np.isfinite(limit)
+        out, hard = self._limited(easy, own, points, spots, flat, half, tight, limit, need, ratio, widen)
+        todo = np.concatenate([np.flatnonzero((wanted > 0) & ~easy), hard])
         first = todo[np.isnan(half[todo])]
         half[first] = self._opened(spots[first])
         size = self.QUERIES
@@ -183,7 +185,7 @@ class _Block:
             for at in range(0, len(todo), size):
                 turn = todo[at : at + size]
                 found, lacking = self._rounds(
-                    own[turn], points[turn], spots[turn], flat[turn], half[turn], wanted[turn], bound, turn,
+                    own[turn], points[turn], spots[turn], flat[turn], half[turn], wanted[turn], bounds, turn,
                     some, need, ratio, widen,
                 )
                 out.append(found)
@@ -221,17 +223,18 @@ class _Block:
         after[many] = (bound[many] + np.maximum(squares[starts[:-1][many] + some - 1], 0)) / 2
         return np.where(np.isfinite(after), after, np.nan)
 
-    def _limited(self, easy, own, points, spots, flat, half, bound, limit, some, need, ratio, widen):
+    def _limited(self, easy, own, points, spots, flat, half, bound, limit, need, ratio, widen):
         """The vectors within ``limit`` where it is sure that they are verified, and the queries where it isn't.
 
-        The k-th verified distance is at least the k-th lower bound, so a query can't be done
-        before the round whose half width reaches that; what is verified by then is so at its end.
+        The k-th verified distance is at least the k-th lower bound, and a query is done in a
+        round in which ``ratio`` half widths reach it; a vector that such windows hold often
+        enough is verified at the end, whatever the rounds are.
         """
         import numpy as np
 
         most = limit**2 * (1 + 1e-6) + 1e-30 * self.scale**2
         reach, kept = np.fmax(bound, most), []
-        useful = np.zeros(len(own), bool)
+        useful, easy = np.zeros(len(own), bool), np.flatnonzero(easy)
         for at in range(0, len(easy), self.QUERIES):
             turn = easy[at : at + self.QUERIES]
             q, v, least = self._below(flat[turn], reach[turn])
@@ -248,22 +251,23 @@ class _Block:
         order = np.lexsort((least, q))
         q, v, least = q[order], v[order], least[order]
         starts = np.r_[q.searchsorted(turn), len(q)]
-        half[turn] = self._opened(spots[turn])
         kth = reach[turn] * (1 - 1e-9)
         full = np.diff(starts) >= self.k
         kth[full] = np.minimum(kth[full], least[starts[:-1][full] + self.k - 1])
-        nearest = np.sqrt(np.maximum(kth, 0)) * (1 - 1e-9)
-        last = half[turn]
-        while (early := ratio * last < nearest).any():
-            last[early] *= widen
         widest = np.full(len(own), np.nan)
-        widest[turn] = last
-        bound[turn] = self._renewed(bound[turn], starts, least, some)
+        widest[turn] = np.sqrt(np.maximum(kth, 0)) * (1 - 1e-9) / ratio
+        bound[turn] = self._renewed(bound[turn], starts, least, self.k)
         use = least <= most[q]
         q, v = q[use], v[use]
         far, meets = self._verified(q, v, points, spots, need)
         use = far <= limit[q]
         q, v, far, meets = q[use], v[use], far[use], meets[use]
+        turn = np.unique(q[meets > widest[q]])
+        half[turn] = self._opened(spots[turn])
+        last = half[turn]
+        while (early := last < widest[turn]).any():
+            last[early] *= widen
+        widest[turn] = last
         unsure = np.zeros(len(own), bool)
         unsure[q[meets > widest[q]]] = True
         sure = ~unsure[q]
@@ -273,7 +277,7 @@ class _Block:
         """The k nearest verified round by round, and the queries for which vectors beyond the bound count."""
         import numpy as np
 
-        bound = bounds[turn]
+        bound = bounds[0, turn]
         q, v, _ = self._below(flat, bound)
         far, meets = self._verified(q, v, points, spots, need)
         reach = np.sqrt(bound) * (1 - 1e-9)
@@ -297,7 +301,8 @@ class _Block:
             lacking |= active & ~done & short & (reach < ratio * half)
             active &= ~(done | lacking)
             half = half * widen
-        bounds[turn] = self._renewed(bound, starts, far**2, some)
+        bounds[0, turn] = self._renewed(bound, starts, far**2, some)
+        bounds[1, turn] = self._renewed(bounds[0, turn], starts, far**2, self.k)
         return [np.concatenate(x) for x in zip(*out)], turn[lacking]
 
 
@@ -371,20 +376,18 @@ def _searcher(k, projections, share, opening, widen, ratio, query_rows, seed):
             for at in range(0, len(names), query_rows):
                 part = slice(at, at + query_rows)
                 q, v, far = block.search(
-                    names[part], points[part].astype(np.float64), bound[part], best[part, k - 1], need, ratio, widen
+                    names[part], points[part].astype(np.float64), bounds[:, part], best[part, k - 1], need, ratio, widen
                 )
                 order = np.lexsort((v, far, q))
                 place = np.arange(len(q)) - q[order].searchsorted(q[order])
                 order, place = order[place < k], place[place < k]
-                q, v, far = q[order], v[order], far[order]
-                both = np.full((2, len(names[part]), 2 * k), np.nan)
-                ids = np.zeros(both.shape[1:], np.int64)
-                score = both[0]
-                score[:, :k], ids[:, :k] = best[part], best_ids[part]
-                score[q, k + place], ids[q, k + place] = far, block.ids[v]
+                better, q = np.unique(q[order], return_inverse=True)
+                score, ids = np.full((len(better), 2 * k), np.nan), np.zeros((len(better), 2 * k), np.int64)
+                score[:, :k], ids[:, :k] = best[at + better], best_ids[at + better]
+                score[q, k + place], ids[q, k + place] = far[order], block.ids[v[order]]
                 first = np.lexsort((ids, score), axis=-1)[:, :k]
-                best[part] = np.take_along_axis(score, first, axis=1)
-                best_ids[part] = np.take_along_axis(ids, first, axis=1)
+                best[at + better] = np.take_along_axis(score, first, axis=1)
+                best_ids[at + better] = np.take_along_axis(ids, first, axis=1)
 
         def results():
             for at in range(0, len(names), 4096):
@@ -409,7 +412,7 @@ def _searcher(k, projections, share, opening, widen, ratio, query_rows, seed):
                     if turn[2]:
                         names = np.concatenate([x for x, _ in waiting])
                         points = np.concatenate([x for _, x in waiting])
-                        bound = np.full(len(names), np.nan)
+                        bounds = np.full((2, len(names)), np.nan)
                         best, best_ids = np.full((len(names), k), np.nan), np.zeros((len(names), k), np.int64)
                     elif len(names):
                         compared(waiting)
